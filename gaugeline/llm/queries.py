@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 from gaugeline.llm.common import table
 
 
+def op1_quality(spark, sf_dir):
+    """Base rules and likelihood ratio of all documents; trusted are those labelled of quality 1."""
+    from gaugeline.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.fit(docs, table(spark, sf_dir, "labels").filter("quality = 1"))
+    return quality.judge(docs, weights).drop("text")
+
+
 def op3_mixing(spark, sf_dir):
     """Systematic sampling of all documents to the contract's targets."""
     from gaugeline.llm import mixing
@@ -37,5 +46,13 @@ def op9_urlfilter(spark, sf_dir):
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_packing, op5_simhash, op9_urlfilter)}
+def op10_classifier(spark, sf_dir):
+    """The quality score of all documents."""
+    from gaugeline.llm import rules
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rules.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op3_mixing, op4_packing, op5_simhash, op9_urlfilter, op10_classifier)}
 ORACLES: dict[str, str] = {}
