@@ -16,6 +16,13 @@ def op1_quality(spark, sf_dir):
     return quality.judge(docs, weights).drop("text")
 
 
+def op2_syncmers(spark, sf_dir):
+    """Closed-syncmer fingerprints of all documents and their edited texts."""
+    from gaugeline.llm import syncmers
+
+    return syncmers.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark, sf_dir):
     """Systematic sampling of all documents to the contract's targets."""
     from gaugeline.llm import mixing
@@ -54,5 +61,5 @@ def op10_classifier(spark, sf_dir):
     return rules.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_mixing, op4_packing, op5_simhash, op9_urlfilter, op10_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_syncmers, op3_mixing, op4_packing, op5_simhash, op9_urlfilter, op10_classifier)}
 ORACLES: dict[str, str] = {}
