@@ -46,6 +46,17 @@ def op5_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_secrets(spark, sf_dir):
+    """Secrets in all documents."""
+    from gaugeline.llm import secrets
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find(docs, secrets.train(docs))
+    of = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(secrets.written_spans(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), base, secrets.written_spans(F.col("spans")).alias("spans"))
+
+
 def op9_urlfilter(spark, sf_dir):
     """A verdict on every url of pages."""
     from gaugeline.llm import urlfilter
@@ -61,5 +72,5 @@ def op10_classifier(spark, sf_dir):
     return rules.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_syncmers, op3_mixing, op4_packing, op5_simhash, op9_urlfilter, op10_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_syncmers, op3_mixing, op4_packing, op5_simhash, op7_secrets, op9_urlfilter, op10_classifier)}
 ORACLES: dict[str, str] = {}
