@@ -46,6 +46,13 @@ def op5_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_lines(spark, sf_dir):
+    """The text of all documents without passages that repeat across them."""
+    from gaugeline.llm import lines
+
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_secrets(spark, sf_dir):
     """Secrets in all documents."""
     from gaugeline.llm import secrets
@@ -72,5 +79,5 @@ def op10_classifier(spark, sf_dir):
     return rules.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_syncmers, op3_mixing, op4_packing, op5_simhash, op7_secrets, op9_urlfilter, op10_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_syncmers, op3_mixing, op4_packing, op5_simhash, op6_lines, op7_secrets, op9_urlfilter, op10_classifier)}
 ORACLES: dict[str, str] = {}
