@@ -64,6 +64,15 @@ def op7_secrets(spark, sf_dir):
     return found.select("doc_id", of("assign"), of("access"), of("hex"), base, secrets.written_spans(F.col("spans")).alias("spans"))
 
 
+def op8_pii(spark, sf_dir):
+    """Personal data in all documents."""
+    from gaugeline.llm import pii
+
+    found = pii.find(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(of, pii.KINDS), F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op9_urlfilter(spark, sf_dir):
     """A verdict on every url of pages."""
     from gaugeline.llm import urlfilter
@@ -79,5 +88,5 @@ def op10_classifier(spark, sf_dir):
     return rules.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_syncmers, op3_mixing, op4_packing, op5_simhash, op6_lines, op7_secrets, op9_urlfilter, op10_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_syncmers, op3_mixing, op4_packing, op5_simhash, op6_lines, op7_secrets, op8_pii, op9_urlfilter, op10_classifier)}
 ORACLES: dict[str, str] = {}
