@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from gaugeline.plans import sequence_queries
+from gaugeline.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship", "sequence_queries"]
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["win_dwell_confirm"](spark, sf_dir)
