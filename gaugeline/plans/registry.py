@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from gaugeline.plans import sequence_queries
+from gaugeline.plans import detect_queries, sequence_queries
 from gaugeline.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "sequence_queries"]
+__all__ = ["ORACLES", "QUERIES", "detect_queries", "flagship", "sequence_queries"]
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["win_dwell_confirm"](spark, sf_dir)
+    return QUERIES["det_flagship"](spark, sf_dir)
