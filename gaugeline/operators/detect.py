@@ -21,7 +21,7 @@ def structural_gates(lag: Column, stale: Column, down: Column, running: Column)
 def kit_outcomes(df: DataFrame) -> DataFrame:
     """The pass or fail stream of rows (part, line, t, flag): a DEGRADE that follows the part's own REJECT is
     its routing and drops out."""
-    w = Window.partitionBy("part").orderBy("t", "line")
+    w = Window.partitionBy("part").orderBy("t", "line", "machine", "flag")
     df = df.withColumn("before", F.lag("flag").over(w))
     return df.filter(~((F.col("flag") == "DEGRADE") & F.coalesce(F.col("before") == "REJECT", F.lit(False)))).withColumn("passed", F.col("flag") != "REJECT").drop("before")
 

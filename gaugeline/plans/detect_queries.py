@@ -150,7 +150,7 @@ def jn_asof_parts(spark, sf):
     return both.withColumn("q", F.last("q", ignorenulls=True).over(w)).filter("ask = 1 and q is not null").select("machine", "t", "q")
 
 
-@query(f"""WITH {PARTS}, o AS (SELECT *, lag(flag) OVER (PARTITION BY part ORDER BY t, line) AS b FROM parts)
+@query(f"""WITH {PARTS}, o AS (SELECT *, lag(flag) OVER (PARTITION BY part ORDER BY t, line, machine, flag) AS b FROM parts)
 SELECT part, line, t, flag <> 'REJECT' AS passed FROM o WHERE NOT (flag = 'DEGRADE' AND coalesce(b = 'REJECT', false))""")
 def jn_reject_route(spark, sf):
     return detect.kit_outcomes(parts(spark, sf)).select("part", "line", "t", "passed")
