@@ -11,7 +11,12 @@ from gaugeline.operators import sequence as sq
 from gaugeline.plans.base import query
 from gaugeline.sources.adapters import CAL_END, FAULTS, GRID, PARTS, SCORES, TEL, WARMUP, faults, grid, parts, read, scores, telemetry
 
-GOOD = (F.col("state") == "RUN") & F.col("step").between(WARMUP, CAL_END - 1)
+
+
+def good():
+    return (F.col("state") == "RUN") & F.col("step").between(WARMUP, CAL_END - 1)
+
+
 OVER = "OVER (PARTITION BY machine ORDER BY step"
 
 FIT = f"""good AS (SELECT *, count(*) FILTER (WHERE g) OVER (PARTITION BY machine) AS k FROM (SELECT *, state = 'RUN' AND step BETWEEN {WARMUP} AND {CAL_END - 1} AS g FROM tel)),
@@ -23,13 +28,13 @@ _FITTED = ("q99", "q01", "q1", "q3", "fence", "low_fence", "thr", "thr_low")
 
 @query(f"WITH {TEL}, {FIT} SELECT machine, " + ", ".join(f"round({c}, 6) AS {c}" for c in _FITTED) + ", round(clean_var, 6) AS clean_var, n FROM fit")
 def agg_tukey_fit(spark, sf):
-    fit = cal.tukey_fit(telemetry(spark, sf), GOOD)
+    fit = cal.tukey_fit(telemetry(spark, sf), good())
     return fit.select("machine", *[F.round(c, 6).alias(c) for c in _FITTED], F.round("clean_var", 6).alias("clean_var"), "n")
 
 
 def _scored(spark, sf):
     t = telemetry(spark, sf)
-    return detect.exceedance(t, cal.tukey_fit(t, GOOD), F.col("state") == "DOWN")
+    return detect.exceedance(t, cal.tukey_fit(t, good()), F.col("state") == "DOWN")
 
 
 SCORED = f"""sc AS (SELECT tel.*, greatest(obs - thr, thr_low - obs) AS score FROM tel JOIN fit ON tel.machine = fit.machine),
