@@ -2,9 +2,11 @@
 
 Lines that occur once can't be part of a repeated passage, so only repeated lines are looked at: runs of
 them within a document, cut into chunks where a rolling hash over the last two line hashes of the run says
-so, and around lines of over MIN_WORDS words. Boundaries depend on the lines alone, so they stay where they
-are when a passage is moved or has something put before it. Of a chunk that occurs again, the first (by
-doc_id and position) stays; another is removed if its bytes equal the first's.
+so, around lines of over MIN_WORDS words, and where a line occurs more or less often than the one before
+(so a common line beside a passage doesn't hide it). Boundaries depend on the lines alone, so they stay
+where they are when a passage is moved or has something put before it. Of a chunk that occurs again, the
+first (by doc_id and position) stays; another is removed if its bytes equal the first's. A single line of
+MIN_WORDS words or fewer goes only with a passage of over MIN_WORDS words whose lines occur equally often.
 """
 
 from __future__ import annotations
@@ -36,20 +38,25 @@ def chunks(docs: DataFrame) -> DataFrame:
     split = F.transform(F.split("__text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")))
     lines = _keyed(docs.select("doc_id", "text")).select(*ID, F.posexplode(split).alias("pos", "x")).select(*ID, "pos", "x.h", "x.w")
     lines = written(lines)
-    repeated = lines.select("h").groupBy("h").count().filter("count > 1").select("h")
+    repeated = lines.select("h").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     w = Window.partitionBy(*ID).orderBy("pos")
-    lines = lines.join(broadcast_up_to(repeated, MAX_BROADCAST_LINES), "h").withColumns({"p": F.lag("pos").over(w), "lh": F.lag("h").over(w), "lw": F.lag("w").over(w), "llh": F.lag("h", 2).over(w), "lp": F.lag("pos", 2).over(w)})
+    lines = lines.join(broadcast_up_to(repeated, MAX_BROADCAST_LINES), "h").withColumns({"p": F.lag("pos").over(w), "lh": F.lag("h").over(w), "lw": F.lag("w").over(w), "llh": F.lag("h", 2).over(w), "lp": F.lag("pos", 2).over(w), "ln": F.lag("n").over(w)})
     new_run = F.coalesce(F.col("pos") - F.col("p") != 1, F.lit(True))
     rolled = F.xxhash64("lh", F.when(F.col("p") - F.col("lp") == 1, F.col("llh")))
-    cut = new_run | (F.col("w") > MIN_WORDS) | (F.col("lw") > MIN_WORDS) | (F.pmod(rolled, F.lit(DIVISOR)) == 0)
-    lines = lines.withColumns({"run": F.sum(new_run.cast("int")).over(w), "chunk": F.sum(cut.cast("int")).over(w)})
-    lines = lines.withColumn("run_words", F.sum("w").over(Window.partitionBy(*ID, "run"))).filter(F.col("run_words") > MIN_WORDS)
+    uneven = new_run | (F.col("n") != F.col("ln"))
+    cut = uneven | (F.col("w") > MIN_WORDS) | (F.col("lw") > MIN_WORDS) | (F.pmod(rolled, F.lit(DIVISOR)) == 0)
+    number = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int")).over(w)
+    lines = lines.withColumns({"run": number(new_run), "even": number(uneven), "chunk": number(cut)})
+    words = lambda *by: F.sum("w").over(Window.partitionBy(*ID, *by))
+    lines = lines.withColumns({"run_words": words("run"), "even_words": words("run", "even")}).filter(F.col("run_words") > MIN_WORDS)
     hashes = F.transform(F.sort_array(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"])
-    return lines.groupBy(*ID, "chunk").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("lines"), F.xxhash64(hashes).alias("key"), F.sum("w").alias("words")).drop("chunk").filter("words > 0")
+    found = lines.groupBy(*ID, "chunk").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("lines"), F.xxhash64(hashes).alias("key"), F.sum("w").alias("words"), F.max("even_words").alias("even_words"))
+    passage = (F.col("lines") > 1) | (F.col("even_words") > MIN_WORDS)
+    return found.filter((F.col("words") > 0) & passage).drop("chunk", "even_words")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(__id, __text_hash, cuts): for each document with chunks to remove, array<struct(start, lines)>."""
+    """(__id, __text_hash, __cuts): for each document with chunks to remove, array<struct(start, lines)>."""
     found = written(chunks(docs).dropDuplicates([*ID, "start"]))
     first = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(*ID, "start")).alias("first")).filter("n > 1")
     found = found.join(first, "key")
@@ -60,7 +67,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts = written(texts.select(*ID, "x.*"))
     firsts = texts.filter("is_first").select("key", "bytes").dropDuplicates(["key"]).withColumnRenamed("bytes", "first_bytes")
     same = texts.filter("not is_first").join(firsts, "key").filter("bytes = first_bytes")
-    return written(same.select(*ID, "start", "lines")).groupBy(*ID).agg(F.collect_set(F.struct("start", "lines")).alias("cuts"))
+    return written(same.select(*ID, "start", "lines")).groupBy(*ID).agg(F.collect_set(F.struct("start", "lines")).alias("__cuts"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -72,9 +79,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     cuts = repeats(docs)
     out = _keyed(docs.drop("removed_lines")).join(cuts, ID, "left")
-    kept = lambda i: ~F.exists("cuts", lambda c: (i >= c["start"]) & (i < c["start"] + c["lines"]))
+    kept = lambda i: ~F.exists("__cuts", lambda c: (i >= c["start"]) & (i < c["start"] + c["lines"]))
     lines = F.split("__text", "\n", -1)
     new = F.array_join(F.filter(lines, lambda x, i: kept(i)), "\n")
-    removed = F.aggregate("cuts", F.lit(0), lambda a, c: a + c["lines"])
-    out = out.withColumns({"text": F.when(F.col("cuts").isNull(), F.col("text")).otherwise(new), "removed_lines": F.coalesce(removed, F.lit(0)).cast("long")})
-    return out.drop("__text", "cuts", *ID)
+    removed = F.aggregate("__cuts", F.lit(0), lambda a, c: a + c["lines"])
+    out = out.withColumns({"text": F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(new), "removed_lines": F.coalesce(removed, F.lit(0)).cast("long")})
+    return out.drop("__text", "__cuts", *ID)

@@ -80,7 +80,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     light = written(keyed.select("__source", "size", "__bin").groupBy("__source", "size", "__bin").agg(F.count("*").alias("__n")))
     counts = light.select("__source", (F.col("size") * F.col("__n")).alias("size"))
     sources = source_targets(counts, weights, cap).withColumn("__e", F.round(F.col("rate") * UNIT).cast("long"))
-    sources = sources.withColumn("__u", F.pmod(F.xxhash64(F.lit(seed), "__source"), F.lit(UNIT)))
+    sources = sources.withColumn("__u", F.pmod(F.xxhash64(F.lit(seed), "__source"), F.lit(UNIT))).drop("rate")
 
     ahead = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     by_size = light.groupBy("__source", "size").agg(F.sum("__n").alias("__n"))
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     crossed = f"(__u + __e * (__first + __place)) div {UNIT} - (__u + __e * (__first + __place - 1)) div {UNIT}"
     out = ranked.withColumn("copies", F.expr(crossed))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("__source", "__bin", "__place", "__first", "__e", "__u", "rate")
+    return out.drop("__source", "__bin", "__place", "__first", "__e", "__u")
 
 
 def emitted(mixed: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeline.llm.common import table
+from gaugeline.llm.urlfilter import BLOCKED_HOSTS
 
 
 def op1_quality(spark, sf_dir):
@@ -89,4 +90,18 @@ def op10_classifier(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_syncmers, op3_mixing, op4_packing, op5_simhash, op6_lines, op7_secrets, op8_pii, op9_urlfilter, op10_classifier)}
-ORACLES: dict[str, str] = {}
+
+_URL = "coalesce(url, '')"
+_LISTED = " OR ".join(f"host = '{h}' OR host LIKE '%.{h}'" for h in BLOCKED_HOSTS)
+#: Hashes of the engine, trees, rounds and tokenizers can't be said in SQL: the other operators are tested
+#: against brute force, by exact round trips and on held-out labels.
+ORACLES: dict[str, str] = {
+    "op9_urlfilter": f"""WITH u AS (SELECT page_id, translate(regexp_extract({_URL}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+ regexp_extract({_URL}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+ f AS (SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+  WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+  WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+  WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule FROM u)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR {_LISTED} THEN 'block' ELSE 'allow' END AS verdict FROM f""",
+}
