@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gaugeline.plans import detect_queries, feature_queries, flow_queries, other_queries, sequence_queries
+from gaugeline.plans import detect_queries, feature_queries, flow_queries, other_queries, report_queries, sequence_queries
 from gaugeline.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "detect_queries", "feature_queries", "flagship", "flow_queries", "other_queries", "sequence_queries"]
+__all__ = ["ORACLES", "QUERIES", "detect_queries", "feature_queries", "flagship", "flow_queries", "other_queries", "report_queries", "sequence_queries"]
 
 
 def flagship(spark, sf_dir):
