@@ -34,7 +34,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def chunks(docs: DataFrame) -> DataFrame:
     """(__id, __text_hash, start, lines, key, words) of all chunks of runs of repeated lines with over
-    MIN_WORDS words: the first line, the number of lines, and the hash of their hashes."""
+    MIN_WORDS words: the first line, the number of lines, and a hash of their hashes and places."""
     split = F.transform(F.split("__text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")))
     lines = _keyed(docs.select("doc_id", "text")).select(*ID, F.posexplode(split).alias("pos", "x")).select(*ID, "pos", "x.h", "x.w")
     lines = written(lines)
@@ -45,14 +45,16 @@ def chunks(docs: DataFrame) -> DataFrame:
     rolled = F.xxhash64("lh", F.when(F.col("p") - F.col("lp") == 1, F.col("llh")))
     uneven = new_run | (F.col("n") != F.col("ln"))
     cut = uneven | (F.col("w") > MIN_WORDS) | (F.col("lw") > MIN_WORDS) | (F.pmod(rolled, F.lit(DIVISOR)) == 0)
-    number = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int")).over(w)
-    lines = lines.withColumns({"run": number(new_run), "even": number(uneven), "chunk": number(cut)})
-    words = lambda *by: F.sum("w").over(Window.partitionBy(*ID, *by))
-    lines = lines.withColumns({"run_words": words("run"), "even_words": words("run", "even")}).filter(F.col("run_words") > MIN_WORDS)
-    hashes = F.transform(F.sort_array(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"])
-    found = lines.groupBy(*ID, "chunk").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("lines"), F.xxhash64(hashes).alias("key"), F.sum("w").alias("words"), F.max("even_words").alias("even_words"))
+    # all of these windows share one order, so a task sorts its lines once
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    number = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int")).over(upto)
+    lines = lines.withColumns({"run": number(new_run), "even": number(uneven), "start": F.max(F.when(F.coalesce(cut, F.lit(False)), F.col("pos"))).over(upto)})
+    place = F.xxhash64("h", F.col("pos") - F.col("start"))
+    found = lines.groupBy(*ID, "run", "even", "start").agg(F.count("*").cast("int").alias("lines"), F.bit_xor(place).alias("key"), F.sum("w").alias("words"))
+    words = lambda *by: F.sum("words").over(Window.partitionBy(*ID, *by))
+    found = found.withColumn("even_words", words("run", "even")).withColumn("run_words", words("run"))
     passage = (F.col("lines") > 1) | (F.col("even_words") > MIN_WORDS)
-    return found.filter((F.col("words") > 0) & passage).drop("chunk", "even_words")
+    return found.filter((F.col("run_words") > MIN_WORDS) & (F.col("words") > 0) & passage).select(*ID, "start", "lines", "key", "words")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
