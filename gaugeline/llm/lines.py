@@ -1,25 +1,24 @@
-"""Removing passages that repeat across documents, by content-defined line chunks. DataFrame operations only.
-
-Lines that occur once can't be part of a repeated passage, so only repeated lines are looked at: runs of
-them within a document, cut into chunks where a rolling hash over the last two line hashes of the run says
-so, around lines of over MIN_WORDS words, and where a line occurs more or less often than the one before
-(so a common line beside a passage doesn't hide it). Boundaries depend on the lines alone, so they stay
-where they are when a passage is moved or has something put before it. Of a chunk that occurs again, the
-first (by doc_id and position) stays; another is removed if its bytes equal the first's. A single line of
-MIN_WORDS words or fewer goes only with a passage of over MIN_WORDS words whose lines occur equally often.
+"""Removing passages that repeat across documents, by content-defined windows of lines. DataFrame operations only.
+
+Lines that occur once can't be part of a repeated passage, so only runs of repeated lines within a document
+are looked at. A core is a window of lines with over MIN_WORDS words that has fewer without its first or its
+last line. That depends on the window's lines alone, so a passage has the same cores wherever it stands, and
+any passage of over MIN_WORDS words has one, however often each of its lines occurs elsewhere. Of a window that
+occurs again, the first (by doc_id and position) stays; another is removed if its bytes have the first's
+SHA-256. What lies between two cores of one repeated passage goes with them. A line at its edge, without which
+the passage has over MIN_WORDS words still, goes if at least half of its occurrences are beside the passage; else
+it is a common line (a licence) and stays, as blank lines at an edge do.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.llm.common import WORD, broadcast_up_to, text_of, written
 
 #: A run of repeated lines counts if it has more words than this.
 MIN_WORDS = 50
-#: A run is cut after about one of so many lines.
-DIVISOR = 8
 #: Up to so many hashes of repeated lines are broadcast, by count.
 MAX_BROADCAST_LINES = 300_000
 
@@ -32,44 +31,84 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__text_hash": F.xxhash64("__text")})
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(__id, __text_hash, start, lines, key, words) of all chunks of runs of repeated lines with over
-    MIN_WORDS words: the first line, the number of lines, and a hash of their hashes and places."""
+def windows(docs: DataFrame) -> DataFrame:
+    """(__id, __text_hash, start, lines, key, cut_start, cut_lines, n) of the windows of runs of repeated lines with
+    over MIN_WORDS words: the first line, the number of lines, a hash of their hashes, the lines to cut if
+    the window occurs before, and for a line at an edge how often it occurs (null for others)."""
     split = F.transform(F.split("__text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")))
     lines = _keyed(docs.select("doc_id", "text")).select(*ID, F.posexplode(split).alias("pos", "x")).select(*ID, "pos", "x.h", "x.w")
     lines = written(lines)
     repeated = lines.select("h").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     w = Window.partitionBy(*ID).orderBy("pos")
-    lines = lines.join(broadcast_up_to(repeated, MAX_BROADCAST_LINES), "h").withColumns({"p": F.lag("pos").over(w), "lh": F.lag("h").over(w), "lw": F.lag("w").over(w), "llh": F.lag("h", 2).over(w), "lp": F.lag("pos", 2).over(w), "ln": F.lag("n").over(w)})
-    new_run = F.coalesce(F.col("pos") - F.col("p") != 1, F.lit(True))
-    rolled = F.xxhash64("lh", F.when(F.col("p") - F.col("lp") == 1, F.col("llh")))
-    uneven = new_run | (F.col("n") != F.col("ln"))
-    cut = uneven | (F.col("w") > MIN_WORDS) | (F.col("lw") > MIN_WORDS) | (F.pmod(rolled, F.lit(DIVISOR)) == 0)
-    # all of these windows share one order, so a task sorts its lines once
+    # a line of more words counts as just too long for a passage to need another
+    lines = lines.join(broadcast_up_to(repeated, MAX_BROADCAST_LINES), "h").withColumn("w", F.least("w", F.lit(MIN_WORDS + 1)))
+    new_run = F.coalesce(F.col("pos") - F.lag("pos").over(w) != 1, F.lit(True))
+    # both windows share one order, so a task sorts its lines once
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    number = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int")).over(upto)
-    lines = lines.withColumns({"run": number(new_run), "even": number(uneven), "start": F.max(F.when(F.coalesce(cut, F.lit(False)), F.col("pos"))).over(upto)})
-    place = F.xxhash64("h", F.col("pos") - F.col("start"))
-    found = lines.groupBy(*ID, "run", "even", "start").agg(F.count("*").cast("int").alias("lines"), F.bit_xor(place).alias("key"), F.sum("w").alias("words"))
-    words = lambda *by: F.sum("words").over(Window.partitionBy(*ID, *by))
-    found = found.withColumn("even_words", words("run", "even")).withColumn("run_words", words("run"))
-    passage = (F.col("lines") > 1) | (F.col("even_words") > MIN_WORDS)
-    return found.filter((F.col("run_words") > MIN_WORDS) & (F.col("words") > 0) & passage).select(*ID, "start", "lines", "key", "words")
+    lines = lines.withColumn("new_run", new_run).withColumns({"run": F.sum(F.col("new_run").cast("int")).over(upto), "upto": F.sum("w").over(upto)})
+    line = F.struct("pos", "h", "w", "n", "upto")
+    runs = lines.groupBy(*ID, "run").agg(F.sum("w").alias("words"), F.collect_list(line).alias("x")).filter(F.col("words") > MIN_WORDS)
+    runs = runs.select(*ID, F.array_sort("x").alias("x")).select(*ID, F.get("x", F.lit(0))["pos"].alias("origin"), F.transform("x", lambda x: x["h"]).alias("hashes"), F.filter("x", lambda x: x["w"] > 0).alias("x"))
+
+    # of the lines with words, each has one word at least, so the nearest MIN_WORDS + 1 are enough
+    at = lambda i: F.get("x", i)
+    far = F.lit(MIN_WORDS + 1)
+    before = lambda x: x["upto"] - x["w"]
+
+    def ends(x: Column, i: Column) -> Column:
+        # the first line on to which there are enough words, and the last one from which there are
+        to = i + F.size(F.filter(F.slice("x", i + 1, far), lambda y: y["upto"] - before(x) <= MIN_WORDS))
+        since = i - F.size(F.filter(F.slice("x", F.greatest(i + 2 - far, F.lit(1)), F.least(i + 1, far)), lambda y: x["upto"] - before(y) <= MIN_WORDS))
+        return F.struct(i.alias("i"), to.alias("to"), since.alias("since"))
+
+    placed = runs.withColumn("ends", F.transform("x", ends)).withColumn("size", F.size("x"))
+
+    def of(first: Column, last: Column, cut: Column, upto: Column, n: Column) -> Column:
+        start, count = at(first)["pos"], at(last)["pos"] - at(first)["pos"] + 1
+        key = F.xxhash64(F.slice("hashes", start - F.col("origin") + 1, count))
+        return F.struct(start.alias("start"), count.alias("lines"), key.alias("key"), cut.alias("cut_start"), (upto - cut).alias("cut_lines"), n.alias("n"))
+
+    def found(e: Column) -> Column:
+        i, to, since = e["i"], e["to"], e["since"]
+        forward, back = to < F.col("size"), since >= 0
+        core = at(to)["upto"] - at(i)["upto"] <= MIN_WORDS
+        core_back = before(at(i)) - before(at(since)) <= MIN_WORDS
+        own = at(i)["pos"]
+        n = at(i)["n"]
+        none = F.lit(None).cast("long")
+        after, until = at(i + 1)["pos"], at(i - 1)["pos"] + 1
+        whole = F.when(forward & core, of(i, to, own, at(to)["pos"] + 1, none)).when(forward, of(i, to, own, after, n))
+        edge = F.when(back & ~core_back, of(since, i, until, own + 1, n))
+        inner = F.when(forward & ~core & back & ~core_back, of(since, to, until, after, none))
+        return F.array(whole, edge, inner)
+
+    return placed.select(*ID, F.explode(F.flatten(F.transform("ends", found))).alias("y")).filter("y is not null").select(*ID, "y.*")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(__id, __text_hash, __cuts): for each document with chunks to remove, array<struct(start, lines)>."""
-    found = written(chunks(docs).dropDuplicates([*ID, "start"]))
-    first = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(*ID, "start")).alias("first")).filter("n > 1")
-    found = found.join(first, "key")
-    wanted = found.withColumn("is_first", F.struct(*ID, "start") == F.col("first"))
-    wanted = wanted.groupBy(*ID).agg(F.collect_list(F.struct("key", "start", "lines", "is_first")).alias("wanted"))
+    """(__id, __text_hash, __cuts): for each document with lines to remove, array<struct(start, lines)>, in order
+    and apart from each other."""
+    found = written(windows(docs).distinct())
+    first = found.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct(*ID, "start")).alias("first")).filter("times > 1")
+    found = found.join(first, "key").withColumn("is_first", F.struct(*ID, "start") == F.col("first"))
+    # a window that overlaps the first one doesn't repeat it
+    inside = (F.col("__id") == F.col("first.__id")) & (F.col("__text_hash") == F.col("first.__text_hash")) & (F.col("start") < F.col("first.start") + F.col("lines"))
+    found = found.filter(F.col("is_first") | (~inside & (F.col("n").isNull() | (F.col("n") <= 2 * F.col("times")))))
+    wanted = found.groupBy(*ID).agg(F.collect_list(F.struct("key", "start", "lines", "cut_start", "cut_lines", "is_first")).alias("wanted"))
     texts = _keyed(docs.select("doc_id", "text")).select(*ID, "__text").join(wanted, ID).withColumn("__lines", F.split("__text", "\n", -1))
-    texts = texts.select(*ID, F.explode(F.transform("wanted", lambda x: F.struct(x["key"].alias("key"), x["start"].alias("start"), x["lines"].alias("lines"), x["is_first"].alias("is_first"), F.array_join(F.slice("__lines", x["start"] + 1, x["lines"]), "\n").alias("bytes")))).alias("x"))
+    digest = lambda x: F.unhex(F.sha2(F.array_join(F.slice("__lines", x["start"] + 1, x["lines"]), "\n"), 256))
+    names = ("key", "cut_start", "cut_lines", "is_first")
+    texts = texts.select(*ID, F.explode(F.transform("wanted", lambda x: F.struct(*[x[c].alias(c) for c in names], digest(x).alias("digest")))).alias("x"))
     texts = written(texts.select(*ID, "x.*"))
-    firsts = texts.filter("is_first").select("key", "bytes").dropDuplicates(["key"]).withColumnRenamed("bytes", "first_bytes")
-    same = texts.filter("not is_first").join(firsts, "key").filter("bytes = first_bytes")
-    return written(same.select(*ID, "start", "lines")).groupBy(*ID).agg(F.collect_set(F.struct("start", "lines")).alias("__cuts"))
+    firsts = texts.filter("is_first").select("key", F.col("digest").alias("first_digest")).dropDuplicates(["key"])
+    same = texts.filter("not is_first").join(firsts, "key").filter("digest = first_digest")
+    same = same.select(*ID, F.col("cut_start").alias("start"), (F.col("cut_start") + F.col("cut_lines")).alias("end"))
+    w = Window.partitionBy(*ID).orderBy("start", "end")
+    reached = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    same = same.withColumn("apart", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
+    same = same.withColumn("part", F.sum("apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = same.groupBy(*ID, "part").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("lines"))
+    return written(parts).groupBy(*ID).agg(F.array_sort(F.collect_list(F.struct("start", "lines"))).alias("__cuts"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -80,10 +119,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     and stay equal. Other columns are passed on. Within a document a second occurrence is cut too.
     """
     cuts = repeats(docs)
-    out = _keyed(docs.drop("removed_lines")).join(cuts, ID, "left")
-    kept = lambda i: ~F.exists("__cuts", lambda c: (i >= c["start"]) & (i < c["start"] + c["lines"]))
-    lines = F.split("__text", "\n", -1)
-    new = F.array_join(F.filter(lines, lambda x, i: kept(i)), "\n")
+    # shuffled at any size: a join that is broadcast for small inputs only says nothing about large ones
+    out = _keyed(docs.drop("removed_lines")).join(cuts.hint("merge"), ID, "left")
+    lines, cut = F.split("__text", "\n", -1), lambda i: F.get("__cuts", i)
+    begin = lambda i: F.coalesce(cut(i - 1)["start"] + cut(i - 1)["lines"], F.lit(0))
+    kept = F.transform(F.sequence(F.lit(0), F.size("__cuts")), lambda i: F.slice(F.col("__lines"), begin(i) + 1, F.coalesce(cut(i)["start"], F.size("__lines")) - begin(i)))
+    new = F.array_join(F.flatten(kept), "\n")
     removed = F.aggregate("__cuts", F.lit(0), lambda a, c: a + c["lines"])
-    out = out.withColumns({"text": F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(new), "removed_lines": F.coalesce(removed, F.lit(0)).cast("long")})
-    return out.drop("__text", "__cuts", *ID)
+    out = out.withColumn("__lines", F.when(F.col("__cuts").isNotNull(), lines)).withColumns({"text": F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(new), "removed_lines": F.coalesce(removed, F.lit(0)).cast("long")})
+    return out.drop("__text", "__lines", "__cuts", *ID)
