@@ -38,6 +38,11 @@ def windows(docs: DataFrame) -> DataFrame:
     split = F.transform(F.split("__text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")))
     lines = _keyed(docs.select("doc_id", "text")).select(*ID, F.posexplode(split).alias("pos", "x")).select(*ID, "pos", "x.h", "x.w")
     lines = written(lines)
+    # of repeated rows one counts; any row has a first line
+    twice = lines.filter("pos = 0").groupBy(*ID).count().filter("count > 1").select(*ID)
+    if not twice.isEmpty():
+        twice = broadcast_up_to(twice, MAX_BROADCAST_LINES)
+        lines = lines.join(twice, ID, "left_anti").unionByName(lines.join(twice, ID, "left_semi").dropDuplicates([*ID, "pos"]))
     repeated = lines.select("h").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     w = Window.partitionBy(*ID).orderBy("pos")
     # a line of more words counts as just too long for a passage to need another
@@ -88,7 +93,7 @@ def windows(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """(__id, __text_hash, __cuts): for each document with lines to remove, array<struct(start, lines)>, in order
     and apart from each other."""
-    found = written(windows(docs).distinct())
+    found = written(windows(docs))
     first = found.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct(*ID, "start")).alias("first")).filter("times > 1")
     found = found.join(first, "key").withColumn("is_first", F.struct(*ID, "start") == F.col("first"))
     # a window that overlaps the first one doesn't repeat it

@@ -59,3 +59,13 @@ def test_lines_by_brute_force(spark):
         assert all(any(x == y for y in it) for x in must)
         it = iter([x for i, x in enumerate(t) if i not in core])
         assert kept == [""] or all(any(x == y for y in it) for x in kept)
+
+
+def test_lines_of_repeated_rows_go(spark):
+    rnd = random.Random(2)
+    passage, alone = [sentence(rnd, 20) for _ in range(4)], [sentence(rnd, 20) for _ in range(5)]
+    docs = [(1, [sentence(rnd, 5), *passage]), (2, [*passage, sentence(rnd, 5)]), (2, None), (3, alone), (3, alone)]
+    docs[2] = docs[1]
+    df = spark.createDataFrame([(k, "\n".join(t)) for k, t in docs], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in lines.dedup_lines(df).collect())
+    assert got == [(1, "\n".join(docs[0][1]))] + [(2, docs[1][1][-1])] * 2 + [(3, "\n".join(alone))] * 2
