@@ -1,7 +1,8 @@
 """Document fingerprints by closed syncmers. DataFrame operations only.
 
 The units are a text's words, or its characters if it has few words or very long ones (so that short notes
-and texts without spaces have anchors too). A k-mer of units is an anchor if the least hash among its inner s-mers stands
+and texts without spaces have anchors too). Two texts of which one is taken by characters are compared by the
+characters of both. A k-mer of units is an anchor if the least hash among its inner s-mers stands
 at its first or last place. That depends on the k-mer alone, so an edit moves no anchor outside the
 k-mers that it touches, and the same passage has the same anchors wherever it stands.
 """
@@ -26,13 +27,18 @@ def _range(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def units_of(text: Column) -> Column:
-    words = words_of(text)
-    few = (F.size(words) < LEAST_WORDS) | (F.length(text) > F.size(words) * MOST_CHARS_A_WORD)
-    return F.when(few, F.array_remove(F.split(text, ""), "")).otherwise(words)
+def by_characters(text: Column) -> Column:
+    n = F.size(words_of(text))
+    return (n < LEAST_WORDS) | (F.length(text) > n * MOST_CHARS_A_WORD)
 
 
-def with_anchors(docs: DataFrame, text: Column, out: str, k: int = K, s: int = S) -> DataFrame:
+def units_of(text: Column, by_character: Column | None = None) -> Column:
+    """The words or characters of a text, as by_characters says if ``by_character`` isn't given."""
+    few = by_characters(text) if by_character is None else by_character
+    return F.when(few, F.array_remove(F.split(text, ""), "")).otherwise(words_of(text))
+
+
+def with_anchors(docs: DataFrame, text: Column, out: str, k: int = K, s: int = S, by_character: Column | None = None) -> DataFrame:
     """``docs`` with a column ``out``: array of struct(position, hash) of the anchors of a text, in order.
 
     position counts units from 0. A text of fewer than k units has one anchor at 0, the hash of all of
@@ -40,7 +46,7 @@ def with_anchors(docs: DataFrame, text: Column, out: str, k: int = K, s: int = S
     """
     h, m = f"__{out}_h", f"__{out}_m"
     at = lambda column, i: F.get(F.col(column), i)
-    docs = docs.withColumn(h, F.transform(units_of(text), lambda w: F.xxhash64(w)))
+    docs = docs.withColumn(h, F.transform(units_of(text, by_character), lambda w: F.xxhash64(w)))
     mers = F.transform(_range(F.size(h) - (s - 1)), lambda i: F.xxhash64(*[at(h, i + j) for j in range(s)]))
     docs = docs.withColumn(m, mers)
     width = k - s + 1
@@ -107,23 +113,35 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many, or all, of the
     next document's. A null text counts as empty; an empty text's fingerprint is empty, and two empty
-    ones are alike. A lone document follows itself. Repeated rows follow each other.
+    ones are alike. Likeness is by words, or by characters of both texts if either is taken so. A lone document follows itself. Repeated rows follow each other.
     """
     rows = docs.select("doc_id", text_of(F.col("text").cast("string")).alias("text"))
-    rows = with_anchors(rows, F.col("text"), "anchors").withColumn("sketch", sketch(F.col("anchors"))).select("doc_id", "text", "sketch")
-    rows = with_next(rows, ["text", "sketch"])
+    rows = rows.withColumn("chars", by_characters(F.col("text")))
+    rows = with_anchors(rows, F.col("text"), "anchors", by_character=F.col("chars")).withColumn("sketch", sketch(F.col("anchors"))).select("doc_id", "text", "sketch", "chars")
+    rows = with_next(rows, ["text", "sketch", "chars"])
     n = F.length("text")
     quarter = F.floor(n / F.lit(4)).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))
-    rows = rows.withColumn("edited", edited).withColumn("n_chars", n.cast("long")).drop("next_text")
-    rows = with_anchors(rows, F.col("edited"), "edited_anchors").withColumn("edited_sketch", sketch(F.col("edited_anchors")))
+    rows = rows.withColumn("edited", edited).withColumn("n_chars", n.cast("long"))
+    rows = rows.withColumn("edited_chars", by_characters(F.col("edited")))
+    rows = with_anchors(rows, F.col("edited"), "edited_anchors", by_character=F.col("edited_chars")).withColumn("edited_sketch", sketch(F.col("edited_anchors")))
+    # the characters of a text of words whose other is taken by characters
+    needed = {"text": ~F.col("chars") & (F.col("next_chars") | F.col("edited_chars")), "next_text": F.col("chars") & ~F.col("next_chars"), "edited": F.col("chars") & ~F.col("edited_chars")}
+    for c, need in needed.items():
+        rows = with_anchors(rows, F.when(need, F.col(c)).otherwise(F.lit("")), f"{c}_in_chars", by_character=F.lit(True))
+    in_chars = lambda c: sketch(F.col(f"{c}_in_chars"))
+
+    def alike(other: str, name: str) -> Column:
+        text = F.when(~F.col("chars") & F.col(f"{other}_chars"), in_chars("text")).otherwise(F.col("sketch"))
+        return likeness(text, F.when(F.col("chars") & ~F.col(f"{other}_chars"), in_chars(name)).otherwise(F.col(f"{other}_sketch")))
+
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("sketch")).alias("fingerprint"),
         fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        alike("edited", "edited").alias("near_edited"),
+        alike("next", "next_text").alias("near_next"),
         F.size("sketch").cast("long").alias("n_anchors"),
     )
