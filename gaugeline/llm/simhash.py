@@ -17,6 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.llm import minhash
 from gaugeline.llm.common import broadcast_up_to, written
 from gaugeline.llm.components import components
 
@@ -126,15 +127,22 @@ def hex_of(fp: Column) -> Column:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component; of rows with the same id, one. Only ids are
-    shuffled: those to drop are broadcast if there are few, and ids that occur twice are handled apart."""
-    found = written(near_duplicates(docs).select("doc_id", "component_id"))
-    kept = docs.join(broadcast_up_to(found.filter("doc_id <> component_id").select("doc_id").distinct(), MAX_BROADCAST_IDS), "doc_id", "left_anti")
-    twice = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    twice = broadcast_up_to(twice, MAX_BROADCAST_IDS)
-    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """The rows of ``docs`` without those whose text is like an earlier one's, by id: linked transitively by
+    shingles of five words (minhash.similar). Of equal texts the one with the smallest id stays, of equal rows one;
+    rows with one id and different texts are different. Only ids and hashes are shuffled: those to drop are
+    broadcast if there are few, and rows that occur twice are handled apart."""
+    rows, edges = minhash.similar(docs)
+    key = ["__id", "__h"]
+    copies = components(edges).filter("node <> root").select(F.col("node.h").alias("__h")).distinct()
+    least = rows.groupBy("__h").agg(F.min("__id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    dropped = rows.join(least, "__h").filter("__id > least").select(*key).unionByName(rows.join(copies, "__h").select(*key)).distinct()
+    docs = minhash.keyed(docs)
+    kept = docs.join(broadcast_up_to(written(dropped), MAX_BROADCAST_IDS), key, "left_anti")
+    twice = rows.groupBy(*key).count().filter("count > 1").select(*key)
+    if not twice.isEmpty():
+        twice = broadcast_up_to(twice, MAX_BROADCAST_IDS)
+        kept = kept.join(twice, key, "left_anti").unionByName(kept.join(twice, key, "left_semi").dropDuplicates(key))
+    return kept.drop(*key)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

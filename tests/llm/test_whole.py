@@ -2,7 +2,7 @@
 
 import random
 
-from gaugeline.llm import lines, syncmers
+from gaugeline.llm import lines, simhash, syncmers
 
 
 def sentence(rnd, n):
@@ -79,3 +79,25 @@ def test_syncmers_are_alike_over_the_change_of_units(spark):
     got = [r for r in sorted(syncmers.with_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())]
     assert got[0].near_next > 0.7 and got[0].near_edited > 0.3 and got[1].near_edited > 0.3
     assert 0 < got[2].near_next < 0.3 and got[3].near_next > 0.5
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_no_two_kept_texts_are_similar(spark):
+    rnd = random.Random(3)
+    rows = []
+    for g in range(12):
+        base = [f"w{rnd.randint(0, 5000)}" for _ in range(rnd.choice([30, 60, 120]))]
+        for _ in range(14):
+            w = list(base)
+            for _ in range(rnd.randint(0, len(w) // 30)):
+                w[rnd.randrange(len(w))] = f"x{rnd.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    kept = {r.doc_id: r.text for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not [(a, b) for a in kept for b in kept if a < b and jaccard(kept[a], kept[b]) >= 0.8]
+    text = dict(rows)
+    assert all(k in kept or any(jaccard(text[j], text[k]) >= 0.8 for j in text if j != k) for k in text)
+    assert len(kept) >= 12 and 0 in kept
