@@ -101,3 +101,11 @@ def test_no_two_kept_texts_are_similar(spark):
     text = dict(rows)
     assert all(k in kept or any(jaccard(text[j], text[k]) >= 0.8 for j in text if j != k) for k in text)
     assert len(kept) >= 12 and 0 in kept
+
+
+def test_rows_are_dropped_by_text_not_by_id(spark):
+    rnd = random.Random(5)
+    a, b, c = (sentence(rnd, 60) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (None, b), (None, c), (None, c)]
+    kept = simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", a), ("2", b), ("None", c)])
