@@ -59,6 +59,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_apart(docs: DataFrame, used: tuple[str, ...], replaced: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns ``used`` as they are and all others under names that no operator uses, without
+    those ``replaced``; and the names to give back: {held: own}."""
+    held = {c: f"__own_{k}" for k, c in enumerate(docs.columns) if c not in used}
+    out = docs.toDF(*[held.get(c, c) for c in docs.columns])
+    gone = [h for c, h in held.items() if c in replaced]
+    return out.drop(*gone), {h: c for c, h in held.items() if c not in replaced}
+
+
+def given_back(out: DataFrame, own: dict[str, str]) -> DataFrame:
+    """``out`` with the names that set_apart took."""
+    return out.toDF(*[own.get(c, c) for c in out.columns])
+
+
 def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     """Marked for broadcast if it has at most ``rows`` rows, by count; else left to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
