@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeline.llm.common import table
-from gaugeline.llm.urlfilter import BLOCKED_HOSTS
+from gaugeline.llm.urlfilter import BLOCKED_HOSTS, PARKED
 
 
 def op1_quality(spark, sf_dir):
@@ -92,7 +92,8 @@ def op10_classifier(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_quality, op2_syncmers, op3_mixing, op4_packing, op5_simhash, op6_lines, op7_secrets, op8_pii, op9_urlfilter, op10_classifier)}
 
 _URL = "coalesce(url, '')"
-_LISTED = " OR ".join(f"host = '{h}' OR host LIKE '%.{h}'" for h in BLOCKED_HOSTS)
+_PARKED = f"coalesce(try_cast(regexp_extract(host, '(^|[.])parked-(0|[1-9][0-9]*)[.]example[.]net$', 2) AS BIGINT) < {PARKED}, false)"
+_LISTED = " OR ".join([_PARKED, *(f"host = '{h}' OR host LIKE '%.{h}'" for h in BLOCKED_HOSTS)])
 #: Hashes of the engine, trees, rounds and tokenizers can't be said in SQL: the other operators are tested
 #: against brute force, by exact round trips and on held-out labels.
 ORACLES: dict[str, str] = {

@@ -448,16 +448,36 @@ def test_urls(spark, sf):
     assert urlfilter.judge(df.filter("false")).count() == 0
 
 
+def held_array(spark, entries, tmp_path, **more):
+    path = urlfilter.write_digest_array(entries, **more)
+    files = [f.removeprefix("file://") for f in spark.read.parquet(path).inputFiles()]
+    return urlfilter.DigestArray(urlfilter.unpacked(files, str(tmp_path / path[-8:])))
+
+
 def test_digest_array_confirms_strings(spark, tmp_path):
-    path = urlfilter.write_digest_array(spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("é",)], "s string"), str(tmp_path))
-    array = urlfilter.DigestArray(path)
+    array = held_array(spark, spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("é",)], "s string"), tmp_path)
     assert array.contains([b"a", b"c", "é".encode(), b""]) == [True, False, True, False]
     array.digests = np.full(3, xxhash.xxh64_intdigest(b"c", 42), "<u8")  # every key collides
     assert array.contains([b"c", b"a"]) == [False, False]
-    empty = urlfilter.DigestArray(urlfilter.write_digest_array(spark.createDataFrame([], "s string"), str(tmp_path)))
+    empty = held_array(spark, spark.createDataFrame([], "s string"), tmp_path)
     assert empty.contains([b"a"]) == [False]
 
 
+def test_digest_array_of_many_stretches(spark, tmp_path):
+    array = held_array(spark, spark.range(40_000).select(F.concat(F.lit("h"), F.col("id") * 2)), tmp_path, stretch=3000)
+    assert len(array.digests) == 40_000 and (np.diff(array.digests) >= 0).all()
+    assert array.contains([f"h{k}".encode() for k in range(80_000)]) == [k % 2 == 0 for k in range(80_000)]
+
+
+def test_urls_of_the_whole_list(spark):
+    urls = [f"http://{s}parked-{k}.example.net/x" for k in (0, 7, 199_999, 200_000) for s in ("", "www.", "no")] + ["http://parked-07.example.net", "http://listed.example.com/a/b?c"]
+    df = spark.createDataFrame([(k, u, "p") for k, u in enumerate(urls)], "page_id long, url string, __rule string")
+    got = {r.page_id: (r.verdict, r["__rule"]) for r in urlfilter.judge(df).collect()}
+    assert [got[k] for k in range(14)] == [("block", "p"), ("block", "p"), ("allow", "p")] * 3 + [("allow", "p")] * 5
+    some = urlfilter.judge(df, entries=spark.createDataFrame([("listed.example.com/a/b",)], "e string")).filter("verdict = 'block'")
+    assert [r.page_id for r in some.collect()] == [13]
+
+
 # --- 10
 
 
