@@ -1,17 +1,19 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction.
 
-What the fixed patterns find are the seeds. A token that looks like an identifier and its neighbouring words
-make edges of a graph of lexical patterns and instances. Spark scores it in rounds: a pattern's confidence
-in a kind is the share of its instances known to be of that kind, an instance's is what its confident
-patterns say together, and instances above a threshold count as known in the next round. Those that no
-fixed pattern found are added as spans x_<kind>.
+What the fixed patterns find are the seeds. An identifier (a word with an at sign, a word with digits, or groups of
+digits side by side) and its lexical patterns (two words on one side, or the next word and the class of
+the identifier) make the edges of a graph. Spark scores it in rounds: a pattern's confidence in a kind is the share of
+its instances known to be of that kind, those of other kinds counted in full and unknown ones in part; an
+instance's score is what its confident patterns say together, and instances above a threshold are known
+from the next round on, until no more are found. Those that no fixed pattern found are added as spans x_<kind>.
 
 Texts are read once, in Python on Arrow batches; what is kept of a document is its spans and the few
-tokens with digits or an at sign.
+identifiers.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import sys
 from collections.abc import Iterator
@@ -23,17 +25,20 @@ from pyspark.sql import functions as F
 from gaugeline.llm.common import broadcast_up_to, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: A pattern needs so many distinct known instances of a kind, and this share of all its instances.
+#: A pattern needs so many distinct known instances of a kind, and this confidence.
 LEAST_SEEDS = 5
-LEAST_CONFIDENCE = 0.8
+LEAST_CONFIDENCE = 0.75
+#: An instance of no known kind counts so much against a pattern.
+UNKNOWN = 0.25
 #: An instance needs this score, one minus the product of what its patterns leave open.
 LEAST_SCORE = 0.9
-ROUNDS = 3
+#: An identifier has an at sign or so many digits.
+LEAST_DIGITS = 3
 #: Up to so many patterns or found instances are broadcast, by count.
 MAX_BROADCAST = 100_000
 
 SPAN = "struct<kind:string,start:int,end:int>"
-TOKEN = "struct<kind:string,start:int,end:int,value:string,left:string,right:string>"
+TOKEN = "struct<kind:string,start:int,end:int,value:string,patterns:array<string>>"
 
 # The patterns of the kinds.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -43,7 +48,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IDENTIFYING = re.compile(r"[0-9@]")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-EDGES = ".,;:!?()[]{}<>\"'#$%&*|"
+NUMERIC = re.compile(r"[(+]*[0-9][0-9().,/+-]*")
+EDGES = ".,;:!?()[]{}<>\"'#$%&*|=-"
 
 
 def luhn(digits: str) -> bool:
@@ -82,33 +88,48 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
 
 
+def class_of(value: str) -> str:
+    return "mail" if "@" in value else "mixed" if any(c.isalpha() for c in value) else "digits"
+
+
 def identifier_tokens(text: str, spans: list[tuple[str, int, int]]) -> list[tuple]:
-    """(kind or None, start, end, value, left, right): the base spans and the other words that look like an
-    identifier (an at sign or four digits, six characters), each with two words on either side."""
+    """(kind or None, start, end, value, patterns): every base span, and the other identifiers outside of them."""
     if not IDENTIFYING.search(text):
         return []
     words = [m.span() for m in WORDS.finditer(text)]
-    norm = lambda k: text[slice(*words[k])].strip(EDGES).lower() if 0 <= k < len(words) else "^"
-    out, taken, j = [], sorted((s, e, k) for k, s, e in spans), 0
-    for k, (a, b) in enumerate(words):
-        word = text[a:b]
-        if not IDENTIFYING.search(word):
-            continue
+    starts = [a for a, _ in words]
+    taken = sorted((s, e, k) for k, s, e in spans)
+    plain = lambda s: s.strip(EDGES).lower()
+
+    def token(kind: str | None, s: int, e: int) -> tuple:
+        first, last = bisect.bisect_right(starts, s) - 1, bisect.bisect_left(starts, e) - 1
+        left = [plain(text[slice(*words[k])]) if k >= 0 else "^" for k in (first - 2, first - 1)]
+        right = [plain(text[slice(*words[k])]) if k < len(words) else "$" for k in (last + 1, last + 2)]
+        if own := plain(text[words[first][0] : s]):  # what is joined to it, as in tel:123
+            left = [left[1], own]
+        if own := plain(text[e : words[last][1]]):
+            right = [own, right[0]]
+        value = text[s:e]
+        held = class_of(value)
+        return kind, s, e, value, [f"< {left[0]} {left[1]}", f"> {right[0]} {right[1]}", f"<{held} {left[1]}", f">{held} {right[0]}"]
+
+    out, j, k = [token(kind, s, e) for s, e, kind in taken], 0, 0
+    while k < len(words):
+        a, b = words[k]
+        k += 1
         while j < len(taken) and taken[j][1] <= a:
             j += 1
-        held = [x for x in taken[j : j + 4] if x[0] < b and x[1] > a]
-        if held:
-            s, e, kind = held[0]
-            if s >= a:  # at its first word; its right side begins after its last one
-                last = k
-                while last + 1 < len(words) and words[last + 1][0] < e:
-                    last += 1
-                out.append((kind, s, e, text[s:e], f"{norm(k - 2)} {norm(k - 1)}", f"{norm(last + 1)} {norm(last + 2)}"))
+        room = taken[j][0] if j < len(taken) else len(text)
+        if b > room or not IDENTIFYING.search(text, a, b):
             continue
-        value = word.strip(EDGES)
-        if len(value) >= 6 and ("@" in value or sum(c.isdigit() for c in value) >= 4):
-            s = a + word.index(value)
-            out.append((None, s, s + len(value), value, f"{norm(k - 2)} {norm(k - 1)}", f"{norm(k + 1)} {norm(k + 2)}"))
+        if NUMERIC.fullmatch(text, a, b):  # with the groups of digits beside it
+            while k < len(words) and words[k][0] == b + 1 and words[k][1] <= room and NUMERIC.fullmatch(text, *words[k]):
+                b = words[k][1]
+                k += 1
+        value = text[a:b].strip(EDGES)
+        if "@" in value[1:-1] or sum(c.isdigit() for c in value) >= LEAST_DIGITS:
+            s = text.index(value, a)
+            out.append(token(None, s, s + len(value)))
     return out
 
 
@@ -119,9 +140,9 @@ def scanned(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-        token = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("left", pa.string()), ("right", pa.string())])
+        token = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
         kind = pa.struct([("base", pa.list_(span)), ("tokens", pa.list_(token))])
-        names = ("kind", "start", "end", "value", "left", "right")
+        names = ("kind", "start", "end", "value", "patterns")
         for texts in batches:
             rows = []
             for t in texts:
@@ -135,27 +156,29 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def discovered(tokens: DataFrame) -> DataFrame:
-    """(value, kind): what no fixed pattern found, of rows (kind, value, left, right)."""
-    patterns = F.array(F.concat(F.lit("< "), "left"), F.concat(F.lit("> "), "right"))
-    edges = tokens.select("value", "kind", F.explode(patterns).alias("pattern")).groupBy("pattern", "value").agg(F.max("kind").alias("seed"))
-    edges = written(edges)
-    known = edges.filter("seed is not null").select("value", F.col("seed").alias("kind")).distinct()
-    size = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    new = None
-    for _ in range(ROUNDS):
-        strong = edges.join(known, "value").groupBy("pattern", "kind").agg(F.count("*").alias("known")).filter(F.col("known") >= LEAST_SEEDS)
-        strong = strong.join(size, "pattern").withColumn("confidence", F.col("known") / (F.col("n") + 1)).filter(F.col("confidence") >= LEAST_CONFIDENCE)
+    """(value, kind): what no fixed pattern found, of rows (kind, value, patterns)."""
+    edges = written(tokens.select("value", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("kind").alias("seed")))
+    seeds = written(edges.filter("seed is not null").groupBy("value").agg(F.max("seed").alias("kind")))
+    open_ = written(edges.filter("seed is null").join(seeds.select("value"), "value", "left_anti").select("pattern", "value"))
+    size = written(edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") > LEAST_SEEDS))
+    found = None
+    while True:
+        known = seeds if found is None else seeds.unionByName(found)
+        of = edges.select("pattern", "value").join(known, "value").groupBy("pattern", "kind").agg(F.count("*").alias("known"))
+        every = of.groupBy("pattern").agg(F.sum("known").alias("all_known"))
+        strong = of.filter(F.col("known") >= LEAST_SEEDS).join(every, "pattern").join(size, "pattern")
+        against = F.col("all_known") - F.col("known") + UNKNOWN * (F.col("n") - F.col("all_known"))
+        strong = strong.withColumn("confidence", F.col("known") / (F.col("known") + against + 1)).filter(F.col("confidence") >= LEAST_CONFIDENCE)
         strong = broadcast_up_to(written(strong.select("pattern", "kind", "confidence")), MAX_BROADCAST)
+        # one side of an instance counts once, by its more confident pattern
+        sides = open_.join(strong, "pattern").groupBy("value", "kind", F.substring("pattern", 1, 1).alias("side")).agg(F.max("confidence").alias("confidence"))
         score = 1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))
-        found = edges.filter("seed is null").join(strong, "pattern").groupBy("value", "kind").agg(score.alias("score")).filter(F.col("score") >= LEAST_SCORE)
-        found = written(found.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")))
-        if new is not None and found.count() == new.count():
-            return found
-        if found.isEmpty():
-            return found
-        new = found
-        known = edges.filter("seed is not null").select("value", F.col("seed").alias("kind")).distinct().unionByName(found)
-    return new
+        new = sides.groupBy("value", "kind").agg(score.alias("score")).filter(F.col("score") >= LEAST_SCORE)
+        new = new.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+        new = written(new if found is None else new.join(found.select("value"), "value", "left_anti"))
+        if new.isEmpty():
+            return new if found is None else found
+        found = new if found is None else written(found.unionByName(new))
 
 
 def find(docs: DataFrame) -> DataFrame:

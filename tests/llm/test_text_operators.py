@@ -430,6 +430,54 @@ def test_pii_discovers_by_context(spark):
         assert more == ([f"jo{k - 100}77521@localhost"] if 100 <= k < 200 else [])
 
 
+def test_pii_finds_planted_identifiers(spark):
+    """Identifiers that the fixed patterns miss, of each kind, in contexts that the seeds share, and as many decoys."""
+    rnd = random.Random(31)
+    n = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
+    filler = lambda: " ".join(rnd.choice("alpha bravo carol delta event forum great house index judge kind lemon".split()) for _ in range(rnd.randint(2, 6)))
+
+    def card(good):
+        while True:
+            x = "4" + n(15)
+            if pii.luhn(x) == good:
+                return x
+
+    around = {"email": ("contact me at", "or write"), "phone": ("call us on", "any day"), "ip": ("logged in from", "last night"), "card": ("charged to card", "this month")}
+    seen = {"email": lambda: f"u{n(5)}@mail{n(1)}.example.com", "phone": lambda: f"+44 20 {n(4)} {n(4)}", "ip": lambda: ".".join(str(rnd.randint(0, 255)) for _ in range(4)), "card": lambda: card(True)}
+    missed = {"email": lambda: f"u{n(5)}@localhost", "phone": lambda: f"020 {n(4)} {n(4)}", "ip": lambda: f"fe80::{n(4)}:{n(4)}", "card": lambda: " ".join([(x := card(False))[:4], x[4:8], x[8:12], x[12:]])}
+    decoys = {"email": lambda: f"@handle{n(5)}", "phone": lambda: f"{n(3)} {n(4)} {n(4)}", "ip": lambda: f"order-{n(6)}", "card": lambda: f"{n(4)} {n(4)}"}
+    rows, want = [], {}
+    for kind, (left, right) in around.items():
+        for k in range(200):
+            rows.append((len(rows), f"{filler()} {left} {seen[kind]()} {right} {filler()}"))
+        for k in range(60):
+            x = missed[kind]()
+            want[len(rows)] = (f"x_{kind}", x)
+            rows.append((len(rows), f"{filler()} {left} {x} {right} {filler()}"))
+        for k in range(60):
+            rows.append((len(rows), f"{filler()} {decoys[kind]()} {filler()}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    got = {r.doc_id: [(x.kind, text[r.doc_id][x.start : x.end]) for x in r.spans if x.kind.startswith("x_")] for r in pii.find(docs).collect()}
+    assert sum(got[k] == [v] for k, v in want.items()) >= 0.95 * len(want)
+    assert sum(bool(v) for k, v in got.items() if k not in want) <= 0.01 * len(rows)
+
+
+def test_pii_chains_of_contexts(spark):
+    """What is found in one context makes another's pattern strong, over several rounds."""
+    rnd = random.Random(32)
+    w = lambda: f"w{rnd.randint(0, 9)}x"
+    ctx = [("mail to", "please now"), ("reach out", "some time"), ("speak with", "about it"), ("listen to", "every week")]
+    name = [f"n{k}99@host" for k in range(36)]
+    rows = [f"{w()} {ctx[0][0]} s{k}@mail.example.com {ctx[0][1]} {w()}" for k in range(60)]
+    for c in range(4):
+        for k in range(8 * c, 8 * c + 12):  # each context shares identifiers with the one before
+            rows.append(f"{w()} {ctx[c][0]} {name[k]} {ctx[c][1]} {w()}")
+    got = pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    found = {rows[r.doc_id][x.start : x.end] for r in got for x in r.spans if x.kind == "x_email"}
+    assert found >= set(name[:12])
+
+
 # --- 9
 
 
