@@ -5,6 +5,10 @@ and texts without spaces have anchors too). Two texts of which one is taken by c
 characters of both. A k-mer of units is an anchor if the least hash among its inner s-mers stands
 at its first or last place. That depends on the k-mer alone, so an edit moves no anchor outside the
 k-mers that it touches, and the same passage has the same anchors wherever it stands.
+
+A fingerprint is of bounded size: the SKETCH anchors of least hash, each with its first position. Two fingerprints are
+matched by position: anchors in both are laid out in the order of the one text, and those count that keep the
+distance of a neighbour, or of the texts' beginnings, in the other; the same words in another order are not alike.
 """
 
 from __future__ import annotations
@@ -12,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import text_of, words_of
+from gaugeline.llm.common import text_of, words_of, written
 
 K = 5
 S = 2
 #: A text of fewer words, or of more characters to a word, is taken by characters.
 LEAST_WORDS = 16
 MOST_CHARS_A_WORD = 64
+#: Anchors of a fingerprint at most. Texts with fewer are matched by all of them.
+SKETCH = 128
 #: Documents with ids in one run of so many, a power of two, share a task when each looks for the next.
 RUN = 256
 
@@ -62,49 +68,82 @@ def with_anchors(docs: DataFrame, text: Column, out: str, k: int = K, s: int = S
     return docs.withColumn(out, F.when(F.size(h) == 0, none).when(F.size(h) < k, whole).otherwise(found)).drop(h, m)
 
 
-def sketch(anchors: Column) -> Column:
-    """The distinct anchor hashes cut to 32 bits: what likeness compares."""
-    return F.array_sort(F.array_distinct(F.transform(anchors, lambda a: a["hash"].bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(F.lit(1 << 31)) - (1 << 31)))).cast("array<int>")
+_LOW = (1 << 31) - 1
+
+
+def _hash(x: Column) -> Column:
+    return F.shiftright(x, 32)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The Jaccard coefficient of two sketches; 1 for two empty ones."""
-    both = F.size(F.array_intersect(a, b))
-    return F.coalesce(F.try_divide(both.cast("double"), F.size(a) + F.size(b) - both), F.lit(1.0))
+def with_sketch(docs: DataFrame, anchors: str, out: str, most: int = SKETCH) -> DataFrame:
+    """``docs`` with a column ``out`` in the place of ``anchors``: the ``most`` anchors of least hash, in order, each one number: 31 bits of hash, 32 of its first
+    position."""
+    packed = F.array_sort(F.transform(anchors, lambda a: F.shiftleft(a["hash"].bitwiseAND(F.lit(_LOW)), 32) + a["position"]))
+    docs = docs.withColumn(f"__{out}", packed)
+    first = F.filter(f"__{out}", lambda x, i: (i == 0) | (_hash(x) != _hash(F.get(f"__{out}", i - 1))))
+    return docs.withColumn(out, F.slice(first, 1, most)).drop(f"__{out}", *{anchors} - {out})
+
+
+def with_likeness(docs: DataFrame, a: Column, b: Column, out: str, most: int = SKETCH) -> DataFrame:
+    """``docs`` with a column ``out``: of the anchors of the sketches ``a`` and ``b``, the share that both have at matching places; 1 for two empty
+    ones. Of full sketches only the hashes that both cover count, so the share is an estimate for all anchors."""
+    covered = lambda x: F.when(F.size(x) == most, _hash(F.get(x, F.lit(most - 1)))).otherwise(_LOW)
+    docs = docs.withColumns({"__a": a, "__b": b})
+    docs = docs.withColumn("__upto", F.least(covered(F.col("__a")), covered(F.col("__b"))))
+    within = lambda c: F.filter(c, lambda x: _hash(x) <= F.col("__upto"))
+    docs = docs.withColumns({"__a": within("__a"), "__b": within("__b")})
+    both = F.array_sort(F.concat("__a", F.transform("__b", lambda x: x.bitwiseOR(F.lit(1 << 31)))))
+    docs = docs.withColumn("__m", both)
+    other = lambda i: F.get("__m", i + 1)
+    shared = F.filter(F.transform("__m", lambda x, i: F.when(_hash(x) == _hash(other(i)), F.shiftleft(x.bitwiseAND(F.lit(_LOW)), 32) + other(i).bitwiseAND(F.lit(_LOW)))), lambda x: x.isNotNull())
+    docs = docs.withColumn("__m", F.array_sort(shared))
+    # how far the other's place is from its own
+    moved = F.transform("__m", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.shiftright(x, 32))
+    docs = docs.withColumn("__d", moved)
+    at = lambda i: F.get("__d", i)
+    kept = F.filter("__d", lambda d, i: (d == 0) | F.coalesce(d == at(i + 1), F.lit(False)) | (F.when(i > 0, d == at(i - 1)).otherwise(False)))
+    n = F.size(kept)
+    docs = docs.withColumn("__n", n)
+    share = F.coalesce(F.try_divide(F.col("__n").cast("double"), F.size("__a") + F.size("__b") - F.col("__n")), F.lit(1.0))
+    return docs.withColumn(out, share).drop("__a", "__b", "__m", "__d", "__n", "__upto")
 
 
 def fingerprint(sketched: Column) -> Column:
-    """The sketch as a string of 8 hex digits for each anchor."""
-    return F.array_join(F.transform(sketched, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
+    """The sketch as a string: 8 hex digits of hash and 8 of position for each anchor."""
+    return F.array_join(F.transform(sketched, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+
+
+def following(values: DataFrame) -> DataFrame:
+    """(v, to) for distinct rows (v): the next larger one, after the largest the smallest. Dealt out by range; each part passes its
+    first value on, so that only one row a part meets in one task."""
+    parts = written(values.repartitionByRange("v").select("v", F.spark_partition_id().alias("part")))
+    firsts = parts.groupBy("part").agg(F.min("v").alias("first"))
+    order = Window.orderBy("part")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = firsts.select("part", F.coalesce(F.lead("first").over(order), F.first("first").over(whole)).alias("after"))
+    own = parts.withColumn("to", F.lead("v").over(Window.partitionBy("part").orderBy("v")))
+    return own.join(F.broadcast(firsts), "part").select("v", F.coalesce("to", "after").alias("to"))
 
 
 def with_next(docs: DataFrame, columns: list[str], run: int = RUN) -> DataFrame:
     """``docs`` with next_<column> of the row that follows by doc_id; the first follows the last.
 
     Rows are dealt out by runs of ids, and each run finds its rows' followers. A run's last row needs the
-    first row of the next run that has any; those are found on one row a run, then one row for each run of
-    runs. Equal ids follow each other in the order of ``columns``. Null ids come first.
+    first row of the next run that has any. Equal ids follow each other in the order of ``columns``. Null ids come first, in the
+    order of a hash of the first of ``columns``.
     """
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))
+    spread = F.xxhash64(columns[0]).bitwiseAND(F.lit((1 << 40) - 1)) - (1 << 62)
     number = lambda x: F.shiftright(x, run.bit_length() - 1)  # noqa: E731  rounds down, below zero too
-    runs = docs.withColumn("__run", number(id_))
-    w = Window.partitionBy("__run").orderBy("doc_id", *columns)
+    runs = docs.withColumn("__order", F.coalesce(F.col("doc_id").cast("long"), spread))
+    runs = runs.withColumn("__run", number(F.col("__order")))
+    to = following(runs.select(F.col("__run").alias("v")).distinct()).select(F.col("v").alias("__run"), F.col("to").alias("__to"))
+    w = Window.partitionBy("__run").orderBy("__order", *columns)
     runs = runs.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns} | {"__next": F.lead(F.lit(1)).over(w), "__first": F.lag(F.lit(1)).over(w).isNull()})
-
-    held = docs.select(number(id_).alias("__run")).distinct()
-    held = held.withColumn("__part", number(F.col("__run")))
-    inside = held.withColumn("__to", F.lead("__run").over(Window.partitionBy("__part").orderBy("__run")))
-    parts = held.groupBy("__part").agg(F.min("__run").alias("__begins"))
-    everything = Window.orderBy("__part")
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    parts = parts.withColumn("__after", F.coalesce(F.lead("__begins").over(everything), F.min("__begins").over(whole)))
-    to = inside.join(parts, "__part").select("__run", F.coalesce("__to", "__after").alias("__to"))
-
     last = runs.filter("__next is null").join(to, "__run").drop(*[f"next_{c}" for c in columns])
     firsts = runs.filter("__first").select(F.col("__run").alias("__to"), *[F.col(c).alias(f"next_{c}") for c in columns])
     last = last.join(firsts, "__to").drop("__to")
     out = runs.filter("__next is not null").unionByName(last)
-    return out.drop("__run", "__next", "__first")
+    return out.drop("__run", "__next", "__first", "__order")
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
@@ -117,31 +156,29 @@ def with_edits(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", text_of(F.col("text").cast("string")).alias("text"))
     rows = rows.withColumn("chars", by_characters(F.col("text")))
-    rows = with_anchors(rows, F.col("text"), "anchors", by_character=F.col("chars")).withColumn("sketch", sketch(F.col("anchors"))).select("doc_id", "text", "sketch", "chars")
+    rows = with_sketch(with_anchors(rows, F.col("text"), "anchors", by_character=F.col("chars")), "anchors", "sketch").select("doc_id", "text", "sketch", "chars")
     rows = with_next(rows, ["text", "sketch", "chars"])
     n = F.length("text")
     quarter = F.floor(n / F.lit(4)).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))
     rows = rows.withColumn("edited", edited).withColumn("n_chars", n.cast("long"))
     rows = rows.withColumn("edited_chars", by_characters(F.col("edited")))
-    rows = with_anchors(rows, F.col("edited"), "edited_anchors", by_character=F.col("edited_chars")).withColumn("edited_sketch", sketch(F.col("edited_anchors")))
+    rows = with_sketch(with_anchors(rows, F.col("edited"), "edited_anchors", by_character=F.col("edited_chars")), "edited_anchors", "edited_sketch")
     # the characters of a text of words whose other is taken by characters
     needed = {"text": ~F.col("chars") & (F.col("next_chars") | F.col("edited_chars")), "next_text": F.col("chars") & ~F.col("next_chars"), "edited": F.col("chars") & ~F.col("edited_chars")}
     for c, need in needed.items():
-        rows = with_anchors(rows, F.when(need, F.col(c)).otherwise(F.lit("")), f"{c}_in_chars", by_character=F.lit(True))
-    in_chars = lambda c: sketch(F.col(f"{c}_in_chars"))
-
-    def alike(other: str, name: str) -> Column:
-        text = F.when(~F.col("chars") & F.col(f"{other}_chars"), in_chars("text")).otherwise(F.col("sketch"))
-        return likeness(text, F.when(F.col("chars") & ~F.col(f"{other}_chars"), in_chars(name)).otherwise(F.col(f"{other}_sketch")))
-
+        rows = with_sketch(with_anchors(rows, F.when(need, F.col(c)).otherwise(F.lit("")), "in_chars", by_character=F.lit(True)), "in_chars", f"{c}_in_chars")
+    for other, name in (("edited", "edited"), ("next", "next_text")):
+        own = F.when(~F.col("chars") & F.col(f"{other}_chars"), F.col("text_in_chars")).otherwise(F.col("sketch"))
+        its = F.when(F.col("chars") & ~F.col(f"{other}_chars"), F.col(f"{name}_in_chars")).otherwise(F.col(f"{other}_sketch"))
+        rows = with_likeness(rows, own, its, f"near_{other}")
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("sketch")).alias("fingerprint"),
         fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
-        alike("edited", "edited").alias("near_edited"),
-        alike("next", "next_text").alias("near_next"),
+        "near_edited",
+        "near_next",
         F.size("sketch").cast("long").alias("n_anchors"),
     )

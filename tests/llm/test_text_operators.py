@@ -118,6 +118,60 @@ def test_syncmers_next_over_gaps(spark):
     assert {r.doc_id: r.next_text for r in df.collect()} == {a: f"t{b}" for a, b in zip(o, o[1:] + o[:1], strict=True)}
 
 
+def positional(a, b, most=syncmers.SKETCH):
+    """Likeness by a literal reading, from two fingerprints."""
+    a, b = ({int(f[i : i + 8], 16): int(f[i + 8 : i + 16], 16) for i in range(0, len(f), 16)} for f in (a, b))
+    upto = min(max(x) if len(x) == most else 1 << 31 for x in (a, b)) if a or b else 0
+    a, b = ({h: p for h, p in x.items() if h <= upto} for x in (a, b))
+    d = [b[h] - p for h, p in sorted(a.items(), key=lambda x: x[1]) if h in b]
+    n = sum(x == 0 or x in d[i + 1 : i + 2] or (i > 0 and x == d[i - 1]) for i, x in enumerate(d))
+    return n / (len(a) + len(b) - n) if a or b else 1.0
+
+
+def test_syncmers_likeness(spark, real):
+    df = syncmers.with_edits(real)
+    units = {k: len(WORD.findall(t)) >= syncmers.LEAST_WORDS and len(t) <= 64 * len(WORD.findall(t)) for k, t in texts(real)}
+    rows = sorted(df.collect())
+    assert all(len(r.fingerprint) <= 16 * syncmers.SKETCH for r in rows) and max(r.n_anchors for r in rows) == syncmers.SKETCH
+    checked = 0
+    for r, s in zip(rows, rows[1:] + rows[:1], strict=True):
+        if units[r.doc_id] and units[s.doc_id]:
+            assert r.near_next == pytest.approx(positional(r.fingerprint, s.fingerprint))
+            assert 0 <= r.near_edited <= 1
+            checked += 1
+    assert checked > 100
+    near = [(r.near_edited, r.near_next) for r in rows if r.n_chars > 400 and units[r.doc_id]]
+    assert np.mean([a > 0.35 for a, _ in near]) > 0.95 and np.median([b for _, b in near]) == 0
+
+
+def test_syncmers_match_by_place(spark):
+    rnd = random.Random(41)
+    w = [f"w{rnd.randint(0, 10**6)}" for _ in range(120)]
+    parts = [w[i : i + 6] for i in range(0, 120, 6)]
+    rnd.shuffle(parts)
+    other = {1: w, 2: [f"n{k}" for k in range(15)] + w, 3: w[:60] + ["a", "b", "c"] + w[60:], 4: sum(parts, []), 5: w[60:] + w[:60]}
+    rows = [(k, " ".join(t), " ".join(w)) for k, t in other.items()]
+    df = spark.createDataFrame(rows, "k long, a string, b string")
+    for c in "ab":
+        df = syncmers.with_sketch(syncmers.with_anchors(df, F.col(c), f"s{c}"), f"s{c}", f"s{c}")
+    got = {r.k: r.near for r in syncmers.with_likeness(df, F.col("sa"), F.col("sb"), "near").collect()}
+    assert got[1] == 1 and got[2] > 0.8 and got[3] > 0.8 and got[5] > 0.8 and got[4] < 0.6 * got[3]
+
+
+def test_syncmers_odd_rows(spark, odd):
+    df = odd.withColumn("__run", F.lit("x")).withColumn("chars", F.lit(2))
+    got = syncmers.with_edits(df).collect()
+    n = lambda k: [r for r in got if r.doc_id == k]
+    assert len(got) == odd.count() and len(n(None)) == 1 and len(n(5)) == 2
+    assert n(2)[0].fingerprint == "" and n(1)[0].near_next == 1.0 and n(4)[0].fingerprint == n(8)[0].fingerprint
+    assert syncmers.with_edits(odd.filter("false")).count() == 0
+    alone = syncmers.with_edits(odd.filter("doc_id = 9")).collect()
+    assert len(alone) == 1 and alone[0].near_next == 1.0
+    many = spark.createDataFrame([(None, f"text {k} of its own") for k in range(20)] + [(3, "three")] * 2, "doc_id long, text string")
+    nexts = syncmers.with_next(many, ["text"]).collect()
+    assert collections.Counter(r.next_text for r in nexts) == collections.Counter(r.text for r in nexts)
+
+
 # --- 3
 
 
