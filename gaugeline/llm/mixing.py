@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import WORD, broadcast_up_to, text_of, written
+from gaugeline.llm.common import WORD, broadcast_up_to, given_back, set_apart, text_of, written
 
 #: Expected copies are whole multiples of 1 / UNIT, so that prefix sums are exact in any order.
 UNIT = 1 << 24
@@ -69,14 +69,16 @@ def _keyed(docs: DataFrame, size: Column) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17, size: Column | None = None) -> DataFrame:
     """All rows of ``docs`` (doc_id, source and what else there is) with size, source_size, target, copies
-    and taken (copies * size). Columns of those names are replaced.
+    and taken (copies * size). Columns of those names are replaced; others stay, whatever their names. ``size``, if given, is a
+    column of ``docs`` that may be of one of those names.
 
     A null text has size 0; a source without words has target 0 and is not taken. Rows that are equal
     are separate documents. Null sources form one source, the last. An empty table gives an empty one.
     The result depends on the rows and ``seed`` only.
     """
-    size = n_words() if size is None else size
-    keyed = _keyed(docs, size)
+    docs = docs.withColumn("__given", n_words() if size is None else size)
+    docs, own = set_apart(docs, ("doc_id", "source", "text", "__given"), ("size", "source_size", "target", "copies", "taken"))
+    keyed = _keyed(docs, F.col("__given")).drop("__given")
     light = written(keyed.select("__source", "size", "__bin").groupBy("__source", "size", "__bin").agg(F.count("*").alias("__n")))
     counts = light.select("__source", (F.col("size") * F.col("__n")).alias("size"))
     sources = source_targets(counts, weights, cap).withColumn("__e", F.round(F.col("rate") * UNIT).cast("long"))
@@ -91,17 +93,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     place = Window.partitionBy("__source", "size", "__bin").orderBy("doc_id")
     ranked = keyed.withColumn("__place", F.row_number().over(place).cast("long"))
     ranked = ranked.join(bins, ["__source", "size", "__bin"])
-    ranked = ranked.drop("source_size", "target", "copies", "taken")
     ranked = ranked.join(broadcast_up_to(sources, MAX_BROADCAST_SOURCES), "__source")
     crossed = f"(__u + __e * (__first + __place)) div {UNIT} - (__u + __e * (__first + __place - 1)) div {UNIT}"
     out = ranked.withColumn("copies", F.expr(crossed))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("__source", "__bin", "__place", "__first", "__e", "__u")
+    return given_back(out.drop("__source", "__bin", "__place", "__first", "__e", "__u"), own)
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
     """Each document as often as it is taken."""
-    return mixed.filter("copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("__i")
+    rows, own = set_apart(mixed, ("copies",))
+    return given_back(rows.filter("copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("__i"), own)
 
 
 def sizes_table(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import broadcast_up_to, text_of, words_of
+from gaugeline.llm.common import broadcast_up_to, given_back, set_apart, text_of, words_of
 
 BUCKETS = 8192
 #: Mean log ratio in nats from which a document is kept.
@@ -88,11 +88,12 @@ def repeated_words(words: Column, name: str = "__g") -> tuple[dict[str, Column],
 
 def judge(docs: DataFrame, weights: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """All rows of ``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    score and kept. Columns of those names are replaced.
+    score and kept. Columns of those names are replaced; others stay, whatever their names.
 
     A null or empty text has no words and fails the base rules. Repeated rows are judged alike; nothing
     but the text counts. An empty table gives an empty one.
     """
+    docs, own = set_apart(docs, ("text",), ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"))
     out = docs.withColumn("__text", text_of()).withColumn("__w", words_of(F.col("__text")))
     w = F.col("__w")
     lines = F.filter(F.split("__text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
@@ -112,4 +113,4 @@ def judge(docs: DataFrame, weights: list[float], threshold: float = THRESHOLD) -
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-    return out.drop("__text", "__w", "__lines", *steps)
+    return given_back(out.drop("__text", "__w", "__lines", *steps), own)

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import GAP, text_of
+from gaugeline.llm.common import GAP, given_back, set_apart, text_of
 
 #: The fit sees at most so many labelled documents, those first by a hash of the id.
 MAX_LABELLED = 12_000
@@ -168,14 +168,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """All rows of ``docs`` with held_out, score and predicted. Columns of those names are replaced.
+    """All rows of ``docs`` with held_out, score and predicted. Columns of those names are replaced; others stay, whatever their names.
 
     The score depends on the text alone. A null text counts as empty and is scored like any other;
     repeated rows score alike; without labels every score is one half. An empty table gives an empty one.
     """
     model = train(docs, labels)
+    docs, own = set_apart(docs, ("doc_id", "text"), ("held_out", "score", "predicted"))
     out = with_statistics(docs).withColumn("held_out", held_out())
     out = out.withColumn("score", model.score()).drop("__stats")
-    return out.withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0))
+    return given_back(out.withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0)), own)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.llm import minhash
-from gaugeline.llm.common import broadcast_up_to, written
+from gaugeline.llm.common import broadcast_up_to, given_back, set_apart, written
 from gaugeline.llm.components import components
 
 THRESHOLD = 3
@@ -131,6 +131,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     shingles of five words (minhash.similar). Of equal texts the one with the smallest id stays, of equal rows one;
     rows with one id and different texts are different. Only ids and hashes are shuffled: those to drop are
     broadcast if there are few, and rows that occur twice are handled apart."""
+    docs, own = set_apart(docs, ("doc_id", "text"))
     rows, edges = minhash.similar(docs)
     key = ["__id", "__h"]
     copies = components(edges).filter("node <> root").select(F.col("node.h").alias("__h")).distinct()
@@ -142,7 +143,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     if not twice.isEmpty():
         twice = broadcast_up_to(twice, MAX_BROADCAST_IDS)
         kept = kept.join(twice, key, "left_anti").unionByName(kept.join(twice, key, "left_semi").dropDuplicates(key))
-    return kept.drop(*key)
+    return given_back(kept.drop(*key), own)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
