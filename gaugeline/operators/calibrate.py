@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeline.operators.ranked import with_running_sums
+
 
 def tukey_fit(df: DataFrame, good: Column, keys: tuple[str, ...] = ("machine",), value: str = "obs", cents: str = "cents", least: int = 10) -> DataFrame:
     """(keys, q99, q01, q1, q3, fence, low_fence, thr, thr_low, clean_var, n) of the rows where ``good`` holds,
@@ -32,12 +34,10 @@ def median_iqr(df: DataFrame, good: Column, keys: tuple[str, ...] = ("machine",)
 
 def ranked_counts(df: DataFrame, keys: tuple[str, ...] = (), score: str = "score", y: str = "y") -> DataFrame:
     """For each distinct score: tp and fp if all rows of at least that score are taken, and pos, neg in all.
-    Rows are summed by score before any window, so its input is the distinct scores."""
+    Rows are summed by score first, and running sums go by stretches of scores, so no task sees all of them."""
     g = df.groupBy(*keys, score).agg(F.sum(y).alias("__p"), F.count("*").alias("__n"))
-    down = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    g = g.withColumns({"tp": F.sum("__p").over(down), "__k": F.sum("__n").over(down), "pos": F.sum("__p").over(whole), "__all": F.sum("__n").over(whole)})
-    return g.select(*keys, score, "tp", (F.col("__k") - F.col("tp")).alias("fp"), "pos", (F.col("__all") - F.col("pos")).alias("neg"))
+    g = with_running_sums(g, score, {"tp": "__p", "__k": "__n"}, keys, descending=True)
+    return g.select(*keys, score, "tp", (F.col("__k") - F.col("tp")).alias("fp"), F.col("tp_all").alias("pos"), (F.col("__k_all") - F.col("tp_all")).alias("neg"))
 
 
 def best_f1(df: DataFrame, keys: tuple[str, ...] = (), score: str = "score", y: str = "y") -> DataFrame:

@@ -25,7 +25,7 @@ def ranked_walk(hop_table: DataFrame, peaks: DataFrame, k: int) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("src", "hop").orderBy(F.col("peak").desc(), "dst")
-    got = hop_table.filter("hop > 0").join(F.broadcast(peaks.withColumnRenamed("machine", "dst")), "dst")
+    got = hop_table.filter("hop > 0").join(peaks.withColumnRenamed("machine", "dst"), "dst")
     return got.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("src", "hop", "dst", "peak", "rank")
 
 

@@ -9,15 +9,18 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.operators.ranked import as_number, numbered
+from gaugeline.sources.storage import written
+
 
 def grouped_folds(df: DataFrame, group: str, y: str, k: int = 3) -> DataFrame:
     """(group, fold): groups in order, dealt out in turn among those with and those without a positive."""
     g = df.groupBy(group).agg(F.max(y).alias("__y"))
-    w = Window.partitionBy("__y").orderBy(group)
-    return g.select(group, ((F.row_number().over(w) - 1) % k).alias("fold"))
+    g = numbered(g.withColumn("__o", as_number(g, group)), "__o", "fold", ("__y",))
+    return g.select(group, (F.col("fold") % k).cast("int").alias("fold"))
 
 
 def balanced(df: DataFrame, y: str) -> DataFrame:
@@ -25,13 +28,13 @@ def balanced(df: DataFrame, y: str) -> DataFrame:
     c = df.groupBy(y).agg(F.count("*").alias("__n"))
     total = c.agg(F.sum("__n").alias("__all"), F.count("*").alias("__k"))
     c = c.join(F.broadcast(total), F.lit(True)).select(y, (F.col("__all") / (F.col("__k") * F.col("__n"))).alias("weight"))
-    return df.join(F.broadcast(c), y)
+    return df.join(c, y)
 
 
 def out_of_fold(df: DataFrame, features: list[str], y: str, group: str, k: int = 3, kind: str = "logistic", seed: int = 3) -> DataFrame:
     """``df`` with fold and oof: each row's score by a model that hasn't seen its group. The loop is over folds."""
-    df = df.join(F.broadcast(grouped_folds(df, group, y, k)), group)
-    df = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(df).persist()
+    df = written(df.join(grouped_folds(df, group, y, k), group))
+    df = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(df)
     out = None
     for fold in range(k):
         train = balanced(df.filter(F.col("fold") != fold), y)
@@ -70,15 +73,18 @@ def mixture_threshold(df: DataFrame, score: str, fpr: float, seed: int = 5) -> f
     return best[1] + NormalDist().inv_cdf(1 - fpr) * math.sqrt(best[2])
 
 
+#: The Poisson distribution of mean 1: the chance of no more than 0, 1, ... draws.
+_POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(10)]
+
+
 def bootstrap_interval(df: DataFrame, cluster: str, hit: Column, reps: int = 500, seed: int = 9) -> DataFrame:
     """(lo, hi): the 2.5 and 97.5 percentiles of the hit rate over resamples of whole clusters. Rows are summed
-    by cluster first; a draw is a hash of seed, repetition and place, so reruns agree."""
+    by cluster first; how often a repetition draws a cluster is Poisson of mean 1, from a hash of seed, repetition and
+    cluster, so reruns agree and no cluster is ranked or looked up."""
     c = df.groupBy(cluster).agg(F.count_if(hit).alias("h"), F.count("*").alias("n"))
-    c = c.withColumn("k", F.row_number().over(Window.orderBy(cluster)) - 1)
-    total = c.agg(F.count("*").alias("m"))
-    draws = df.sparkSession.range(reps).select(F.col("id").alias("rep")).join(F.broadcast(total), F.lit(True))
-    draws = draws.select("rep", "m", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("i"))
-    draws = draws.select("rep", F.pmod(F.xxhash64(F.lit(seed), "rep", "i"), F.col("m")).cast("int").alias("k"))
-    rate = draws.join(c, "k").groupBy("rep").agg((F.sum("h") / F.sum("n")).alias("r"))
+    draws = c.select("h", "n", cluster, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    u = F.pmod(F.xxhash64(F.lit(seed), "rep", cluster), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = sum(F.when(u >= x, 1).otherwise(0) for x in _POISSON)
+    rate = draws.groupBy("rep").agg((F.sum(F.col("h") * times) / F.sum(F.col("n") * times)).alias("r"))
     q = rate.agg(F.percentile("r", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return q.select(F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))

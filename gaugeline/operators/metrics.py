@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeline.operators.ranked import quantiles, with_running_sums
+
 
 def f1(tp: Column, fp: Column, fn: Column) -> Column:
     """0 where nothing is positive."""
@@ -32,8 +34,7 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def auc(df: DataFrame, keys: tuple[str, ...] = (), score: str = "score", y: str = "y") -> DataFrame:
     """(keys, auc) by the Mann-Whitney count over distinct scores, ties a half; null with one class."""
     g = df.groupBy(*keys, score).agg(F.sum(y).alias("p"), F.sum(1 - F.col(y)).alias("q"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    g = with_running_sums(g, score, {"below": "q"}, keys).withColumn("below", F.col("below") - F.col("q"))
     wins = F.sum(F.col("p") * (2 * F.col("below") + F.col("q"))).cast("double")
     out = F.try_divide(wins, 2.0 * F.sum("p") * F.sum("q"))
     return g.groupBy(*keys).agg(out.alias("auc")) if keys else g.agg(out.alias("auc"))
@@ -46,16 +47,16 @@ def early_credit(x: Column, span: Column) -> Column:
 
 def range_pr_auc(df: DataFrame, score: str, y: str, keys: tuple[str, ...], n_thresholds: int = 50) -> DataFrame:
     """(keys, pr_auc): thresholds at quantiles, anchors (0, 1) and (1, 0), each precision raised to the best at
-    no less recall, integrated in steps. Null without positives. Thresholds are few, and counted by one
-    pass over distinct scores."""
+    no less recall, integrated in steps. No row without positives. Distinct scores are ranked by stretches; only the
+    thresholds of a key meet in one task."""
     whole = Window.partitionBy(*keys)
-    qs = F.percentile(score, F.array(*[F.lit(k / (n_thresholds - 1)) for k in range(n_thresholds)]))
-    thr = df.groupBy(*keys).agg(qs.alias("q"), F.sum(y).alias("pos")).filter("pos > 0").select(*keys, "pos", F.explode(F.array_distinct("q")).alias("thr"))
-    # one row for each distinct score, and after it in order the thresholds that it passes
-    g = df.groupBy(*keys, F.col(score).alias("thr")).agg(F.sum(y).alias("p"), F.count("*").alias("n"))
-    both = g.withColumn("is_thr", F.lit(0)).unionByName(thr.select(*keys, "thr", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("is_thr")))
-    down = whole.orderBy(F.col("thr").desc(), "is_thr").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumns({"tp": F.sum("p").over(down), "k": F.sum("n").over(down)}).filter("is_thr = 1")
+    g = df.groupBy(*keys, F.col(score).cast("double").alias("thr")).agg(F.sum(y).alias("p"), F.count("*").alias("n"))
+    pos = g.groupBy(*keys).agg(F.sum("p").alias("pos")).filter("pos > 0")
+    thr = quantiles(g, "thr", "n", [k / (n_thresholds - 1) for k in range(n_thresholds)], keys).select(*keys, F.col("q").alias("thr")).distinct().join(pos, list(keys))
+    # one row for each distinct score or threshold, the highest first: what a threshold takes is the sum up to it
+    both = g.unionByName(thr.select(*keys, "thr", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n")))
+    both = both.groupBy(*keys, "thr").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    both = with_running_sums(both, "thr", {"tp": "p", "k": "n"}, keys, descending=True)
     pts = both.join(thr, [*keys, "thr"]).select(*keys, (F.col("tp").cast("double") / F.col("pos")).alias("r"), F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("k")), F.lit(1.0)).alias("p"), F.col("thr").alias("o"))
     ends = thr.select(*keys).distinct().select(*keys, F.inline(F.array(F.struct(F.lit(0.0).alias("r"), F.lit(1.0).alias("p"), F.lit(1e300).alias("o")), F.struct(F.lit(1.0).alias("r"), F.lit(0.0).alias("p"), F.lit(-1e300).alias("o")))))
     pts = pts.unionByName(ends)

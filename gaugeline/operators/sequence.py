@@ -67,19 +67,33 @@ def repeats(df: DataFrame, value: str, s: Series = TELEMETRY, out: str = "stale"
 
 
 def anchored_repeats(df: DataFrame, value: str, tolerance: float, s: Series = TELEMETRY, out: str = "stale") -> DataFrame:
-    """Like ``repeats``, but within ``tolerance`` of an anchor that moves only when a value is farther off.
-    The anchor depends on all before it, so a series is folded as an array."""
-    seen = F.array_sort(F.collect_list(F.struct(F.col(s.order).alias("o"), F.col(value).alias("v"))))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).cast("long").alias("n"), F.array().cast(f"array<struct<{s.order}:bigint,{out}:bigint>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        held = F.coalesce(F.abs(x["v"] - a["anchor"]) <= tolerance, F.lit(False))
-        n = F.when(held, a["n"] + 1).otherwise(0).cast("long")
-        row = F.struct(x["o"].cast("long").alias(s.order), n.alias(out))
-        return F.struct(F.when(held, a["anchor"]).otherwise(x["v"]).alias("anchor"), n.alias("n"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    folded = df.groupBy(*s.keys).agg(seen.alias("__s")).select(*s.keys, F.inline(F.aggregate("__s", start, step, lambda a: a["out"])))
-    return folded
+    """(keys, order, out): like ``repeats``, but within ``tolerance`` of an anchor that moves only when a value is farther off.
+    The anchor depends on all before it: entities are dealt out and sorted by Spark, and a task carries one anchor and
+    one count over its batches, whatever a series' length."""
+    kinds = dict(df.dtypes)
+    columns = [*s.keys, s.order]
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in s.keys], f"`{s.order}` bigint", f"`{out}` bigint"])
+
+    def fold(batches):
+        import numpy as np
+
+        entity, anchor, n = None, None, 0
+        for batch in batches:
+            found = np.zeros(len(batch), "i8")
+            keys = list(zip(*[batch[c] for c in s.keys], strict=True))
+            for i, (k, v) in enumerate(zip(keys, batch["__v"].to_numpy("f8"), strict=True)):
+                if k != entity:
+                    entity, anchor, n = k, None, 0
+                if anchor is not None and abs(v - anchor) <= tolerance:
+                    n += 1
+                else:
+                    anchor, n = v, 0
+                found[i] = n
+            batch[out] = found
+            yield batch[[*columns, out]]
+
+    rows = df.select(*s.keys, F.col(s.order).cast("long").alias(s.order), F.col(value).cast("double").alias("__v"))
+    return rows.repartition(*s.keys).sortWithinPartitions(*columns).mapInPandas(fold, schema)
 
 
 def bernoulli_cusum(df: DataFrame, failed: Column, p0: float, p1: float, h: float, s: Series = TELEMETRY) -> DataFrame:
@@ -100,18 +114,25 @@ def page_cusum(df: DataFrame, z: Column, k: float, h: float, s: Series = TELEMET
 
 
 def ewma(df: DataFrame, value: str, weight: float, start: Column, s: Series = TELEMETRY, out: str = "ewma") -> DataFrame:
-    """(keys, order, value, ewma): e = (1 - weight) e + weight v from ``start``, an aggregate over the series."""
-    seen = F.array_sort(F.collect_list(F.struct(F.col(s.order).alias("o"), F.col(value).alias("v"))))
-    rows = df.groupBy(*s.keys).agg(seen.alias("__s"), start.alias("__e"))
-    kind = f"array<struct<{s.order}:bigint,{value}:double,{out}:double>>"
-    begin = F.struct(F.col("__e").cast("double").alias("e"), F.array().cast(kind).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        e = F.lit(1 - weight) * a["e"] + F.lit(weight) * x["v"]
-        row = F.struct(x["o"].cast("long").alias(s.order), x["v"].cast("double").alias(value), e.alias(out))
-        return F.struct(e.alias("e"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    return rows.select(*s.keys, F.inline(F.aggregate("__s", begin, step, lambda a: a["out"])))
+    """(keys, order, value, ewma): e = (1 - weight) e + weight v from ``start``, an aggregate over the series.
+
+    In a block of rows, e is a running sum of v over a power of (1 - weight), scaled back; blocks are as long as that power stays within a double's range.
+    What a block begins with is folded over the entity's blocks, some thousand times fewer than its rows."""
+    keep = 1 - weight
+    block = max(1, int(230 / -math.log(keep))) if 0 < keep < 1 else 1
+    place = F.row_number().over(s.by()) - 1
+    rows = df.withColumns({"__b": F.floor(place / F.lit(block)).cast("long"), "__j": place % block})
+    up = Window.partitionBy(*s.keys, "__b").orderBy(s.order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__s", F.sum(F.lit(weight) * F.col(value) * F.pow(F.lit(keep), -F.col("__j"))).over(up) * F.pow(F.lit(keep), F.col("__j")))
+    ends = rows.groupBy(*s.keys, "__b").agg(F.max("__j").alias("j"), F.max_by("__s", "__j").alias("s"))
+    ends = ends.groupBy(*s.keys).agg(F.array_sort(F.collect_list(F.struct("__b", "j", "s"))).alias("ends"))
+    ends = ends.join(df.groupBy(*s.keys).agg(start.cast("double").alias("__e")), list(s.keys))
+    first = F.array(F.col("__e"))
+    begins = F.aggregate("ends", first, lambda a, x: F.concat(a, F.array(F.element_at(a, -1) * F.pow(F.lit(keep), x["j"] + 1) + x["s"])))
+    begins = ends.select(*s.keys, F.posexplode(begins).alias("__b", "__begin")).withColumn("__b", F.col("__b").cast("long"))
+    rows = rows.join(begins, [*s.keys, "__b"])
+    e = F.col("__begin") * F.pow(F.lit(keep), F.col("__j") + 1) + F.col("__s")
+    return rows.select(*s.keys, F.col(s.order).cast("long").alias(s.order), F.col(value).cast("double").alias(value), e.alias(out))
 
 
 def trailing_variance(df: DataFrame, cents: str, n: int, s: Series = TELEMETRY, out: str = "variance") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import uuid
@@ -18,6 +19,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back: its lineage ends there, and lost executors don't matter. The
+    table goes when the driver ends."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    df.write.parquet(path)
+    atexit.register(remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session is gone, and the shared folder's own cleaning has to do
+        pass
+
+
 def read_versioned(spark: SparkSession, path: str, columns: dict[str, str], version: int) -> DataFrame:
     """A Parquet table with these columns and one schema version, else a ContractError."""
     return assert_schema(spark.read.parquet(path), columns, version)
