@@ -47,3 +47,18 @@ def bucket_of(text: Column, buckets: int = 100) -> Column:
     """The SHA-256 of a text as one number modulo ``buckets``, by Horner's rule over its hex digits."""
     digits = F.split(F.sha2(text, 256), "")
     return F.aggregate(F.filter(digits, lambda d: d != ""), F.lit(0), lambda a, d: (a * 16 + F.conv(d, 16, 10).cast("int")) % buckets)
+
+
+def normal_name(given: Column, known: tuple[str, ...]) -> Column:
+    """A name without white space around it, in lower case; null stays null, and one that isn't known is an error."""
+    plain = F.lower(F.regexp_replace(given, r"^\s+|\s+$", ""))
+    return F.when(given.isNull() | plain.isin(*known), plain).otherwise(F.raise_error(F.concat(F.lit("unknown name "), given)).cast("string"))
+
+
+def parsed_spec(given: Column) -> Column:
+    """struct(kind, spec) of an argument that is JSON or text, without white space around it: json for an object or array, else
+    text; null stays null, and an empty one is an error."""
+    plain = F.regexp_replace(given, r"^\s+|\s+$", "")
+    shape = F.schema_of_variant(F.try_parse_json(plain))
+    kind = F.when(given.isNull(), F.lit(None).cast("string")).when(plain == "", F.raise_error(F.lit("an argument can't be empty")).cast("string"))
+    return F.struct(kind.when(F.coalesce(shape.startswith("OBJECT") | shape.startswith("ARRAY"), F.lit(False)), "json").otherwise("text").alias("kind"), plain.alias("spec"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeline.operators.sequence import TELEMETRY, Series, repeats
+
 
 def exceedance(df: DataFrame, fit: DataFrame, suppress: Column, keys: tuple[str, ...] = ("machine",), value: str = "obs") -> DataFrame:
     """Adds score = max(x - thr, thr_low - x) and alarm = score > 0. Suppression clears the alarm, not the score."""
@@ -35,3 +37,27 @@ def blamed(peaks: DataFrame, group: tuple[str, ...], entity: str, noisy: Column,
     veto = F.col("r1.noisy") & (F.col("r2.peak") > 0) & (F.col("r1.peak") < factor * F.col("r2.peak"))
     chosen = F.when(F.coalesce(veto, F.lit(False)), F.col("r2")).otherwise(F.col("r1"))
     return g.select(*group, chosen[entity].alias(entity), chosen["peak"].alias("peak"))
+
+
+def sensor_health(df: DataFrame, value: str, s: Series = TELEMETRY) -> DataFrame:
+    """(order, stale, health): at each step the longest run of a repeated value among all entities, DROPOUT from 6 on, SUSPECT from 3."""
+    stale = repeats(df, value, s).groupBy(s.order).agg(F.max("stale").alias("stale"))
+    return stale.withColumn("health", F.when(F.col("stale") >= 6, "DROPOUT").when(F.col("stale") >= 3, "SUSPECT").otherwise("OK"))
+
+
+# The tail machines, and the classes that never divert.
+TAILS = ("A9", "B9", "C7", "PKG1", "PKG2")
+NEVER_DIVERT = ("feed", "form")
+
+
+def tail_path(asked: DataFrame, roster: DataFrame) -> DataFrame:
+    """(machine, path) of each machine asked for: AGV for a tail, never-diverts or SBUF-eligible by class, unknown outside the roster."""
+    m = asked.select("machine").join(roster.select("machine", "class"), "machine", "left")
+    path = F.when(F.col("machine").isin(*TAILS), "AGV").when(F.col("class").isNull(), "unknown").when(F.col("class").isin(*NEVER_DIVERT), "never-diverts").otherwise("SBUF-eligible")
+    return m.select("machine", path.alias("path"))
+
+
+def tail_order(tails: DataFrame, group: tuple[str, ...], kit: Column, waiting: Column, rework: Column, name: str) -> DataFrame:
+    """``tails`` with place: the smallest kit first, a reworked one ten ahead, then the longest queue, then by name."""
+    w = Window.partitionBy(*group).orderBy(kit + F.when(rework, -10).otherwise(0), -waiting, name)
+    return tails.withColumn("place", F.row_number().over(w).cast("long"))

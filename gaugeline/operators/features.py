@@ -4,14 +4,15 @@ Sums are over integer cents, so they are exact whatever order they are taken in.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.operators.sequence import TELEMETRY, Series
 
 
-def window_features(df: DataFrame, w: int, stride: int, cents: str = "cents", s: Series = TELEMETRY, off: int = 0) -> DataFrame:
-    """(keys, start, mean, std, lo, hi, slope) of the full windows of w rows that begin every ``stride`` rows."""
+def window_features(df: DataFrame, w: int, stride: int, cents: str = "cents", s: Series = TELEMETRY, off: int | Column = 0) -> DataFrame:
+    """(keys, start, mean, std, lo, hi, slope) of the full windows of w rows that begin every ``stride`` rows from ``off`` on, a number or
+    a column of the keys."""
     f = s.last(w)
     n, x, xx = F.lit(float(w)), F.sum(cents).over(f), F.sum(F.col(cents) * F.col(cents)).over(f)
     df = df.withColumn("__i", F.row_number().over(s.by()) - 1)

@@ -64,3 +64,50 @@ def range_pr_auc(df: DataFrame, score: str, y: str, keys: tuple[str, ...], n_thr
     pts = pts.withColumn("best", F.max("p").over(order.rowsBetween(0, Window.unboundedFollowing)))
     pts = pts.withColumn("dr", F.col("r") - F.lag("r").over(order))
     return pts.groupBy(*keys).agg(F.sum(F.coalesce(F.col("dr") * F.col("best"), F.lit(0.0))).alias("pr_auc"))
+
+
+# The weights of a missed fault and of a false alarm in each profile.
+PROFILES = {"standard": (1.0, 1.0), "low-fn": (2.0, 1.0), "low-fp": (1.0, 2.0)}
+
+
+def nab_scores(faults: DataFrame, alarms: DataFrame, clean: DataFrame, profiles: dict[str, tuple[float, float]] = PROFILES) -> DataFrame:
+    """(profile, hit_rate, mean_credit, clean_fp_rate, score): event scores of rows ``faults`` (key, t0, end), ``alarms`` (key, step) and
+    the alarm-free keys ``clean`` (key). A fault's hit is its first alarm in [t0, end); early ones earn more. Faults explode into
+    their steps, so alarms meet them by an equi-join."""
+    steps = faults.select("key", "t0", "end", F.explode(F.sequence("t0", F.col("end") - 1)).alias("step"))
+    hits = alarms.join(steps, ["key", "step"]).groupBy("key", "t0", "end").agg(F.min("step").alias("hit"))
+    got = hits.agg(F.count("*").alias("h"), F.sum(early_credit(F.col("hit") - F.col("t0"), F.col("end") - F.col("t0"))).alias("credit"))
+    n = faults.agg(F.count("*").alias("n"))
+    quiet = clean.select("key").distinct()
+    false = quiet.agg(F.count("*").alias("episodes")).join(F.broadcast(alarms.join(quiet, "key", "left_semi").agg(F.count("*").alias("alarms"))), F.lit(True))
+    one = got.join(F.broadcast(n), F.lit(True)).join(F.broadcast(false), F.lit(True))  # one row each
+    share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    one = one.select(share(F.col("h"), F.col("n")).alias("hit_rate"), share(F.col("credit"), F.col("h")).alias("mean_credit"), share(F.col("alarms"), F.col("episodes")).alias("clean_fp_rate"))
+    rows = one.select("*", F.inline(F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(a).alias("fn"), F.lit(b).alias("fp")) for p, (a, b) in profiles.items()])))
+    score = (F.col("hit_rate") * F.col("mean_credit") * F.col("fn") - F.col("clean_fp_rate") * F.col("fp")) / F.col("fn")
+    return rows.select("profile", "hit_rate", "mean_credit", "clean_fp_rate", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)).alias("score"))
+
+
+def covering_share(windows: DataFrame, faults: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, w0, share): the largest part of one fault (t0, t1) that a window (w0, w1) covers; no row if it touches none."""
+    o = windows.join(faults.select(*keys, "t0", "t1"), list(keys)).withColumn("share", F.greatest(F.lit(0), F.least("w1", "t1") - F.greatest("w0", "t0")).cast("double") / (F.col("t1") - F.col("t0")))
+    return o.groupBy(*keys, "w0").agg(F.max("share").alias("share"))
+
+
+def delays(faults: DataFrame, alarms: DataFrame, key: str, by: str) -> DataFrame:
+    """(by, med, p90, worst): from a fault's start t0 to its entity's first alarm (key, step) at or after it."""
+    d = alarms.join(faults, key).filter("step >= t0").groupBy(key, by).agg((F.min("step") - F.min("t0")).alias("delay"))
+    return d.groupBy(by).agg(F.percentile("delay", F.lit(0.5)).alias("med"), F.percentile("delay", F.lit(0.9)).alias("p90"), F.max("delay").alias("worst"))
+
+
+def nearest_class(df: DataFrame, value: str, label: str) -> DataFrame:
+    """``df`` with predicted: the class whose mean value is nearest, ties by name. The means, one row a class, are gathered into one row."""
+    means = df.groupBy(label).agg(F.avg(value).alias("m")).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("c"), "m"))).alias("__means"))
+    near = F.array_min(F.transform("__means", lambda x: F.struct(F.abs(F.col(value) - x["m"]).alias("d"), x["c"].alias("c"))))
+    return df.join(F.broadcast(means), F.lit(True)).withColumn("predicted", near["c"]).drop("__means")
+
+
+def attribution(df: DataFrame, predicted: str, label: str, y: str) -> DataFrame:
+    """One row (n, accuracy): how often the predicted class is the true one among positives."""
+    p = df.filter(F.col(y) == 1)
+    return p.agg(F.count("*").alias("n"), (F.count_if(F.col(predicted) == F.col(label)).cast("double") / F.count("*")).alias("accuracy"))

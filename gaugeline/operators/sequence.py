@@ -193,3 +193,11 @@ def debounced(df: DataFrame, width: int, s: Series = TELEMETRY) -> DataFrame:
     """The first row of each entity in each stretch of ``width`` steps."""
     w = Window.partitionBy(*s.keys, F.floor(F.col(s.order) / F.lit(width))).orderBy(s.order)
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def bridged_walk(df: DataFrame, noise: str, s: Series = TELEMETRY, out: str = "drift") -> DataFrame:
+    """``df`` with the running sum of ``noise``, less the straight line from 0 to its last value, so that it ends at 0."""
+    whole = s.whole()
+    df = df.withColumns({"__w": F.sum(noise).over(s.upto()), "__k": F.row_number().over(s.by()) - 1, "__n": F.count(F.lit(1)).over(whole), "__last": F.sum(noise).over(whole)})
+    line = F.when(F.col("__n") > 1, F.col("__k").cast("double") / (F.col("__n") - 1) * F.col("__last")).otherwise(0.0)
+    return df.withColumn(out, F.col("__w") - line).drop("__w", "__k", "__n", "__last")

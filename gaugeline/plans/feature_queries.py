@@ -127,81 +127,6 @@ def met_range_pr_auc(spark, sf):
     return me.range_pr_auc(scores(spark, sf), "score", "y", ("fam",)).withColumn("pr_auc", F.round("pr_auc", 6))
 
 
-@query(f"""WITH {TEL}, {FAULTS}, h AS (SELECT f.machine, class, t0, t1, min(step) AS hit FROM faults f JOIN tel ON tel.machine = f.machine AND step >= t0 AND step < t1 + 5 AND state IN ('DOWN', 'BLOCKED') GROUP BY 1, 2, 3, 4),
- fp AS (SELECT count(*) AS fp FROM tel LEFT JOIN faults f ON f.machine = tel.machine AND step >= t0 AND step < t1 + 5 WHERE state = 'DOWN' AND f.machine IS NULL)
-SELECT class, count(*) AS hits, round(sum(2 / (1 + exp(5 * CAST(hit - t0 AS DOUBLE) / (t1 + 5 - t0)))), 6) AS credit, max(fp) AS fp FROM h, fp GROUP BY class""")
-def met_nab(spark, sf):
-    """Credit for early hits by class, and false alarms outside of all windows."""
-    t, f = telemetry(spark, sf), faults(spark, sf)
-    w = labels.exploded(f.withColumn("end", F.col("t1") + 5), "t0", "end").select("machine", "step", "class", "t0", "end")
-    hit = t.filter(F.col("state").isin("DOWN", "BLOCKED")).join(w, ["machine", "step"]).groupBy("machine", "class", "t0", "end").agg(F.min("step").alias("hit"))
-    fp = t.filter("state = 'DOWN'").join(w, ["machine", "step"], "left_anti").agg(F.count("*").alias("fp"))
-    got = hit.groupBy("class").agg(F.count("*").alias("hits"), F.round(F.sum(me.early_credit(F.col("hit") - F.col("t0"), F.col("end") - F.col("t0"))), 6).alias("credit"))
-    return got.join(F.broadcast(fp), F.lit(True))
-
-
-@query(f"""WITH {TEL}, {FAULTS}, a AS (SELECT machine, step AS w0, step + 16 AS w1, max(cents) {OVER} ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) > 30000 AS dec FROM tel),
- o AS (SELECT a.machine, w0, max(CAST(greatest(0, least(w1, t1) - greatest(w0, t0)) AS DOUBLE) / (t1 - t0)) AS share FROM a JOIN faults f ON f.machine = a.machine WHERE dec AND w0 % 8 = 0 GROUP BY 1, 2)
-SELECT machine, w0, share >= 0.5 AS kept FROM o""")
-def met_pa_k(spark, sf):
-    """Window decisions that cover at least half of a fault."""
-    w = S.by().rowsBetween(0, 15)
-    t = telemetry(spark, sf).select("machine", F.col("step").alias("w0"), (F.col("step") + 16).alias("w1"), (F.max("cents").over(w) > 30000).alias("dec")).filter("w0 % 8 = 0 and dec")
-    f = faults(spark, sf)
-    o = t.join(f, "machine").withColumn("share", F.greatest(F.lit(0), F.least("w1", "t1") - F.greatest("w0", "t0")).cast("double") / (F.col("t1") - F.col("t0")))
-    return o.groupBy("machine", "w0").agg((F.max("share") >= 0.5).alias("kept"))
-
-
-@query(f"""WITH {TEL}, {FAULTS}, d AS (SELECT f.machine, class, min(step) - min(t0) AS delay FROM faults f JOIN tel ON tel.machine = f.machine AND step >= t0 AND state = 'DOWN' GROUP BY f.machine, class)
-SELECT class, quantile_cont(delay, 0.5) AS med, quantile_cont(delay, 0.9) AS p90, max(delay) AS worst FROM d GROUP BY class""")
-def met_ttd(spark, sf):
-    t = telemetry(spark, sf).filter("state = 'DOWN'").join(faults(spark, sf), "machine").filter("step >= t0")
-    d = t.groupBy("machine", "class").agg((F.min("step") - F.min("t0")).alias("delay"))
-    return d.groupBy("class").agg(F.percentile("delay", F.lit(0.5)).alias("med"), F.percentile("delay", F.lit(0.9)).alias("p90"), F.max("delay").alias("worst"))
-
-
-@query(f"""WITH {SCORES}, r AS (SELECT fam, count(*) FILTER (WHERE score >= 0.6 AND y = 1) AS tp, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE score >= 0.6 AND y = 0) AS fp, count(*) FILTER (WHERE y = 0) AS q FROM scores GROUP BY fam)
-SELECT fam, round(ln(CAST(tp + 1 AS DOUBLE) / (p + 2) / (CAST(fp + 1 AS DOUBLE) / (q + 2))), 6) AS w_plus, round(ln((1 - CAST(tp + 1 AS DOUBLE) / (p + 2)) / (1 - CAST(fp + 1 AS DOUBLE) / (q + 2))), 6) AS w_minus,
- round(CAST(p + q AS DOUBLE) / (p + q + 20) * (CAST(tp + 1 AS DOUBLE) / (p + 2)) + 20.0 / (p + q + 20) * 0.5, 6) AS shrunk FROM r""")
-def fus_reliability(spark, sf):
-    """Laplace reliabilities, their log odds as votes, and shrinkage towards a half."""
-    c = me.counts(F.col("score") >= 0.6, F.col("y") == 1)
-    g = scores(spark, sf).groupBy("fam").agg(c["tp"].alias("tp"), F.count_if(F.col("y") == 1).alias("p"), c["fp"].alias("fp"), F.count_if(F.col("y") == 0).alias("q"))
-    d, a, n = (F.col("tp") + 1.0) / (F.col("p") + 2), (F.col("fp") + 1.0) / (F.col("q") + 2), F.col("p") + F.col("q")
-    return g.select("fam", F.round(F.log(d / a), 6).alias("w_plus"), F.round(F.log((1 - d) / (1 - a)), 6).alias("w_minus"), F.round(n / (n + 20) * d + 20.0 / (n + 20) * 0.5, 6).alias("shrunk"))
-
-
-@query(f"WITH {SCORES} SELECT id, CASE WHEN score >= 0.3 THEN CAST(2 AS DOUBLE) ELSE CAST(-0.5 AS DOUBLE) END + CASE WHEN id % 3 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END > 1.5 AS weighted, CAST(score >= 0.3 AS INT) + CAST(id % 3 = 0 AS INT) + CAST(fam = 'en' AS INT) >= 2 AS two_of_three FROM scores")
-def fus_votes(spark, sf):
-    a, b, c = F.col("score") >= 0.3, F.col("id") % 3 == 0, F.col("fam") == "en"
-    total = F.when(a, 2.0).otherwise(-0.5) + F.when(b, 1.0).otherwise(-1.0)
-    return scores(spark, sf).select("id", (total > 1.5).alias("weighted"), (sum(x.cast("int") for x in (a, b, c)) >= 2).alias("two_of_three"))
-
-
-@query(f"""WITH {SCORES}, q AS (SELECT ep, quantile_cont(score, 0.5) AS m, coalesce(nullif(quantile_cont(score, 0.75) - quantile_cont(score, 0.25), 0), 1) AS i FROM scores GROUP BY ep),
- z AS (SELECT id, y, (score - m) / i AS z FROM scores JOIN q ON scores.ep = q.ep)
-SELECT round(CAST(count(*) FILTER (WHERE z > 0.5 AND y = 1) AS DOUBLE) / count(*) FILTER (WHERE y = 1) - CAST(count(*) FILTER (WHERE z > 0.5 AND y = 0) AS DOUBLE) / count(*) FILTER (WHERE y = 0), 6) AS informedness FROM z""")
-def fus_soft(spark, sf):
-    """Scores normalised within episodes, and the informedness of a decision on them."""
-    s = scores(spark, sf)
-    q = s.groupBy("ep").agg(F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    i = F.get("q", F.lit(2)) - F.get("q", F.lit(0))
-    z = s.join(q, "ep").select("y", ((F.col("score") - F.get("q", F.lit(1))) / F.when(i == 0, 1.0).otherwise(i)).alias("z"))
-    c = me.counts(F.col("z") > 0.5, F.col("y") == 1)
-    return z.agg(F.round(c["tp"] / F.count_if(F.col("y") == 1) - c["fp"] / F.count_if(F.col("y") == 0), 6).alias("informedness"))
-
-
-@query(f"""WITH {TEL}, {FAULTS}, w AS (SELECT machine, step - 15 AS start, sum(CASE WHEN state = 'DOWN' THEN 1 ELSE 0 END) {FR} AS k, max(cents) {FR} > 30000 AS dec FROM tel)
-SELECT w.machine, start, dec AND (coalesce(class NOT IN ('delay', 'loss', 'breakdown'), true) OR k >= 3) AS kept FROM w LEFT JOIN faults f ON f.machine = w.machine WHERE start >= 0 AND start % 8 = 0""")
-def fus_hybrid_gate(spark, sf):
-    """Structural families need a counter inside the window to confirm the decision."""
-    w = S.last(16)
-    t = telemetry(spark, sf).select("machine", (F.col("step") - 15).alias("start"), F.sum((F.col("state") == "DOWN").cast("long")).over(w).alias("k"), (F.max("cents").over(w) > 30000).alias("dec"))
-    t = t.filter("start >= 0 and start % 8 = 0").join(faults(spark, sf).select("machine", "class"), "machine", "left")
-    structural = F.coalesce(F.col("class").isin("delay", "loss", "breakdown"), F.lit(False))
-    return t.select("machine", "start", (F.col("dec") & (~structural | (F.col("k") >= 3))).alias("kept"))
-
-
 _E = sql_values(EDGES, "src, dst")
 _UND = f"e AS (SELECT src, dst FROM {_E} UNION SELECT dst, src FROM {_E})"
 

@@ -130,27 +130,6 @@ def agg_noise_floor(spark, sf):
     return telemetry(spark, sf).groupBy("state").agg(F.round(F.sqrt((n * xx - x * x).cast("double")) / n / 100, 6).alias("noise"))
 
 
-@query(f"WITH {SCORES}, m AS (SELECT fam, round(avg(CAST(score >= 0.6 AS INT)), 6) AS rate, max(score) AS worst FROM scores GROUP BY fam) SELECT fam, rate, CASE WHEN rate < 0.05 THEN 'rate' WHEN worst > 1.1 THEN 'worst' ELSE 'pass' END AS gate, CASE WHEN rate < 0.05 THEN 10 WHEN worst > 1.1 THEN 11 ELSE 0 END AS code FROM m")
-def agg_gates(spark, sf):
-    m = scores(spark, sf).groupBy("fam").agg(F.round(F.count_if(F.col("score") >= 0.6).cast("double") / F.count("*"), 6).alias("rate"), F.max("score").alias("worst"))
-    low, high = F.col("rate") < 0.05, F.col("worst") > 1.1
-    return m.select("fam", "rate", F.when(low, "rate").when(high, "worst").otherwise("pass").alias("gate"), F.when(low, 10).when(high, 11).otherwise(0).alias("code"))
-
-
-@query(f"WITH {TEL}, w AS (SELECT machine, CAST(sum(cents) AS DOUBLE) AS wall FROM tel GROUP BY machine), m AS (SELECT sum(wall) / count(*) AS mean FROM w) SELECT machine, wall FROM w, m WHERE wall > mean * 1.02")
-def agg_wall_budget(spark, sf):
-    w = telemetry(spark, sf).groupBy("machine").agg(F.sum("cents").cast("double").alias("wall"))
-    mean = w.agg((F.sum("wall") / F.count("*")).alias("mean"))
-    return w.join(F.broadcast(mean), F.col("wall") > F.col("mean") * 1.02).select("machine", "wall")
-
-
-@query(f"WITH {SCORES}, g AS (SELECT fam, count(*) FILTER (WHERE score >= 0.6 AND y = 1) AS a, count(*) FILTER (WHERE score >= 0.5 AND y = 1) AS b FROM scores GROUP BY fam) SELECT fam, CASE WHEN b > a THEN 'Survived' ELSE 'Falsified' END AS verdict FROM g")
-def agg_adjudicate(spark, sf):
-    y = F.col("y") == 1
-    g = scores(spark, sf).groupBy("fam").agg(F.count_if(y & (F.col("score") >= 0.6)).alias("a"), F.count_if(y & (F.col("score") >= 0.5)).alias("b"))
-    return g.select("fam", F.when(F.col("b") > F.col("a"), "Survived").otherwise("Falsified").alias("verdict"))
-
-
 _FAM = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{f}'" for e, f in FAMILIES) + " END"
 
 
@@ -191,12 +170,6 @@ def prj_fault_rows(spark, sf):
     )
 
 
-@query(f"WITH {TEL} SELECT machine, CASE WHEN max(cents) >= 40000 THEN 'DROPOUT' WHEN max(cents) >= 30000 THEN 'SUSPECT' ELSE 'OK' END AS health FROM tel GROUP BY machine")
-def prj_sensor_health(spark, sf):
-    m = F.max("cents")
-    return telemetry(spark, sf).groupBy("machine").agg(F.when(m >= 40000, "DROPOUT").when(m >= 30000, "SUSPECT").otherwise("OK").alias("health"))
-
-
 @query(f"WITH {TEL} SELECT machine, step, greatest(-600, least(600, cents - 10000)) AS clamped, abs(cents - 10000) > 300 AS outside FROM tel")
 def prj_envelope(spark, sf):
     d = F.col("cents") - 10000
@@ -298,12 +271,6 @@ def snk_content_digest(spark, sf):
     return contracts.content_digest(telemetry(spark, sf).drop("event_id"), ("machine",))
 
 
-@query()
-def fn_hash_bucket(spark, sf):
-    u = read(spark, sf, "events").select("user_id").distinct()
-    return u.select("user_id", contracts.bucket_of(F.col("user_id").cast("string")).alias("bucket"))
-
-
 @query("SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
 def fn_json(spark, sf):
     return read(spark, sf, "events").groupBy("user_id", F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))

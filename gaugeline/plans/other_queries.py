@@ -41,25 +41,6 @@ def ml_grouped_folds(spark, sf):
     return learning.grouped_folds(scores(spark, sf), "ep", "y").select("ep", F.col("fold").cast("long").alias("fold"))
 
 
-def _windows(spark, sf):
-    f = fe.window_features(telemetry(spark, sf), 16, 8)
-    y = faults(spark, sf).select("machine", "t0", "t1")
-    f = f.join(y, "machine", "left").withColumn("y", F.coalesce(((F.col("start") < F.col("t1")) & (F.col("t0") < F.col("start") + 16)).cast("int"), F.lit(0)))
-    return f.drop("t0", "t1")
-
-
-@query()
-def ml_oof_logistic(spark, sf):
-    """Out-of-fold window scores by balanced logistic regression."""
-    return learning.out_of_fold(_windows(spark, sf), ["mean", "std", "lo", "hi", "slope"], "y", "machine").select("machine", "start", "fold", "y", F.round("oof", 6).alias("oof"))
-
-
-@query()
-def ml_oof_trees(spark, sf):
-    """Out-of-fold window scores by gradient-boosted trees."""
-    return learning.out_of_fold(_windows(spark, sf), ["mean", "std", "lo", "hi", "slope"], "y", "machine", kind="gbt").select("machine", "start", "fold", "y", F.round("oof", 6).alias("oof"))
-
-
 @query()
 def ml_pca_error(spark, sf):
     return learning.pca_error(read(spark, sf, "embeddings"), F.col("embedding")).select("vec_id", F.round("error", 6).alias("error"))

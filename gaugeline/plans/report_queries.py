@@ -280,27 +280,6 @@ def snk_markdown(spark, sf):
     return h.select(F.format_string("| %s | %d | %d |", "fam", "n", "h").alias("line"))
 
 
-@query(f"WITH {SCORES}, p AS (SELECT id, fam, CASE WHEN score >= 0.6 THEN 'en' ELSE 'fr' END AS pred, y FROM scores) SELECT round(CAST(count(*) FILTER (WHERE pred = fam) AS DOUBLE) / count(*), 6) AS accuracy FROM p WHERE y = 1")
-def rst_attribution(spark, sf):
-    pred = F.when(F.col("score") >= 0.6, "en").otherwise("fr")
-    return scores(spark, sf).filter("y = 1").agg(F.round(F.count_if(pred == F.col("fam")).cast("double") / F.count("*"), 6).alias("accuracy"))
-
-
-@query("SELECT page_id, lower(trim('  ' || substr(url, 1, 5) || ' ')) AS arg, CASE WHEN regexp_matches(url, '/[a-z][a-z]/[0-9]+') THEN CAST(regexp_extract(url, '/[a-z][a-z]/([0-9]+)', 1) AS BIGINT) END AS ref FROM pages")
-def rst_arguments(spark, sf):
-    p = read(spark, sf, "pages")
-    ref = F.when(F.col("url").rlike("/[a-z][a-z]/[0-9]+"), F.regexp_extract("url", "/[a-z][a-z]/([0-9]+)", 1).cast("long"))
-    return p.select("page_id", F.lower(F.trim(F.concat(F.lit("  "), F.substring("url", 1, 5), F.lit(" ")))).alias("arg"), ref.alias("ref"))
-
-
-@query(f"WITH {FAULTS} SELECT machine, 7 * 1000 + row_number() OVER (ORDER BY machine) - 1 AS seed, CASE class WHEN 'quality' THEN 'quality_drop' ELSE class END AS fault_class FROM faults WHERE machine < 100000")
-def rst_seed_rule(spark, sf):
-    """Seed = master * 1000 + row of the manifest; an alias for one class. The manifest is a small table."""
-    f = faults(spark, sf).filter("machine < 100000")
-    n = F.row_number().over(Window.orderBy("machine")).cast("long")
-    return f.select("machine", (7000 + n - 1).alias("seed"), F.when(F.col("class") == "quality", "quality_drop").otherwise(F.col("class")).alias("fault_class"))
-
-
 @query(f"""WITH {TEL}, {FAULTS}, tr AS (SELECT f.machine, class, t0, min(step) FILTER (WHERE cents > 20000 AND step >= t0 - 8) AS trig FROM faults f JOIN tel ON tel.machine = f.machine GROUP BY 1, 2, 3),
  c AS (SELECT tr.machine, min(step) FILTER (WHERE state = 'DOWN' AND step >= trig - 16 AND step < trig + 8) AS counter, min(step) FILTER (WHERE abs(cents - 10000) > 5000 AND step >= trig - 16 AND step < trig + 8) AS change FROM tr JOIN tel ON tel.machine = tr.machine WHERE trig IS NOT NULL GROUP BY tr.machine)
 SELECT tr.machine, class, CASE WHEN class IN ('delay', 'loss', 'breakdown') THEN counter ELSE change END AS onset FROM tr JOIN c ON c.machine = tr.machine""")

@@ -46,11 +46,6 @@ def win_stale(spark, sf):
     return sq.repeats(t, "v").select("machine", "step", "stale")
 
 
-@query()
-def win_stale_anchored(spark, sf):
-    return sq.anchored_repeats(telemetry(spark, sf), "obs", 40.0)
-
-
 @query(f"WITH {TEL} SELECT machine, step, CAST(sum(CASE WHEN state = 'DOWN' THEN 1 ELSE 0 END) {OVER} ROWS 14 PRECEDING) AS BIGINT) AS down_15, CAST(sum(CASE WHEN state = 'STARVED' THEN 1 ELSE 0 END) {OVER} ROWS 9 PRECEDING) AS BIGINT) AS starved_10 FROM tel")
 def win_trailing_counts(spark, sf):
     n = lambda state, k: F.sum((F.col("state") == state).cast("long")).over(S.last(k))
@@ -176,7 +171,7 @@ def win_moving_average(spark, sf):
     return grid(spark, sf).select("channel", "step", (F.sum("n").over(w).cast("double") / F.count("*").over(w)).alias("moving"))
 
 
-@query(f"""WITH {GRID}, b AS (SELECT channel, cents, CAST(floor(CAST(step * 16 AS DOUBLE) / 180) AS BIGINT) AS bucket FROM grid) SELECT channel, bucket, min(cents) AS lo, max(cents) AS hi FROM b GROUP BY channel, bucket""")
+@query(f"""WITH {GRID}, b AS (SELECT channel, cents, CAST(floor(CAST((row_number() OVER (PARTITION BY channel ORDER BY step) - 1) * 16 AS DOUBLE) / count(*) OVER (PARTITION BY channel)) AS BIGINT) AS bucket FROM grid) SELECT channel, bucket, min(cents) AS lo, max(cents) AS hi FROM b GROUP BY channel, bucket""")
 def win_decimate(spark, sf):
     return sq.decimated(grid(spark, sf), "cents", 16, C)
 

@@ -56,13 +56,16 @@ FAULTS = f"""faults AS (SELECT machine, {_CLASS_SQL} AS class, 40 + machine % 4
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(channel, step, cents, n, state): four-hour buckets 0 .. 179 of each event type, dense. An empty cell
-    is STARVED with no value. The frame of cells is 180 rows a channel, whatever the input."""
+    """(channel, step, cents, n, state): four-hour buckets of each event type, dense from the first to the last bucket that any has.
+    An empty cell is STARVED with no value."""
     e = read(spark, sf_dir, "events")
     step = F.floor(F.timestamp_diff("SECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts")) / F.lit(14400)).cast("long")
     got = e.select(F.col("event_type").alias("channel"), step.alias("step"), F.round(F.col("value") * 100).cast("long").alias("cents"))
-    got = got.filter("step between 0 and 179").groupBy("channel", "step").agg(F.sum("cents").alias("cents"), F.count("*").alias("n"))
-    frame = e.select(F.col("event_type").alias("channel")).distinct().select("channel", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(179).cast("long"))).alias("step"))
+    got = got.groupBy("channel", "step").agg(F.sum("cents").alias("cents"), F.count("*").alias("n"))
+    # one row a channel meets here
+    frame = got.groupBy("channel").agg(F.min("step").alias("a"), F.max("step").alias("b"))
+    whole = Window.partitionBy(F.lit(0))
+    frame = frame.select("channel", F.min("a").over(whole).alias("a"), F.max("b").over(whole).alias("b")).select("channel", F.explode(F.sequence("a", "b")).alias("step"))
     return frame.join(got, ["channel", "step"], "left").select("channel", "step", "cents", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), "STARVED").when(F.col("channel") == "error", "DOWN").otherwise("RUN").alias("state"))
 
 
@@ -70,7 +73,7 @@ GRID = """got AS (SELECT event_type AS channel, CAST(floor(date_diff('second', T
  CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM events GROUP BY 1, 2),
  grid AS (SELECT c.channel, s.step, g.cents, coalesce(g.n, 0) AS n,
  CASE WHEN g.n IS NULL THEN 'STARVED' WHEN c.channel = 'error' THEN 'DOWN' ELSE 'RUN' END AS state
- FROM (SELECT DISTINCT event_type AS channel FROM events) c CROSS JOIN (SELECT range AS step FROM range(180)) s
+ FROM (SELECT DISTINCT event_type AS channel FROM events) c CROSS JOIN (SELECT unnest(range(min(step), max(step) + 1)) AS step FROM got) s
  LEFT JOIN got g ON g.channel = c.channel AND g.step = s.step)"""
 
 

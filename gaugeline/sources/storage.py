@@ -7,10 +7,11 @@ import json
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.operators.contracts import ContractError, assert_schema
+from gaugeline.operators.contracts import ContractError, assert_schema, content_digest
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -83,7 +84,27 @@ def read_gate_csv(spark: SparkSession, path: str) -> DataFrame:
     return long.select("metric", F.col("value").try_cast("double").alias("value"))
 
 
-def write_sorted(df: DataFrame, path: str, order: list[str], files: int = 1) -> str:
+def read_npz(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, row, value) of the one-dimensional arrays of NPZ dumps, read where the files are."""
+
+    def opened(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for file, content in zip(batch["path"], batch["content"], strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as held:
+                    for name in held.files:
+                        x = held[name].astype("f8").ravel()
+                        yield pd.DataFrame({"file": file.rsplit("/", 1)[-1], "name": name, "row": np.arange(len(x)), "value": x})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
+    return files.mapInPandas(opened, "file string, name string, row long, value double")
+
+
+def write_sorted(df: DataFrame, path: str, order: list[str], files: int = 8) -> str:
     """Parquet with columns by name and rows in one order, in so many range-partitioned files."""
     df = df.select(*sorted(df.columns))
     df = df.coalesce(1).sortWithinPartitions(*order) if files == 1 else df.repartitionByRange(files, *order).sortWithinPartitions(*order)
@@ -91,14 +112,96 @@ def write_sorted(df: DataFrame, path: str, order: list[str], files: int = 1) ->
     return path
 
 
+def file_digests(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
+    """(name, bytes, sha256) of the files below a folder, hashed where they are read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_capped(df: DataFrame, path: str, most_bytes: int) -> int:
+    """Writes a Parquet table and returns its bytes; one of more than ``most_bytes`` is removed again and is an error."""
+    df.write.mode("overwrite").parquet(path)
+    got = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg(F.sum("length")).first()[0] or 0
+    if got > most_bytes:
+        remove(df.sparkSession, path)
+        raise ContractError(f"{path} has {got} bytes, over {most_bytes}")
+    return got
+
+
 def write_partitioned(df: DataFrame, path: str, by: str) -> DataFrame:
-    """One folder for each value of ``by``; returns the manifest (by, n)."""
+    """One folder for each value of ``by``, and beside them _manifest with (name, bytes, sha256) of each file and a master
+    digest of them; returns (by, n)."""
     df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
+    files = file_digests(df.sparkSession, path)
+    master = content_digest(files).select(F.lit("*").alias("name"), F.col("n").alias("bytes"), F.col("digest").alias("sha256"))
+    files.unionByName(master).write.mode("overwrite").json(f"{path}/_manifest")
     return df.groupBy(by).agg(F.count("*").alias("n"))
 
 
-def append_json_lines(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+def verify_partitioned(spark: SparkSession, path: str) -> None:
+    """An error unless the files below ``path`` are those of its manifest."""
+    held = spark.read.schema("name string, bytes long, sha256 string").json(f"{path}/_manifest")
+    files = file_digests(spark, path)
+    master = held.filter("name = '*'").select("sha256").collect()
+    now = content_digest(files).first()
+    if [r.sha256 for r in master] != [now.digest] or not held.filter("name <> '*'").exceptAll(files).isEmpty():
+        raise ContractError(f"files of {path} differ from its manifest")
+
+
+def append_json_lines(df: DataFrame, path: str, batch: str) -> bool:
+    """Appends the rows as a batch of JSON lines of that name, and says whether it did: a batch that is there already isn't written again,
+    so a writer that runs twice, or two at once with one name, add it once. Read with ``recursiveFileLookup``."""
+    try:
+        df.write.mode("errorifexists").json(f"{path}/{batch}")
+        return True
+    except AnalysisException:
+        return False
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """Appends to a CSV table that has one header: a file of its own, written first, and rows without one."""
+    spark = df.sparkSession
+    header = f"{path}/_header"
+    try:
+        names = read_text(spark, header).strip().split(",")
+    except Exception:
+        write_text(spark, header, ",".join(df.columns) + "\n")
+        names = df.columns
+    if names != df.columns:
+        raise ContractError(f"columns {df.columns}, not {names}")
+    df.write.mode("append").option("header", False).csv(path)
+
+
+def read_csv_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """A table of ``append_csv``, if its header has the names of ``ddl``."""
+    df = spark.read.schema(ddl).option("pathGlobFilter", "*.csv").csv(path)
+    if read_text(spark, f"{path}/_header").strip().split(",") != df.columns:
+        raise ContractError("the header names other columns")
+    return df
+
+
+def _file(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, replaced whole."""
+    where, fs = _file(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    where, fs = _file(spark, path)
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
 
 
 def sidecar(meta: dict) -> str:

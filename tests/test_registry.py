@@ -11,7 +11,7 @@ from gaugeline.plans import registry
 
 REPO = Path(__file__).parent.parent
 #: Nested loops are right only beside a single row.
-ONE_ROW = {"agg_wall_budget", "met_nab", "rst_family_threshold", "agg_bootstrap", "ml_oof_logistic", "ml_oof_trees"}
+ONE_ROW = {"agg_wall_budget", "met_nab", "rst_family_threshold", "fus_soft", "fus_soft_three_arms", "rst_attribution"}
 
 
 @pytest.fixture(scope="module")
