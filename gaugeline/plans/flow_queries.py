@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions.dims import AMPS, BUFFERS, CLASSES, FAMILIES, LOADS, MACHINES, buffers, machines, sql_values
-from gaugeline.operators import contracts, flow
+from gaugeline.operators import contracts, episodes, flow, validate
 from gaugeline.operators import sequence as sq
 from gaugeline.plans.base import query
 from gaugeline.sources.adapters import FAULTS, GRID, PARTS, SCORES, TEL, faults, grid, parts, read, scores, telemetry
+from gaugeline.streaming import frames
 
 S = sq.TELEMETRY
 C = sq.Series(keys=("channel",))
@@ -36,32 +36,20 @@ def agg_state_shares(spark, sf):
 
 @query(f"WITH {TEL} SELECT machine // 10 AS line, count(*) AS n, {_SHARES} FROM tel WHERE machine % 12 <> 0 AND step >= 15 GROUP BY 1")
 def agg_duty(spark, sf):
-    n = F.count("*")
-    t = telemetry(spark, sf).filter("machine % 12 <> 0 and step >= 15").groupBy(F.expr("machine div 10").alias("line"))
-    return t.agg(n.alias("n"), *[F.round(F.count_if(F.col("state") == s).cast("double") / n, 6).alias(s.lower()) for s in flow.STATES])
+    t = telemetry(spark, sf).filter("machine % 12 <> 0 and step >= 15").withColumn("line", F.expr("machine div 10"))
+    s = flow.share_of(t, ("line",))
+    return s.select("line", "n", *[F.round(x.lower(), 6).alias(x.lower()) for x in flow.STATES])
 
 
 @query(f"WITH {GRID} SELECT step % 6 AS slot, count(*) FILTER (WHERE state = 'STARVED' AND channel = 'view') AS feed, count(*) FILTER (WHERE state = 'STARVED' AND channel IN ('click', 'signup')) AS kit, count(*) FILTER (WHERE state = 'STARVED' AND channel NOT IN ('view', 'click', 'signup')) AS cell, count(*) FILTER (WHERE state = 'STARVED') AS total FROM grid GROUP BY 1")
 def agg_starved_split(spark, sf):
-    st = F.col("state") == "STARVED"
-    feed, kit = st & (F.col("channel") == "view"), st & F.col("channel").isin("click", "signup")
-    return grid(spark, sf).groupBy((F.col("step") % 6).alias("slot")).agg(F.count_if(feed).alias("feed"), F.count_if(kit).alias("kit"), F.count_if(st & ~feed & ~kit).alias("cell"), F.count_if(st).alias("total"))
+    return flow.starved_split(grid(spark, sf), F.col("step") % 6, F.col("channel") == "view", F.col("channel").isin("click", "signup"))
 
 
 @query(f"WITH {PARTS}, f AS (SELECT machine, count(DISTINCT part) AS sunk, count(*) FILTER (WHERE flag = 'REJECT') AS scrapped, count(*) AS n FROM parts GROUP BY machine) SELECT quantile_cont(n - scrapped, 0.5) AS med, round(quantile_cont(n - scrapped, 0.1), 6) AS p10, round(quantile_cont(n - scrapped, 0.9), 6) AS p90, CAST(sum(scrapped) AS BIGINT) AS scrapped, CAST(sum(sunk) AS BIGINT) AS sunk FROM f")
 def agg_funnel(spark, sf):
-    f = parts(spark, sf).groupBy("machine").agg(F.countDistinct("part").alias("sunk"), F.count_if(F.col("flag") == "REJECT").alias("scrapped"), F.count("*").alias("n"))
-    q = lambda p: F.percentile(F.col("n") - F.col("scrapped"), F.lit(p))
-    return f.agg(q(0.5).alias("med"), F.round(q(0.1), 6).alias("p10"), F.round(q(0.9), 6).alias("p90"), F.sum("scrapped").alias("scrapped"), F.sum("sunk").alias("sunk"))
-
-
-def _rated(m):
-    amps, load = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for name, a in AMPS:
-        amps = F.when(F.col("class") == name, F.lit(a)).otherwise(amps)
-    for prefix, k in LOADS:
-        load = F.when(m.startswith(prefix), F.lit(k)).otherwise(load)
-    return amps, load
+    f = flow.funnel_summary(flow.funnel(parts(spark, sf), "machine", "part", F.col("flag") == "REJECT"))
+    return f.withColumns({c: F.round(c, 6) for c in ("p10", "p90")})
 
 
 _AMPS = "CASE class " + " ".join(f"WHEN '{c}' THEN CAST({a} AS DOUBLE)" for c, a in AMPS) + " END"
@@ -72,19 +60,15 @@ _LOAD = "CASE " + " ".join(f"WHEN m.machine LIKE '{p}%' THEN CAST({k} AS DOUBLE)
  r AS (SELECT d.name, d.amps, d.load, count(*) AS n, count(*) FILTER (WHERE state = 'RUN') AS runs FROM tel JOIN d ON tel.machine % 26 = d.idx GROUP BY 1, 2, 3)
 SELECT name, round(sqrt(CAST(3 AS DOUBLE)) * 400 * (n * amps * 0.15 + runs * load * (amps - amps * 0.15)) / 3600, 6) AS wh, round(sqrt(CAST(3 AS DOUBLE)) * 400 * (n * amps * 0.15 + runs * load * (amps - amps * 0.15)) / 3600 / nullif(runs, 0), 6) AS per_unit FROM r""")
 def agg_energy(spark, sf):
-    amps, load = _rated(F.col("name"))
+    amps, load = flow.rated(F.col("name"), F.col("class"), AMPS, LOADS)
     m = machines(spark).select("idx", F.col("machine").alias("name"), "class").withColumns({"amps": amps, "load": load})
     t = telemetry(spark, sf).select((F.col("machine") % 26).cast("int").alias("idx"), "state").join(m, "idx")
-    wh = flow.energy(flow.current(F.col("state") == "RUN", 0.15, F.col("amps"), F.col("load")))
-    g = t.groupBy("name").agg(F.sum(wh).alias("wh"), F.count_if(F.col("state") == "RUN").alias("runs"))
-    return g.select("name", F.round("wh", 6).alias("wh"), F.round(F.try_divide(F.col("wh"), F.col("runs")), 6).alias("per_unit"))
+    return flow.energy_by(t, "name", F.col("state") == "RUN", F.col("amps"), F.col("load")).select("name", F.round("wh", 6).alias("wh"), F.round("per_unit", 6).alias("per_unit"))
 
 
 @query(f"WITH {TEL} SELECT machine, round(CAST(count(*) FILTER (WHERE step >= 15 AND step < 30 AND state = 'STARVED') AS DOUBLE) / nullif(count(*) FILTER (WHERE step >= 15 AND step < 30), 0) - CAST(count(*) FILTER (WHERE step < 15 AND state = 'STARVED') AS DOUBLE) / 15, 6) AS delta FROM tel GROUP BY machine")
 def agg_stationarity(spark, sf):
-    late, starved = F.col("step").between(15, 29), F.col("state") == "STARVED"
-    d = F.count_if(late & starved).cast("double") / F.nullif(F.count_if(late), F.lit(0)) - F.count_if((F.col("step") < 15) & starved).cast("double") / 15
-    return telemetry(spark, sf).groupBy("machine").agg(F.round(d, 6).alias("delta"))
+    return flow.stationarity(telemetry(spark, sf), ("machine",), F.col("state") == "STARVED").withColumn("delta", F.round("delta", 6))
 
 
 @query(f"""WITH {TEL}, a AS (SELECT *, cents > 8000 AS f FROM tel), b AS (SELECT *, CASE WHEN lag(f) OVER (PARTITION BY machine ORDER BY step) = f THEN 0 ELSE 1 END AS nw FROM a), c AS (SELECT *, sum(nw) OVER (PARTITION BY machine ORDER BY step) AS i FROM b)
@@ -97,37 +81,32 @@ def agg_pile_up(spark, sf):
 def agg_fan_out(spark, sf):
     p = parts(spark, sf)
     u = p.filter("flag <> 'OK'").select("part", "machine").unionByName(p.filter("line = 1").select("part", (F.col("machine") + 1).alias("machine")))
-    return u.groupBy((F.col("part") % 100).alias("grp")).agg(F.countDistinct("machine").alias("fan_out"))
+    return flow.fan_out(u, F.col("part") % 100, "machine")
 
 
 @query(f"WITH {FAULTS} SELECT machine % 5 AS part, string_agg(DISTINCT class, ',' ORDER BY class) AS classes, count(*) AS n FROM faults GROUP BY 1")
 def agg_coverage_cells(spark, sf):
-    g = faults(spark, sf).groupBy((F.col("machine") % 5).alias("part")).agg(F.array_sort(F.collect_set("class")).alias("c"), F.count("*").alias("n"))
-    return g.select("part", F.array_join("c", ",").alias("classes"), "n")
+    return flow.coverage_cells(faults(spark, sf), F.col("machine") % 5, "class")
 
 
 @query(f"WITH {TEL} SELECT step, CAST(sum(tput) AS BIGINT) AS tput, count(*) FILTER (WHERE state = 'DOWN') AS down, round(CAST(sum(cents) AS DOUBLE) / count(*) / 100, 6) AS mean_obs FROM tel GROUP BY step")
 def agg_line_kpis(spark, sf):
-    return telemetry(spark, sf).groupBy("step").agg(F.sum("tput").alias("tput"), F.count_if(F.col("state") == "DOWN").alias("down"), F.round(F.sum("cents").cast("double") / F.count("*") / 100, 6).alias("mean_obs"))
+    return flow.line_kpis(telemetry(spark, sf)).withColumn("mean_obs", F.round("mean_obs", 6))
 
 
 @query(f"WITH {SCORES} SELECT fam, y, count(*) AS n, round(CAST(sum(count(*)) OVER (PARTITION BY fam) AS DOUBLE) / (count(*) OVER (PARTITION BY fam) * count(*)), 6) AS weight FROM scores GROUP BY fam, y")
 def agg_class_weights(spark, sf):
-    g = scores(spark, sf).groupBy("fam", "y").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("fam")
-    return g.withColumn("weight", F.round(F.sum("n").over(w).cast("double") / (F.count("*").over(w) * F.col("n")), 6))
+    return flow.class_weights(scores(spark, sf), "fam", "y").withColumn("weight", F.round("weight", 6))
 
 
 @query(f"WITH {TEL} SELECT machine, count(*) FILTER (WHERE state = 'DOWN') AS fails, round(CAST(count(*) FILTER (WHERE state = 'DOWN') + 1 AS DOUBLE) / (count(*) + 2), 6) AS p0 FROM tel WHERE machine % 4 = 0 GROUP BY machine")
 def agg_p0(spark, sf):
-    f = F.count_if(F.col("state") == "DOWN")
-    return telemetry(spark, sf).filter("machine % 4 = 0").groupBy("machine").agg(f.alias("fails"), F.round((f + 1).cast("double") / (F.count("*") + 2), 6).alias("p0"))
+    return flow.failure_rate(telemetry(spark, sf).filter("machine % 4 = 0"), ("machine",), F.col("state") == "DOWN").withColumn("p0", F.round("p0", 6))
 
 
 @query(f"WITH {TEL} SELECT state, round(sqrt(CAST(count(*) * sum(cents * cents) - sum(cents) * sum(cents) AS DOUBLE)) / count(*) / 100, 6) AS noise FROM tel GROUP BY state")
 def agg_noise_floor(spark, sf):
-    n, x, xx = F.count("*"), F.sum("cents"), F.sum(F.col("cents") * F.col("cents"))
-    return telemetry(spark, sf).groupBy("state").agg(F.round(F.sqrt((n * xx - x * x).cast("double")) / n / 100, 6).alias("noise"))
+    return flow.noise_floor(telemetry(spark, sf), ("state",)).withColumn("noise", F.round("noise", 6))
 
 
 _FAM = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{f}'" for e, f in FAMILIES) + " END"
@@ -152,7 +131,7 @@ def prj_partition(spark, sf):
 
 @query(f"""SELECT m.machine, {_AMPS} AS amps, {_LOAD} AS load, round({_AMPS} * 0.15 + {_LOAD} * ({_AMPS} - {_AMPS} * 0.15), 6) AS run_amps FROM {_M.replace(' AS t(', ' AS m(')}""")
 def prj_load(spark, sf):
-    amps, load = _rated(F.col("machine"))
+    amps, load = flow.rated(F.col("machine"), F.col("class"), AMPS, LOADS)
     m = machines(spark).withColumns({"amps": amps, "load": load})
     return m.select("machine", "amps", "load", F.round(flow.current(F.lit(True), 0.15, F.col("amps"), F.col("load")), 6).alias("run_amps"))
 
@@ -179,9 +158,8 @@ def prj_envelope(spark, sf):
 @query(f"WITH {GRID} SELECT buffer, step, round(least(1.0, CAST(n AS DOUBLE) / cap), 6) AS util, buffer = 'SBUF' AND n >= 0.8 * cap AS high, round(1 + 3 * least(1.0, CAST(n AS DOUBLE) / cap), 6) AS width FROM grid JOIN {_B.replace(' AS t(', ' AS b(')} ON b.ord % 5 = CASE channel WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END")
 def prj_buffer_util(spark, sf):
     slot = F.when(F.col("channel") == "click", 0).when(F.col("channel") == "error", 1).when(F.col("channel") == "purchase", 2).when(F.col("channel") == "signup", 3).otherwise(4)
-    g = grid(spark, sf).withColumn("slot", slot).join(F.broadcast(buffers(spark).withColumn("slot", F.col("ord") % 5)), "slot")
-    util = F.least(F.lit(1.0), F.col("n").cast("double") / F.col("cap"))
-    return g.select("buffer", "step", F.round(util, 6).alias("util"), ((F.col("buffer") == "SBUF") & (F.col("n") >= 0.8 * F.col("cap"))).alias("high"), F.round(1 + 3 * util, 6).alias("width"))
+    g = grid(spark, sf).withColumn("slot", slot).join(buffers(spark).withColumn("slot", F.col("ord") % 5), "slot")
+    return flow.buffer_use(g).select("buffer", "step", F.round("util", 6).alias("util"), "high", F.round("width", 6).alias("width"))
 
 
 _RULES = {"t0_early": "t0 >= 42", "too_long": "t1 <= 49", "class": "class <> 'loss'", "mag": "mag = 0 OR (mag >= 0.5 AND mag <= 6)"}
@@ -194,15 +172,13 @@ def val_fault_contract(spark, sf):
 
 @query(f"WITH {FAULTS}, g AS (SELECT machine, class, t0 - lag(t1) OVER (PARTITION BY machine % 5 ORDER BY t0, machine) AS gap FROM faults) SELECT machine, class, gap FROM g WHERE gap < 5")
 def val_gap(spark, sf):
-    w = Window.partitionBy(F.col("machine") % 5).orderBy("t0", "machine")
-    return faults(spark, sf).select("machine", "class", (F.col("t0") - F.lag("t1").over(w)).alias("gap")).filter("gap < 5")
+    return validate.gaps_below(faults(spark, sf), F.col("machine") % 5, 5)
 
 
 @query(f"WITH x AS (SELECT machine FROM {_M}), b AS (SELECT buffer, cap FROM {_B}) SELECT 'machines' AS what, count(*) AS n, count(*) - count(DISTINCT machine) AS repeats, CAST(0 AS BIGINT) AS bad FROM x UNION ALL SELECT 'buffers', count(*), count(*) - count(DISTINCT buffer), count(*) FILTER (WHERE cap <= 0) FROM b")
 def val_roster(spark, sf):
-    m = machines(spark).agg(F.lit("machines").alias("what"), F.count("*").alias("n"), (F.count("*") - F.countDistinct("machine")).alias("repeats"), F.lit(0).cast("long").alias("bad"))
-    b = buffers(spark).agg(F.lit("buffers").alias("what"), F.count("*").alias("n"), (F.count("*") - F.countDistinct("buffer")).alias("repeats"), F.count_if(F.col("cap") <= 0).alias("bad"))
-    return m.unionByName(b)
+    m = validate.roster(machines(spark), "machines", "machine", F.lit(False))
+    return m.unionByName(validate.roster(buffers(spark), "buffers", "buffer", F.col("cap") <= 0))
 
 
 @query(f"WITH {FAULTS}, f AS (SELECT DISTINCT machine % 16 AS part, class FROM faults) SELECT p.part, c.class FROM (SELECT range AS part FROM range(16)) p CROSS JOIN {sql_values([(c,) for c in CLASSES], 'class').replace(' AS t(', ' AS c(')} WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.part = p.part AND f.class = c.class)")
@@ -213,23 +189,19 @@ def val_coverage_gate(spark, sf):
 
 @query(f"WITH {FAULTS}, s AS (SELECT machine % 10 AS ep, unnest(range(t0, t1)) AS t FROM faults) SELECT ep, count(DISTINCT t) AS steps, count(*) AS total, count(DISTINCT t) <= 0.08 * 180 AS ok FROM s GROUP BY ep")
 def val_rate_budget(spark, sf):
-    s = faults(spark, sf).select((F.col("machine") % 10).alias("ep"), F.explode(F.sequence(F.col("t0"), F.col("t1") - 1)).alias("t"))
-    n = F.countDistinct("t")
-    return s.groupBy("ep").agg(n.alias("steps"), F.count("*").alias("total"), (n <= 0.08 * 180).alias("ok"))
+    return validate.rate_budget(faults(spark, sf), F.col("machine") % 10, 0.08 * 180)
 
 
 @query(f"WITH {TEL} SELECT count(*) AS n, count(DISTINCT state) AS states, count(*) FILTER (WHERE state NOT IN ('RUN', 'DOWN', 'BLOCKED', 'STARVED')) AS bad_state, count(*) FILTER (WHERE obs IS NULL OR obs < 0) AS bad_obs, count(*) FILTER (WHERE step < 0) AS bad_step FROM tel")
 def val_tick_contract(spark, sf):
-    t = telemetry(spark, sf)
-    return t.agg(F.count("*").alias("n"), F.countDistinct("state").alias("states"), F.count_if(~F.col("state").isin(*flow.STATES)).alias("bad_state"), F.count_if(F.col("obs").isNull() | (F.col("obs") < 0)).alias("bad_obs"), F.count_if(F.col("step") < 0).alias("bad_step"))
+    return validate.tick_contract(telemetry(spark, sf), flow.STATES)
 
 
 @query("SELECT 'missing' AS side, l AS k FROM (SELECT CAST(c_custkey AS BIGINT) AS l FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'extra', l FROM (SELECT o_custkey AS l FROM orders WHERE o_custkey % 2 = 0 EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0)")
 def set_symmetric(spark, sf):
     c, o = read(spark, sf, "customer").select(F.col("c_custkey").alias("k")), read(spark, sf, "orders").select(F.col("o_custkey").alias("k"))
-    a = c.exceptAll(c.join(o, "k", "left_semi")).distinct().select(F.lit("missing").alias("side"), "k")
-    b = o.filter("k % 2 = 0").distinct().join(c.filter("k % 4 = 0"), "k", "left_anti").select(F.lit("extra").alias("side"), "k")
-    return a.unionByName(b)
+    missing = validate.symmetric_difference(c, o).filter("side = 'missing'")
+    return missing.unionByName(validate.symmetric_difference(c.filter("k % 4 = 0"), o.filter("k % 2 = 0")).filter("side = 'extra'"))
 
 
 @query("SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0 INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
@@ -240,24 +212,20 @@ def set_intersect(spark, sf):
 @query("WITH s AS (SELECT DISTINCT user_id % 5 AS g, event_type || CAST(event_id % 7 AS VARCHAR) AS e FROM events WHERE event_id % 3 = 0), p AS (SELECT a.g AS ga, b.g AS gb, count(*) AS common FROM s a JOIN s b ON a.e = b.e AND a.g < b.g GROUP BY 1, 2), n AS (SELECT g, count(*) AS n FROM s GROUP BY g) SELECT ga, gb, round(1 - CAST(common AS DOUBLE) / (x.n + y.n - common), 6) AS flip FROM p JOIN n x ON x.g = ga JOIN n y ON y.g = gb")
 def set_edge_flip(spark, sf):
     """The share of edges on which each two of five sets differ."""
-    s = read(spark, sf, "events").filter("event_id % 3 = 0").select((F.col("user_id") % 5).alias("g"), F.concat("event_type", (F.col("event_id") % 7).cast("string")).alias("e")).distinct()
-    n = s.groupBy("g").agg(F.count("*").alias("n"))
-    p = s.select(F.col("g").alias("ga"), "e").join(s.select(F.col("g").alias("gb"), "e"), "e").filter("ga < gb").groupBy("ga", "gb").agg(F.count("*").alias("common"))
-    p = p.join(n.select(F.col("g").alias("ga"), F.col("n").alias("x")), "ga").join(n.select(F.col("g").alias("gb"), F.col("n").alias("y")), "gb")
-    return p.select("ga", "gb", F.round(1 - F.col("common").cast("double") / (F.col("x") + F.col("y") - F.col("common")), 6).alias("flip"))
+    s = read(spark, sf, "events").filter("event_id % 3 = 0").select((F.col("user_id") % 5).alias("g"), F.concat("event_type", (F.col("event_id") % 7).cast("string")).alias("e"))
+    return validate.edge_flips(s).withColumn("flip", F.round("flip", 6))
 
 
 @query(f"WITH {TEL}, r AS (SELECT machine, step, state, row_number() OVER (PARTITION BY machine ORDER BY step DESC) AS rn, count(*) OVER (PARTITION BY machine) AS n FROM tel WHERE state <> 'RUN') SELECT machine, step, state, greatest(0, n - 5) AS overflow FROM r WHERE rn <= 5")
 def srt_latest_capped(spark, sf):
     """The five latest of each entity and how many there are besides."""
-    w = Window.partitionBy("machine")
-    t = telemetry(spark, sf).filter("state <> 'RUN'").withColumns({"rn": F.row_number().over(w.orderBy(F.col("step").desc())), "n": F.count("*").over(w)})
-    return t.filter("rn <= 5").select("machine", "step", "state", F.greatest(F.lit(0), F.col("n") - 5).alias("overflow"))
+    t = telemetry(spark, sf).filter("state <> 'RUN'").select("machine", "step", "state")
+    return episodes.latest_capped(t, "machine", "step", 5)
 
 
 @query(f"WITH {FAULTS} SELECT machine % 7 AS g, min_by(class, CAST(t0 AS BIGINT) * 100000 + machine) AS root, max_by(machine, mag * 100000 - machine) AS severest FROM faults GROUP BY 1")
 def srt_priority(spark, sf):
-    return faults(spark, sf).groupBy((F.col("machine") % 7).alias("g")).agg(F.min_by("class", F.struct("t0", "machine")).alias("root"), F.max_by("machine", F.struct("mag", -F.col("machine"))).alias("severest"))
+    return episodes.priority(faults(spark, sf), F.col("machine") % 7)
 
 
 @query("SELECT lower(sha256(event_type || ':' || CAST(user_id AS VARCHAR))) AS digest, count(*) AS n FROM events GROUP BY 1")
@@ -279,51 +247,43 @@ def fn_json(spark, sf):
 @query(f"WITH {GRID} SELECT step, '{{\"step\":' || step || ',\"n\":[' || string_agg(CAST(n AS VARCHAR), ',' ORDER BY channel) || ']}}' AS tick FROM grid GROUP BY step")
 def str_ticks(spark, sf):
     """The tick frames of a replay: one JSON object a step, channels in order."""
-    g = grid(spark, sf).groupBy("step").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "n"))), lambda x: x["n"]).alias("n"))
-    return g.select("step", F.to_json(F.struct("step", "n")).alias("tick"))
+    return frames.ticks(grid(spark, sf))
 
 
 @query(f"WITH {GRID} SELECT step, 'event: tick' || chr(10) || 'data: ' || CAST(sum(n) AS BIGINT) || chr(10) || chr(10) AS frame FROM grid WHERE step >= 90 GROUP BY step")
 def str_sse_frames(spark, sf):
     g = grid(spark, sf).filter("step >= 90").groupBy("step").agg(F.sum("n").alias("n"))
-    return g.select("step", F.concat(F.lit("event: tick\ndata: "), F.col("n").cast("string"), F.lit("\n\n")).alias("frame"))
+    return frames.server_events(g, "tick", F.col("n").cast("string")).select("step", "frame")
 
 
-@query(f"WITH {GRID} SELECT step, CASE WHEN sum(CASE WHEN channel = 'error' THEN n ELSE 0 END) > 15 THEN 5 WHEN sum(n) > 60 THEN 3 WHEN count(*) FILTER (WHERE state = 'STARVED') > 2 THEN 2 ELSE 1 END AS priority FROM grid GROUP BY step")
+@query(f"WITH {GRID}, p AS (SELECT step, CASE WHEN sum(CASE WHEN channel = 'error' THEN n ELSE 0 END) > 15 THEN 5 WHEN sum(n) > 60 THEN 3 WHEN count(*) FILTER (WHERE state = 'STARVED') > 2 THEN 2 ELSE 1 END AS priority FROM grid GROUP BY step) SELECT step, priority, max(priority) OVER (ORDER BY step ROWS 1 PRECEDING) AS shown FROM p")
 def str_narration(spark, sf):
+    """What is said at each step, and what is shown, which stays for two steps unless something graver comes."""
     err = F.sum(F.when(F.col("channel") == "error", F.col("n")).otherwise(0))
-    p = F.when(err > 15, 5).when(F.sum("n") > 60, 3).when(F.count_if(F.col("state") == "STARVED") > 2, 2).otherwise(1)
-    return grid(spark, sf).groupBy("step").agg(p.alias("priority"))
+    rules = [(err > 15, 5), (F.sum("n") > 60, 3), (F.count_if(F.col("state") == "STARVED") > 2, 2)]
+    return frames.held_over(frames.narrated(grid(spark, sf), rules), 2)
 
 
 @query(f"WITH {GRID} SELECT step // 10 AS batch, CAST(sum(n) AS BIGINT) AS n, CAST(greatest(0, sum(n) - 500) AS BIGINT) AS dropped FROM grid GROUP BY 1")
 def str_backpressure(spark, sf):
-    n = F.sum("n")
-    return grid(spark, sf).groupBy(F.expr("step div 10").alias("batch")).agg(n.alias("n"), F.greatest(F.lit(0), n - 500).alias("dropped"))
+    return frames.dropped(grid(spark, sf), F.expr("step div 10"), 500)
 
 
 @query(f"WITH {SCORES}, t AS (SELECT unnest([0.3, 0.4, 0.5, 0.6]) AS thr) SELECT CAST(thr AS DOUBLE) AS thr, count(*) FILTER (WHERE score >= CAST(thr AS DOUBLE) AND y = 1) AS tp, count(*) FILTER (WHERE score >= CAST(thr AS DOUBLE) AND y = 0) AS fp, round(2.0 * count(*) FILTER (WHERE score >= CAST(thr AS DOUBLE) AND y = 1) / (count(*) FILTER (WHERE score >= CAST(thr AS DOUBLE)) + sum(y)), 6) AS f1 FROM scores, t GROUP BY thr")
 def rst_threshold_sweep(spark, sf):
-    """All thresholds in one pass: a row explodes into no more than the thresholds asked for."""
-    s = scores(spark, sf).select("score", "y", F.explode(F.array(*[F.lit(x) for x in (0.3, 0.4, 0.5, 0.6)])).alias("thr"))
-    hit, y = F.col("score") >= F.col("thr"), F.col("y") == 1
-    g = s.groupBy("thr").agg(F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.sum("y").alias("p"))
-    return g.select("thr", "tp", "fp", F.round(2.0 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("p")), 6).alias("f1"))
+    return episodes.threshold_sweep(scores(spark, sf), [0.3, 0.4, 0.5, 0.6]).withColumn("f1", F.round("f1", 6))
 
 
 @query(f"WITH {SCORES}, f AS (SELECT fam, quantile_cont(score, 0.9) AS thr FROM scores WHERE fam IN ('en', 'de') GROUP BY fam), g AS (SELECT quantile_cont(score, 0.9) AS thr FROM scores) SELECT id, score >= coalesce(f.thr, g.thr) AS dec FROM scores LEFT JOIN f ON f.fam = scores.fam, g")
 def rst_family_threshold(spark, sf):
     """Each family's threshold, else the global one."""
-    s = scores(spark, sf)
-    f = s.filter(F.col("fam").isin("en", "de")).groupBy("fam").agg(F.percentile("score", F.lit(0.9)).alias("t"))
-    g = s.agg(F.percentile("score", F.lit(0.9)).alias("g"))
-    return s.join(F.broadcast(f), "fam", "left").join(F.broadcast(g), F.lit(True)).select("id", (F.col("score") >= F.coalesce("t", "g")).alias("dec"))
+    return episodes.by_family_threshold(scores(spark, sf), F.col("fam").isin("en", "de"), 0.9, "fam").select("id", "dec")
 
 
 @query(f"WITH {TEL}, m AS (SELECT machine, quantile_cont(obs, 0.5) AS med FROM tel WHERE state = 'RUN' GROUP BY machine) SELECT tel.machine, step, round(CASE WHEN state = 'DOWN' THEN med ELSE obs END, 6) AS obs FROM tel LEFT JOIN m ON m.machine = tel.machine")
 def rst_impute(spark, sf):
-    med = F.percentile(F.when(F.col("state") == "RUN", F.col("obs")), F.lit(0.5)).over(Window.partitionBy("machine"))
-    return telemetry(spark, sf).select("machine", "step", F.round(F.when(F.col("state") == "DOWN", med).otherwise(F.col("obs")), 6).alias("obs"))
+    t = episodes.imputed(telemetry(spark, sf), "obs", F.col("state") == "DOWN", F.col("state") == "RUN")
+    return t.select("machine", "step", F.round("obs", 6).alias("obs"))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS BIGINT) AS qty FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeline.operators import features as fe
 from gaugeline.operators import learning, series_udf
 from gaugeline.plans.base import query
 from gaugeline.sources.adapters import FAULTS, SCORES, TEL, faults, read, scores, telemetry

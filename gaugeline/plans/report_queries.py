@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions.dims import EDGES, MACHINES, edges, machines, sql_values
-from gaugeline.operators import calibrate as cal
-from gaugeline.operators import detect, labels
+from gaugeline.operators import episodes, flow, labels, validate
 from gaugeline.operators import metrics as me
 from gaugeline.operators import sequence as sq
 from gaugeline.plans.base import query
@@ -26,14 +24,7 @@ EPISODE = f"""{TEL}, {FAULTS}, {FIT}, {SCORED}, d AS (SELECT machine, step, alar
 
 
 def episode_scores(spark, sf):
-    """Each entity's tp, fp, fn and first hit: the dwell-confirmed union of exceedance and failures against labels.
-    Windows, both joins and the aggregate are keyed by entity."""
-    t = telemetry(spark, sf)
-    d = detect.exceedance(t, cal.tukey_fit(t, good()), F.col("state") == "DOWN")
-    d = sq.confirmed(d, F.col("alarm"), F.col("state") == "DOWN", 2, 5, out="dec").select("machine", "step", "dec")
-    d = labels.active(d.filter(F.col("step") >= CAL_END), faults(spark, sf)).withColumn("y", F.col("y") == 1)
-    c = me.counts(F.col("dec"), F.col("y"))
-    return d.groupBy("machine").agg(c["tp"].alias("tp"), c["fp"].alias("fp"), c["fn"].alias("fn"), F.min(F.when(F.col("dec") & F.col("y"), F.col("step"))).alias("first_hit"))
+    return episodes.scored_episodes(telemetry(spark, sf), faults(spark, sf), good(), CAL_END)
 
 
 @query(f"WITH {EPISODE} SELECT machine, tp, fp, fn, first_hit, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM e")
@@ -44,9 +35,7 @@ def det_episode_score(spark, sf):
 @query(f"""WITH {EPISODE} SELECT class, count(*) AS n, count(*) FILTER (WHERE tp > 0) AS hits, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn,
  round(CAST(sum(first_hit - t0) AS DOUBLE) / nullif(count(first_hit), 0), 6) AS latency FROM e LEFT JOIN faults f ON f.machine = e.machine GROUP BY class""")
 def det_battery(spark, sf):
-    e = episode_scores(spark, sf).join(faults(spark, sf).select("machine", "class", "t0"), "machine", "left").groupBy("class")
-    latency = F.try_divide(F.sum(F.col("first_hit") - F.col("t0")).cast("double"), F.count("first_hit"))
-    return e.agg(F.count("*").alias("n"), F.count_if(F.col("tp") > 0).alias("hits"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.round(latency, 6).alias("latency"))
+    return episodes.battery(episode_scores(spark, sf), faults(spark, sf)).withColumn("latency", F.round("latency", 6))
 
 
 LEDGER = f"""{TEL}, {FAULTS}, i AS (SELECT 'failure' AS kind, machine, step FROM tel WHERE state = 'DOWN' UNION ALL
@@ -56,11 +45,7 @@ LEDGER = f"""{TEL}, {FAULTS}, i AS (SELECT 'failure' AS kind, machine, step FROM
 
 def ledger(spark, sf):
     """Incidents of four kinds; sensor and transport ones are debounced."""
-    t = telemetry(spark, sf)
-    kind = lambda df, k: df.select(F.lit(k).alias("kind"), "machine", "step")
-    out = kind(t.filter("state = 'DOWN'"), "failure").unionByName(kind(sq.debounced(t.filter("cents > 30000"), 10), "sensor"))
-    out = out.unionByName(kind(sq.debounced(t.filter("state = 'BLOCKED'"), 5), "transport"))
-    return out.unionByName(kind(faults(spark, sf).withColumn("step", F.col("t0")), "label"))
+    return episodes.incidents(telemetry(spark, sf), faults(spark, sf), F.col("cents") > 30000)
 
 
 @query(f"WITH {LEDGER} SELECT kind, machine, step FROM i")
@@ -70,44 +55,39 @@ def det_incidents(spark, sf):
 
 @query(f"WITH {LEDGER} SELECT machine, count(*) FILTER (WHERE kind = 'failure') AS failure, count(*) FILTER (WHERE kind = 'sensor') AS sensor, count(*) FILTER (WHERE kind = 'transport') AS transport, count(*) FILTER (WHERE kind = 'label') AS label FROM i GROUP BY machine")
 def agg_incident_counts(spark, sf):
-    kinds = ("failure", "sensor", "transport", "label")
-    return ledger(spark, sf).groupBy("machine").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    return episodes.counted(ledger(spark, sf), "machine", "kind", ("failure", "sensor", "transport", "label"))
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE user_id % 3 = 0 AND event_type IN ('purchase', 'error')")
 def flt_event_feed(spark, sf):
-    return read(spark, sf, "events").filter((F.col("user_id") % 3 == 0) & F.col("event_type").isin("purchase", "error")).select("event_id", "user_id", "event_type")
+    return episodes.event_feed(read(spark, sf, "events"), F.col("user_id") % 3 == 0, ("purchase", "error")).select("event_id", "user_id", "event_type")
 
 
 @query(f"WITH {TEL}, {FAULTS} SELECT tel.machine, step, CASE WHEN f.class IS NULL THEN 'natural' ELSE 'injected' END AS kind FROM tel LEFT JOIN faults f ON f.machine = tel.machine AND step >= t0 AND step < t1 WHERE state = 'DOWN'")
 def prj_down_kind(spark, sf):
-    d = labels.active(telemetry(spark, sf).filter("state = 'DOWN'"), faults(spark, sf))
-    return d.select("machine", "step", F.when(F.col("class").isNull(), "natural").otherwise("injected").alias("kind"))
+    return episodes.down_kind(telemetry(spark, sf), faults(spark, sf))
 
 
 @query(f"WITH {TEL}, {FAULTS}, l AS (SELECT tel.machine, CASE WHEN f.class IS NULL THEN 0 ELSE 1 END AS y FROM tel LEFT JOIN faults f ON f.machine = tel.machine AND step >= t0 AND step < t1 WHERE step >= {CAL_END}) SELECT machine % 4 AS grp, round(CAST(sum(y) AS DOUBLE) / count(*), 6) AS rate, CAST(sum(y) AS DOUBLE) / count(*) <= 0.5 AS ok FROM l GROUP BY 1")
 def val_positive_rate(spark, sf):
-    y = labels.active(telemetry(spark, sf).filter(F.col("step") >= CAL_END), faults(spark, sf))
-    rate = F.sum("y").cast("double") / F.count("*")
-    return y.groupBy((F.col("machine") % 4).alias("grp")).agg(F.round(rate, 6).alias("rate"), (rate <= 0.5).alias("ok"))
+    t = telemetry(spark, sf).filter(F.col("step") >= CAL_END)
+    return validate.positive_rate(t, faults(spark, sf), F.col("machine") % 4, 0.5).withColumn("rate", F.round("rate", 6))
 
 
 @query(f"WITH {FAULTS}, c AS (SELECT DISTINCT user_id AS machine FROM events WHERE user_id % 4 = 0) SELECT count(*) AS shared FROM (SELECT machine FROM faults INTERSECT SELECT machine FROM c)")
 def val_disjoint(spark, sf):
     clean = read(spark, sf, "events").filter("user_id % 4 = 0").select(F.col("user_id").alias("machine"))
-    return faults(spark, sf).select("machine").intersect(clean).agg(F.count("*").alias("shared"))
+    return validate.shared(faults(spark, sf).select("machine"), clean)
 
 
 @query("SELECT count(*) FILTER (WHERE event_type IS NULL OR user_id IS NULL) AS no_key, count(*) FILTER (WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup', 'error')) AS unknown, count(*) FILTER (WHERE value < 0) AS negative, count(*) FILTER (WHERE json_extract_string(props, '$.k') IS NULL) AS no_prop FROM events")
 def val_event_keys(spark, sf):
-    known = F.col("event_type").isin("view", "click", "purchase", "signup", "error")
-    return read(spark, sf, "events").agg(F.count_if(F.col("event_type").isNull() | F.col("user_id").isNull()).alias("no_key"), F.count_if(~known).alias("unknown"), F.count_if(F.col("value") < 0).alias("negative"), F.count_if(F.get_json_object("props", "$.k").isNull()).alias("no_prop"))
+    return validate.event_keys(read(spark, sf, "events"), ("view", "click", "purchase", "signup", "error"), "$.k")
 
 
 @query(f"WITH {TEL} SELECT machine % 5 AS part, count(*) AS rows_, count(DISTINCT machine) AS nodes, count(*) >= 800 AS enough, count(DISTINCT machine) <= 10 AS small FROM tel GROUP BY 1")
 def val_evidence_floor(spark, sf):
-    n, k = F.count("*"), F.countDistinct("machine")
-    return telemetry(spark, sf).groupBy((F.col("machine") % 5).alias("part")).agg(n.alias("rows_"), k.alias("nodes"), (n >= 800).alias("enough"), (k <= 10).alias("small"))
+    return validate.evidence_floor(telemetry(spark, sf), F.col("machine") % 5, "machine")
 
 
 @query(f"WITH {GRID} SELECT a.step, a.n FROM grid a JOIN grid b ON a.step = b.step AND a.channel = 'view' AND b.channel = 'signup' WHERE a.n >= 5 AND b.n <= a.n")
@@ -120,28 +100,26 @@ def jn_pile_up(spark, sf):
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_custkey <= 3)")
 def jn_protected(spark, sf):
     c = read(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    return c.join(c.filter("c_custkey <= 3").select("c_mktsegment").distinct(), "c_mktsegment", "left_semi").select("c_custkey", "c_mktsegment")
+    return validate.protected_rows(c, "c_mktsegment", F.col("c_custkey") <= 3).select("c_custkey", "c_mktsegment")
 
 
 @query(f"WITH {TEL} SELECT machine, round(CAST(count(*) FILTER (WHERE state <> 'DOWN') AS DOUBLE) / count(*), 2) AS availability, round(100.0 * count(*) FILTER (WHERE state IN ('DOWN', 'BLOCKED')) / count(*), 2) AS disruption, CAST(sum(tput) AS BIGINT) AS output FROM tel GROUP BY machine")
 def agg_episode_kpis(spark, sf):
-    n = F.count("*")
-    return telemetry(spark, sf).groupBy("machine").agg(F.round(F.count_if(F.col("state") != "DOWN").cast("double") / n, 2).alias("availability"), F.round(100.0 * F.count_if(F.col("state").isin("DOWN", "BLOCKED")) / n, 2).alias("disruption"), F.sum("tput").alias("output"))
+    return flow.episode_kpis(telemetry(spark, sf), ("machine",)).withColumns({c: F.round(c, 2) for c in ("availability", "disruption")})
 
 
 @query(f"WITH {TEL}, m AS (SELECT m.machine, {('CASE ' + ' '.join(f'''WHEN machine LIKE '{p}%' THEN '{n}' ''' for p, n in (('ASM', 'cell'), ('INSP', 'cell'), ('RWK', 'rework'), ('PKG', 'line-C'), ('C', 'line-C'), ('A', 'line-A'), ('B', 'line-B'))) + 'END')} AS part, idx FROM {_MACH.replace(' AS t(', ' AS m(')}) SELECT part, round(100.0 * count(*) FILTER (WHERE state = 'RUN') / count(*), 2) AS util, count(DISTINCT m.machine) AS members FROM tel JOIN m ON tel.machine % 26 = m.idx GROUP BY part")
 def agg_line_utilisation(spark, sf):
     m = machines(spark).select("idx", F.col("machine").alias("name"), partition_of(F.col("machine")).alias("part"))
-    t = telemetry(spark, sf).select((F.col("machine") % 26).cast("int").alias("idx"), "state").join(F.broadcast(m), "idx")
-    return t.groupBy("part").agg(F.round(100.0 * F.count_if(F.col("state") == "RUN") / F.count("*"), 2).alias("util"), F.countDistinct("name").alias("members"))
+    t = telemetry(spark, sf).select((F.col("machine") % 26).cast("int").alias("idx"), "state").join(m, "idx")
+    return flow.utilisation(t, "part", "name").withColumn("util", F.round("util", 2))
 
 
 @query(f"""WITH {TEL}, {FAULTS}, o AS (SELECT f.machine, class, abs(min(step) FILTER (WHERE cents > 15000 AND step >= 30) - min(t0)) AS err FROM faults f JOIN tel ON tel.machine = f.machine GROUP BY f.machine, class)
 SELECT class, quantile_cont(err, 0.5) AS med, round(quantile_cont(err, 0.9), 6) AS p90, count(err) AS n FROM o GROUP BY class""")
 def agg_localise_error(spark, sf):
-    t = telemetry(spark, sf).join(faults(spark, sf), "machine").groupBy("machine", "class")
-    o = t.agg(F.abs(F.min(F.when((F.col("cents") > 15000) & (F.col("step") >= 30), F.col("step"))) - F.min("t0")).alias("err"))
-    return o.groupBy("class").agg(F.percentile("err", F.lit(0.5)).alias("med"), F.round(F.percentile("err", F.lit(0.9)), 6).alias("p90"), F.count("err").alias("n"))
+    e = episodes.localise_error(telemetry(spark, sf), faults(spark, sf), (F.col("cents") > 15000) & (F.col("step") >= 30))
+    return e.withColumn("p90", F.round("p90", 6))
 
 
 def _vus(b: int) -> str:
@@ -169,9 +147,7 @@ def met_vus_pr(spark, sf):
  s AS (SELECT fam, half, sum((2 * rk + k - 1) * y) AS r2, sum(y) AS p, count(*) - sum(y) AS q FROM r GROUP BY fam, half), a AS (SELECT fam, half, CAST(r2 - p * (p + 1) AS DOUBLE) / nullif(2.0 * p * q, 0) AS auc FROM s)
 SELECT x.fam, round(x.auc, 6) AS before, round(z.auc, 6) AS after_, CASE WHEN z.auc >= x.auc - 0.05 THEN 'retained' ELSE 'lost' END AS verdict FROM a x JOIN a z ON x.fam = z.fam AND x.half = 0 AND z.half = 1""")
 def met_retention(spark, sf):
-    a = me.auc(scores(spark, sf).withColumn("half", F.col("id") % 2), ("fam", "half"))
-    g = a.groupBy("fam").agg(F.max(F.when(F.col("half") == 0, F.col("auc"))).alias("a"), F.max(F.when(F.col("half") == 1, F.col("auc"))).alias("b"), F.count("*").alias("n")).filter("n = 2")
-    return g.select("fam", F.round("a", 6).alias("before"), F.round("b", 6).alias("after_"), F.when(F.col("b") >= F.col("a") - 0.05, "retained").otherwise("lost").alias("verdict"))
+    return episodes.retention(scores(spark, sf), "fam", F.col("id") % 2 == 1).withColumns({c: F.round(c, 6) for c in ("before", "after_")})
 
 
 @query(f"""WITH {TEL}, {FAULTS}, i AS (SELECT *, CASE WHEN lag(state) {OVER}) = state THEN 0 ELSE 1 END AS nw FROM tel), j AS (SELECT *, sum(nw) {OVER}) AS isl FROM i),
@@ -179,10 +155,7 @@ def met_retention(spark, sf):
 SELECT d.machine, d.step, CASE WHEN f.machine IS NULL THEN med ELSE dwell END AS dwell FROM d JOIN m ON m.step = d.step LEFT JOIN faults f ON f.machine = d.machine AND d.step >= t0 AND d.step < t1""")
 def win_root_or_median(spark, sf):
     """A root's own counter while its fault is active, else the plant's median at that step, cut to a whole number."""
-    d = sq.run_length(telemetry(spark, sf), F.col("state"))
-    m = d.groupBy("step").agg(F.floor(F.percentile("dwell", F.lit(0.5))).cast("long").alias("med"))
-    d = labels.active(d.select("machine", "step", "dwell"), faults(spark, sf)).join(m, "step")
-    return d.select("machine", "step", F.when(F.col("y") == 1, F.col("dwell")).otherwise(F.col("med")).alias("dwell"))
+    return episodes.root_or_median(sq.run_length(telemetry(spark, sf), F.col("state")), faults(spark, sf), "dwell")
 
 
 @query("SELECT b, CAST(greatest(1, round_even(b * 0.5, 0)) AS BIGINT) AS short, CAST(b AS BIGINT) AS base, CAST(2 * b AS BIGINT) AS long FROM (SELECT CAST(range AS BIGINT) AS b FROM range(1, 33))")
@@ -210,27 +183,23 @@ def win_ar1(spark, sf):
 
 @query(f"WITH {TEL}, {FAULTS}, w AS (SELECT machine, step // 8 AS k, max(cents) > 30000 AS dec FROM tel GROUP BY 1, 2) SELECT f.machine, min(k) FILTER (WHERE dec AND k * 8 >= t0 - 7) - min(t0) // 8 AS windows FROM faults f JOIN w ON w.machine = f.machine GROUP BY f.machine HAVING min(k) FILTER (WHERE dec AND k * 8 >= t0 - 7) IS NOT NULL")
 def win_stream_delay(spark, sf):
-    w = telemetry(spark, sf).groupBy("machine", F.expr("step div 8").alias("k")).agg((F.max("cents") > 30000).alias("dec"))
-    w = w.join(faults(spark, sf).select("machine", "t0"), "machine").filter("dec and k * 8 >= t0 - 7")
-    return w.groupBy("machine").agg((F.min("k") - F.min(F.expr("t0 div 8"))).alias("windows"))
+    return episodes.stream_delay(telemetry(spark, sf), faults(spark, sf), F.max("cents") > 30000)
 
 
 @query(f"WITH {SCORES} SELECT fam, ep, count(*) AS n, max(score) AS best, row_number() OVER (PARTITION BY fam ORDER BY max(score) DESC, ep) AS place FROM scores GROUP BY fam, ep")
 def srt_leaderboard(spark, sf):
-    g = scores(spark, sf).groupBy("fam", "ep").agg(F.count("*").alias("n"), F.max("score").alias("best"))
-    return g.withColumn("place", F.row_number().over(Window.partitionBy("fam").orderBy(F.col("best").desc(), "ep")))
+    return episodes.leaderboard(scores(spark, sf), "fam", "ep")
 
 
 @query(f"WITH {TEL}, f AS (SELECT machine, state, min(step) AS pos FROM tel GROUP BY 1, 2) SELECT machine, string_agg(state, '>' ORDER BY pos) AS states FROM f GROUP BY machine")
 def set_ordered_dedupe(spark, sf):
-    f = telemetry(spark, sf).groupBy("machine", "state").agg(F.min("step").alias("pos")).groupBy("machine").agg(F.array_sort(F.collect_list(F.struct("pos", "state"))).alias("s"))
-    return f.select("machine", F.array_join(F.transform("s", lambda x: x["state"]), ">").alias("states"))
+    f = validate.ordered_distinct(telemetry(spark, sf), "machine", "state", "step")
+    return f.select("machine", F.array_join("values", ">").alias("states"))
 
 
 @query(f"WITH {FAULTS} SELECT DISTINCT class FROM faults WHERE class NOT IN ('spike', 'drift')")
 def set_unlisted(spark, sf):
-    allowed = spark.createDataFrame([("spike",), ("drift",)], "class string")
-    return faults(spark, sf).select("class").join(F.broadcast(allowed), "class", "left_anti").distinct()
+    return validate.unlisted(faults(spark, sf), "class", ("spike", "drift"))
 
 
 _CLASS = "CASE WHEN src LIKE 'RWK%' OR dst LIKE 'RWK%' THEN 'rework' WHEN dst LIKE 'ASM%' OR dst LIKE 'INSP%' THEN 'assembly' WHEN dst LIKE 'PKG%' THEN 'tail-stage' ELSE 'line-gap' END"
@@ -268,16 +237,13 @@ def rst_clean_cusum_share(spark, sf):
 @query(f"WITH {TEL}, w AS (SELECT machine, step AS start, row_number() {OVER}) AS a, row_number() OVER (PARTITION BY machine ORDER BY step DESC) AS b FROM tel WHERE step % 4 = 0) SELECT machine, start FROM w WHERE a > 2 AND b > 2")
 def rst_purged_view(spark, sf):
     """Windows without the two at either end."""
-    w = telemetry(spark, sf).filter("step % 4 = 0").select("machine", F.col("step").alias("start"))
-    p = Window.partitionBy("machine")
-    w = w.withColumns({"a": F.row_number().over(p.orderBy("start")), "b": F.row_number().over(p.orderBy(F.col("start").desc()))})
-    return w.filter("a > 2 and b > 2").select("machine", "start")
+    return episodes.purged(telemetry(spark, sf).filter("step % 4 = 0").select("machine", F.col("step").alias("start")), "machine", "start", 2)
 
 
 @query(f"WITH {SCORES}, h AS (SELECT fam, count(*) AS n, count(*) FILTER (WHERE score >= 0.6) AS h FROM scores GROUP BY fam) SELECT '| ' || fam || ' | ' || n || ' | ' || h || ' |' AS line FROM h")
 def snk_markdown(spark, sf):
     h = scores(spark, sf).groupBy("fam").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 0.6).alias("h"))
-    return h.select(F.format_string("| %s | %d | %d |", "fam", "n", "h").alias("line"))
+    return episodes.markdown(h, ["fam", "n", "h"])
 
 
 @query(f"""WITH {TEL}, {FAULTS}, tr AS (SELECT f.machine, class, t0, min(step) FILTER (WHERE cents > 20000 AND step >= t0 - 8) AS trig FROM faults f JOIN tel ON tel.machine = f.machine GROUP BY 1, 2, 3),
@@ -285,13 +251,8 @@ def snk_markdown(spark, sf):
 SELECT tr.machine, class, CASE WHEN class IN ('delay', 'loss', 'breakdown') THEN counter ELSE change END AS onset FROM tr JOIN c ON c.machine = tr.machine""")
 def rst_localise_route(spark, sf):
     """The localiser by family: a counter for structural faults, else the first change near the trigger."""
-    t = telemetry(spark, sf).join(faults(spark, sf).select("machine", "class", "t0"), "machine")
-    trig = F.min(F.when((F.col("cents") > 20000) & (F.col("step") >= F.col("t0") - 8), F.col("step"))).over(Window.partitionBy("machine"))
-    t = t.withColumn("trig", trig).filter("trig is not null")
-    near = (F.col("step") >= F.col("trig") - 16) & (F.col("step") < F.col("trig") + 8)
-    first = lambda c: F.min(F.when(near & c, F.col("step")))
-    g = t.groupBy("machine", "class").agg(first(F.col("state") == "DOWN").alias("counter"), first(F.abs(F.col("cents") - 10000) > 5000).alias("change"))
-    return g.select("machine", "class", F.when(F.col("class").isin("delay", "loss", "breakdown"), F.col("counter")).otherwise(F.col("change")).alias("onset"))
+    changed = F.abs(F.col("cents") - 10000) > 5000
+    return episodes.localise_route(telemetry(spark, sf), faults(spark, sf), F.col("cents") > 20000, F.col("state") == "DOWN", changed, ("delay", "loss", "breakdown"))
 
 
 _LINES = ("[FW-001 | E-M04->M05 | DET-A2]", "no triple here", "[FW-017 | E-M11->M12 | DET-B9] and [FW-018 | E-M01->M02 | DET-C1]")
