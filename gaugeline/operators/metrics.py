@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.operators.ranked import quantiles, with_running_sums
+from gaugeline.operators.ranked import ranks_within, with_running_sums
 
 
 def f1(tp: Column, fp: Column, fn: Column) -> Column:
@@ -51,14 +51,16 @@ def range_pr_auc(df: DataFrame, score: str, y: str, keys: tuple[str, ...], n_thr
     thresholds of a key meet in one task."""
     whole = Window.partitionBy(*keys)
     g = df.groupBy(*keys, F.col(score).cast("double").alias("thr")).agg(F.sum(y).alias("p"), F.count("*").alias("n"))
-    pos = g.groupBy(*keys).agg(F.sum("p").alias("pos")).filter("pos > 0")
-    thr = quantiles(g, "thr", "n", [k / (n_thresholds - 1) for k in range(n_thresholds)], keys).select(*keys, F.col("q").alias("thr")).distinct().join(pos, list(keys))
-    # one row for each distinct score or threshold, the highest first: what a threshold takes is the sum up to it
-    both = g.unionByName(thr.select(*keys, "thr", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n")))
-    both = both.groupBy(*keys, "thr").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    both = with_running_sums(both, "thr", {"tp": "p", "k": "n"}, keys, descending=True)
-    pts = both.join(thr, [*keys, "thr"]).select(*keys, (F.col("tp").cast("double") / F.col("pos")).alias("r"), F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("k")), F.lit(1.0)).alias("p"), F.col("thr").alias("o"))
-    ends = thr.select(*keys).distinct().select(*keys, F.inline(F.array(F.struct(F.lit(0.0).alias("r"), F.lit(1.0).alias("p"), F.lit(1e300).alias("o")), F.struct(F.lit(1.0).alias("r"), F.lit(0.0).alias("p"), F.lit(-1e300).alias("o")))))
+    g = with_running_sums(g, "thr", {"tp": "p", "k": "n"}, keys, descending=True).filter("tp_all > 0")
+    at = ranks_within([k / (n_thresholds - 1) for k in range(n_thresholds)], F.col("k_all") - F.col("k"), F.col("n"), F.col("k_all"))
+    row = F.struct("thr", "tp", "k")
+    x = g.select(*keys, row.alias("row"), F.col("tp_all").alias("pos"), F.explode(at).alias("x")).groupBy(*keys, "x.nth")
+    x = x.agg(F.max(F.when(F.col("x.lo"), F.col("row"))).alias("lo"), F.max(F.when(F.col("x.hi"), F.col("row"))).alias("hi"), F.max("x.part").alias("part"), F.max("pos").alias("pos"))
+    # a threshold between two scores takes the rows from the higher one on
+    q = F.when(F.col("lo.thr") == F.col("hi.thr"), F.col("lo.thr")).otherwise(F.col("lo.thr") + (F.col("hi.thr") - F.col("lo.thr")) * F.col("part"))
+    x = x.withColumn("q", q).withColumn("t", F.when(F.col("q") <= F.col("lo.thr"), F.col("lo")).otherwise(F.col("hi"))).dropDuplicates([*keys, "q"])
+    pts = x.select(*keys, (F.col("t.tp").cast("double") / F.col("pos")).alias("r"), F.coalesce(F.try_divide(F.col("t.tp").cast("double"), F.col("t.k")), F.lit(1.0)).alias("p"), F.col("q").alias("o"))
+    ends = x.select(*keys).distinct().select(*keys, F.inline(F.array(F.struct(F.lit(0.0).alias("r"), F.lit(1.0).alias("p"), F.lit(1e300).alias("o")), F.struct(F.lit(1.0).alias("r"), F.lit(0.0).alias("p"), F.lit(-1e300).alias("o")))))
     pts = pts.unionByName(ends)
     order = whole.orderBy("r", F.col("o").desc())
     pts = pts.withColumn("best", F.max("p").over(order.rowsBetween(0, Window.unboundedFollowing)))

@@ -34,13 +34,19 @@ def with_running_sums(df: DataFrame, order: str, sums: dict[str, str], keys: tup
     return out.drop("__part", "__all", *[f"__b_{name}" for name in sums])
 
 
+def ranks_within(shares: list[float], before: Column, n: Column, total: Column) -> Column:
+    """array<struct(nth, part, lo, hi)>: the ``shares`` of whose two neighbouring ranks, p * (total - 1) rounded down and up, at least one
+    is among the ``n`` ranks from ``before`` on; part is what lies between them."""
+    place = lambda p: p * (total - 1)
+    here = lambda i: (i >= before) & (i < before + n)
+    of = F.transform(F.array(*map(F.lit, shares)), lambda p, k: F.struct(k.alias("nth"), (place(p) - F.floor(place(p))).alias("part"), here(F.floor(place(p))).alias("lo"), here(F.ceil(place(p))).alias("hi")))
+    return F.filter(of, lambda x: x["lo"] | x["hi"])
+
+
 def quantiles(counts: DataFrame, value: str, n: str, shares: list[float], keys: tuple[str, ...]) -> DataFrame:
     """(keys, nth, q): the ``shares[nth]`` quantile, interpolated between neighbours, of distinct values that occur ``n`` times."""
     g = with_running_sums(counts.select(*keys, value, n), value, {"__upto": n}, keys)
-    place = lambda p: p * (F.col("__upto_all") - 1)
-    here = lambda i: (i >= F.col("__upto") - F.col(n)) & (i < F.col("__upto"))
-    of = F.transform(F.array(*map(F.lit, shares)), lambda p, k: F.struct(k.alias("nth"), (place(p) - F.floor(place(p))).alias("part"), here(F.floor(place(p))).alias("lo"), here(F.ceil(place(p))).alias("hi")))
-    g = g.select(*keys, value, F.explode(F.filter(of, lambda x: x["lo"] | x["hi"])).alias("x"))
+    g = g.select(*keys, value, F.explode(ranks_within(shares, F.col("__upto") - F.col(n), F.col(n), F.col("__upto_all"))).alias("x"))
     g = g.groupBy(*keys, F.col("x.nth").alias("nth")).agg(F.max(F.when(F.col("x.lo"), F.col(value))).alias("lo"), F.max(F.when(F.col("x.hi"), F.col(value))).alias("hi"), F.max("x.part").alias("part"))
     return g.select(*keys, "nth", F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("double")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("q"))
 
