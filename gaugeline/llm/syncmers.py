@@ -137,7 +137,8 @@ def with_next(docs: DataFrame, columns: list[str], run: int = RUN) -> DataFrame:
     runs = docs.withColumn("__order", F.coalesce(F.col("doc_id").cast("long"), spread))
     runs = runs.withColumn("__run", number(F.col("__order")))
     to = following(runs.select(F.col("__run").alias("v")).distinct()).select(F.col("v").alias("__run"), F.col("to").alias("__to"))
-    w = Window.partitionBy("__run").orderBy("__order", *columns)
+    # with doc_id, all three readers below need the same columns, and share one exchange
+    w = Window.partitionBy("__run").orderBy("__order", "doc_id", *columns)
     runs = runs.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns} | {"__next": F.lead(F.lit(1)).over(w), "__first": F.lag(F.lit(1)).over(w).isNull()})
     last = runs.filter("__next is null").join(to, "__run").drop(*[f"next_{c}" for c in columns])
     firsts = runs.filter("__first").select(F.col("__run").alias("__to"), *[F.col(c).alias(f"next_{c}") for c in columns])
