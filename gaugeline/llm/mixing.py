@@ -1,6 +1,6 @@
 """Mixing sources to target weights by systematic sampling. DataFrame operations only.
 
-Within each source the documents stand in one fixed order (size, then a hash of the id, then the id),
+Within each source the documents stand in one fixed order (size, then a hash of the id and text, then the id and the text's hash),
 each document's expected copies are summed up to it, one random offset is added, and the document is
 emitted once for each whole number that the sum crosses. Ordering by size makes the words taken follow
 the target closely, for every stretch of the order gives its share.
@@ -64,7 +64,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
 def _keyed(docs: DataFrame, size: Column) -> DataFrame:
     # null sources sort last: 'v' before 'n' under the descending first character
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("source")))
-    return docs.withColumns({"__source": key, "size": size, "__bin": F.pmod(F.xxhash64("doc_id"), F.lit(BINS))})
+    # of rows with one id, or none, the text tells which comes first
+    tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
+    return docs.withColumns({"__source": key, "size": size, "__tie": tie, "__bin": F.pmod(F.xxhash64("doc_id", tie), F.lit(BINS))})
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17, size: Column | None = None) -> DataFrame:
@@ -90,14 +92,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     bins = light.withColumn("__in_size", F.coalesce(F.sum("__n").over(ahead("__source", "size", "__bin")), F.lit(0)))
     bins = bins.join(by_size, ["__source", "size"]).select("__source", "size", "__bin", (F.col("__before") + F.col("__in_size")).alias("__first"))
 
-    place = Window.partitionBy("__source", "size", "__bin").orderBy("doc_id")
+    place = Window.partitionBy("__source", "size", "__bin").orderBy("doc_id", "__tie")
     ranked = keyed.withColumn("__place", F.row_number().over(place).cast("long"))
     ranked = ranked.join(bins, ["__source", "size", "__bin"])
     ranked = ranked.join(broadcast_up_to(sources, MAX_BROADCAST_SOURCES), "__source")
     crossed = f"(__u + __e * (__first + __place)) div {UNIT} - (__u + __e * (__first + __place - 1)) div {UNIT}"
     out = ranked.withColumn("copies", F.expr(crossed))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    return given_back(out.drop("__source", "__bin", "__place", "__first", "__e", "__u"), own)
+    return given_back(out.drop("__source", "__bin", "__tie", "__place", "__first", "__e", "__u"), own)
 
 
 def emitted(mixed: DataFrame) -> DataFrame:

@@ -77,6 +77,16 @@ def test_quality_ratio_separates(spark):
     assert quality.judge(docs.filter("false"), weights).count() == 0
 
 
+def test_quality_on_held_out_labels(spark):
+    """The ratio fitted on four fifths of the trusted documents keeps the rest of them, and not the others."""
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    held = rules.held_out()
+    weights = quality.fit(docs, labels.filter((F.col("quality") == 1) & ~held))
+    got = quality.judge(docs.join(labels.filter(held), "doc_id").select("doc_id", "text", "quality"), weights).select("quality", "base_failed", "kept").collect()
+    share = lambda q: np.mean([r.kept for r in got if r.quality == q and not r.base_failed])
+    assert share(1) > 0.95 and share(0) < share(1)
+
+
 # --- 2
 
 
@@ -207,6 +217,29 @@ def test_mixing_takes_the_target(spark, sf):
     assert ((g.taken - g.target).abs() <= 2 * g.most).all()
 
 
+def test_mixing_copies_by_brute_force(spark):
+    """Each document's copies: whole numbers crossed by the sum of expected copies in the documented order."""
+    rnd = random.Random(51)
+    rows = [(k if k % 9 else None, rnd.choice(["a", "b", "c", None]), " ".join("w" for _ in range(rnd.choice([0, 1, 2, 5, 5, 40])))) for k in range(300)] + [(7, "a", "w w"), (7, "a", "x x"), (7, "a", "x x")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    order = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("tie"), F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(mixing.BINS)).alias("bin")).collect()
+    offset = {r.s: r.u for r in docs.select(F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("v"), F.col("source"))).alias("s")).distinct().select("s", F.pmod(F.xxhash64(F.lit(17), "s"), F.lit(mixing.UNIT)).alias("u")).collect()}
+    of = collections.defaultdict(list)
+    for r in order:
+        of["n" if r.source is None else "v" + r.source].append((len(r.text.split()), r.bin, r.doc_id is not None, r.doc_id or 0, r.tie, r.text))
+    names = sorted(of, key=lambda s: (s[0] == "n", s))
+    sizes = [sum(x[0] for x in of[s]) for s in names]
+    target = water_level(sizes, [1 + k % 3 for k in range(len(names))], 3)
+    want = collections.Counter()
+    for k, s in enumerate(names):
+        e, upto = round(target[k] / sizes[k] * mixing.UNIT), offset[s]
+        for x in sorted(of[s]):
+            want[s, x[3] if x[2] else None, x[5], (upto + e) // mixing.UNIT - upto // mixing.UNIT] += 1
+            upto += e
+    got = collections.Counter(("n" if r.source is None else "v" + r.source, r.doc_id, r.text, r.copies) for r in mixing.mix(docs).collect())
+    assert got == want
+
+
 def test_mixing_odd(spark, odd):
     got = mixing.mix(odd)
     assert got.count() == odd.count() and set(odd.columns) <= set(got.columns)
@@ -248,6 +281,30 @@ def test_packing_round_trip(spark, real, odd):
     assert packing.pack(odd.filter("false")).count() == 0
 
 
+def test_packing_leaves_other_files_to_their_library(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        held = json.load(f)
+    assert packing._plain(held)
+    held["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "lower.json").write_text(json.dumps(held))
+    assert not packing._plain(held)
+    got = packing.ByteBpe(str(tmp_path / "lower.json"))("Some TEXT of Words")
+    assert np.frombuffer(got, "<u4").tolist() == Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode("some text of words", add_special_tokens=False).ids
+
+
+def test_packing_odd_rows(spark, odd):
+    got = packing.pack(odd).toPandas()
+    ids = collections.Counter((r.doc_id is not None and r.doc_id, len(r.text or "")) for r in odd.collect())
+    assert len(got[got.start == 0]) == odd.count() == sum(ids.values())
+    assert (got[got.doc_id == 2].doc_tokens == 1).all() and (got[got.doc_id == 1].doc_tokens == 1).all() and len(got[got.doc_id == 5]) == 2
+    assert (got[got.doc_id == 4].length.sum() == got[got.doc_id == 4].doc_tokens.iloc[0]) and got[got.doc_id.isna()].shape[0] == 1
+
+
 def test_best_fit_decreasing():
     rnd = random.Random(3)
     for _ in range(100):
