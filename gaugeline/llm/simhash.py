@@ -135,7 +135,8 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     rows, edges = minhash.similar(docs)
     key = ["__id", "__h"]
     copies = components(edges).filter("node <> root").select(F.col("node.h").alias("__h")).distinct()
-    least = rows.groupBy("__h").agg(F.min("__id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    # a table of its own, so that a very large group's share of the join can be split
+    least = written(rows.groupBy("__h").agg(F.min("__id").alias("least"), F.count("*").alias("n")).filter("n > 1"))
     dropped = rows.join(least, "__h").filter("__id > least").select(*key).unionByName(rows.join(copies, "__h").select(*key)).distinct()
     docs = minhash.keyed(docs)
     kept = docs.join(broadcast_up_to(written(dropped), MAX_BROADCAST_IDS), key, "left_anti")
