@@ -10,8 +10,8 @@ from oracle import connect, difference
 from gaugeline.plans import registry
 
 REPO = Path(__file__).parent.parent
-#: Nested loops are right only beside a single row.
-ONE_ROW = {"agg_wall_budget", "met_nab", "rst_family_threshold", "fus_soft", "fus_soft_three_arms", "rst_attribution"}
+#: Nested loops are right only beside a single row, or one row for each stretch of a ranked order (64).
+ONE_ROW = {"agg_wall_budget", "met_nab", "rst_family_threshold", "fus_soft", "fus_soft_three_arms", "rst_attribution", "rst_seed_rule", "cal_best_f1"}
 
 
 @pytest.fixture(scope="module")
