@@ -124,10 +124,13 @@ def snk_capped(spark, sf):
     return spark.createDataFrame([(kept, refused)], "kept boolean, refused boolean")
 
 
-@query(f"WITH {TEL}, {FIT} SELECT machine, round(thr, 6) AS thr, round(thr_low, 6) AS thr_low FROM fit WHERE machine < 100")
+_PLANT = TEL.replace("user_id AS machine", "user_id % 26 AS machine", 1)
+
+
+@query(f"WITH {_PLANT}, {FIT} SELECT machine, round(thr, 6) AS thr, round(thr_low, 6) AS thr_low FROM fit")
 def snk_thresholds(spark, sf):
-    """Thresholds of a roster of a hundred entities at most, saved as an artifact and loaded; another roster is refused."""
-    t = telemetry(spark, sf).filter("machine < 100")  # an artifact is of a roster; this one's is the first hundred
+    """Thresholds of the plant's 26 machines, saved as an artifact and loaded; another roster is refused."""
+    t = telemetry(spark, sf).withColumn("machine", F.col("machine") % 26)
     fit = cal.tukey_fit(t, good()).select("machine", "thr", "thr_low")
     path = storage.shared_folder(spark) + "/thresholds.json"
     models.save_thresholds(fit, path, 17)
