@@ -71,7 +71,8 @@ def anchored_repeats(df: DataFrame, value: str, tolerance: float, s: Series = TE
     The anchor depends on all before it: entities are dealt out and sorted by Spark, and a task carries one anchor and
     one count over its batches, whatever a series' length."""
     kinds = dict(df.dtypes)
-    columns = [*s.keys, s.order]
+    # the tasks get plain values, not this module
+    columns, named = [*s.keys, s.order], list(s.keys)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in s.keys], f"`{s.order}` bigint", f"`{out}` bigint"])
 
     def fold(batches):
@@ -80,7 +81,7 @@ def anchored_repeats(df: DataFrame, value: str, tolerance: float, s: Series = TE
         entity, anchor, n = None, None, 0
         for batch in batches:
             found = np.zeros(len(batch), "i8")
-            keys = list(zip(*[batch[c] for c in s.keys], strict=True))
+            keys = list(zip(*[batch[c] for c in named], strict=True))
             for i, (k, v) in enumerate(zip(keys, batch["__v"].to_numpy("f8"), strict=True)):
                 if k != entity:
                     entity, anchor, n = k, None, 0
