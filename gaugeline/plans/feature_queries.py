@@ -168,3 +168,37 @@ def grf_echo(spark, sf):
     a = telemetry(spark, sf).filter("state = 'DOWN'").select("machine", "step", F.col("cents").alias("score"))
     up = a.select(F.col("machine").alias("src")).distinct().filter("src % 5 <> 0").withColumn("dst", F.col("src") + 1)
     return graph.echoes(a, up, 3)
+
+
+def _survivors(m: int) -> str:
+    gone = "".join(
+        f""" AND NOT (EXISTS (SELECT 1 FROM s{u} x WHERE x.line = a.line AND x.step BETWEEN a.step - {3 + m - u} AND a.step)
+ AND EXISTS (SELECT 1 FROM t v WHERE v.line = a.line AND v.place = {u} AND v.step BETWEEN a.step - {3 + m - u} AND a.step AND v.score >= a.score))"""
+        for u in range(m)
+    )
+    return f"s{m} AS MATERIALIZED (SELECT a.line, a.place, a.step, a.score FROM t a WHERE a.alarm AND a.place = {m}{gone})"
+
+
+@query(f"""WITH {TEL}, t AS MATERIALIZED (SELECT machine // 5 AS line, machine % 5 AS place, step, cents AS score, state = 'DOWN' AS alarm FROM tel),
+{', '.join(map(_survivors, range(5)))}
+{' UNION ALL '.join(f'SELECT line, place, step, score FROM s{m}' for m in range(5))}""")
+def grf_echo_cascade(spark, sf):
+    """Alarms of lines of five that stay when each line is taken from its head on."""
+    line = F.floor(F.col("machine") / F.lit(5)).cast("long")
+    t = telemetry(spark, sf).select(line.alias("line"), (F.col("machine") % 5).alias("place"), "step", F.col("cents").alias("score"), (F.col("state") == "DOWN").alias("alarm"))
+    return graph.echo_cascade(t, 5, 3)
+
+
+@query(f"""WITH {GRID}, p AS (SELECT a.channel AS cause, b.channel AS effect, CAST(b.step - a.step AS BIGINT) AS lag, a.n AS x, b.n AS y, z.n AS z
+ FROM grid a JOIN grid b ON b.step IN (a.step + 1, a.step + 2) AND a.channel <> b.channel JOIN grid z ON z.channel = b.channel AND z.step = b.step - 1),
+ c AS (SELECT cause, effect, lag, count(*) AS n, CAST(count(*) * sum(x * y) - sum(x) * sum(y) AS DOUBLE) AS xy, CAST(count(*) * sum(x * z) - sum(x) * sum(z) AS DOUBLE) AS xz, CAST(count(*) * sum(y * z) - sum(y) * sum(z) AS DOUBLE) AS yz,
+ sqrt(CAST(count(*) * sum(x * x) - sum(x) * sum(x) AS DOUBLE)) AS dx, sqrt(CAST(count(*) * sum(y * y) - sum(y) * sum(y) AS DOUBLE)) AS dy, sqrt(CAST(count(*) * sum(z * z) - sum(z) * sum(z) AS DOUBLE)) AS dz FROM p GROUP BY 1, 2, 3),
+ r AS (SELECT cause, effect, lag, n, xy / nullif(dx * dy, 0) AS xy, xz / nullif(dx * dz, 0) AS xz, yz / nullif(dy * dz, 0) AS yz FROM c)
+SELECT cause, effect, lag, n, round(CASE WHEN (1 - xz * xz) * (1 - yz * yz) > 1e-12 THEN (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) END, 6) AS r FROM r""")
+def grf_partial_correlation(spark, sf):
+    """What a channel says of another one or two steps later beyond the other's own last value."""
+    g = grid(spark, sf).select("channel", "step", "n")
+    y = g.select(F.col("channel").alias("effect"), "step", F.col("n").alias("y"), F.lag("n").over(Window.partitionBy("channel").orderBy("step")).alias("z")).filter("z is not null")
+    x = g.select(F.col("channel").alias("cause"), F.col("n").alias("x"), F.posexplode(F.array(F.col("step") + 1, F.col("step") + 2)).alias("k", "step"))
+    p = x.join(y, "step").filter("cause <> effect").withColumn("lag", (F.col("k") + 1).cast("long"))
+    return graph.partial_correlation(p, ("cause", "effect", "lag")).withColumn("r", F.round("r", 6))

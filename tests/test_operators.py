@@ -233,3 +233,36 @@ def test_envelope_of_a_cosine(spark):
     assert column(series_udf.envelope(series(spark, obs=x)), "envelope") == pytest.approx([1.0] * 64)
     assert series_udf.band_energy(series(spark, obs=x)).first().ratio == pytest.approx(1.0)
     assert series_udf.band_energy(series(spark, obs=[2.0] * 16)).first().ratio == 0.0
+
+
+def test_echo_cascade_by_hand_and_by_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(ln, m, t, rng.randint(0, 9), rng.random() < 0.3) for ln in range(3) for m in range(4) for t in range(40) if rng.random() < 0.9]
+    score, alarm = {r[:3]: r[3] for r in rows}, {r[:3]: r[4] for r in rows}
+    stays = dict(alarm)
+    for t in range(40):
+        for ln, m in ((a, b) for a in range(3) for b in range(4)):
+            for u in range(m) if stays.get((ln, m, t)) else ():
+                near = range(t - 2 - (m - u), t + 1)
+                if any(stays.get((ln, u, k)) for k in near) and max(score.get((ln, u, k), -1) for k in near) >= score[ln, m, t]:
+                    stays[ln, m, t] = False
+    schema = "line long, place long, step long, score long, alarm boolean"
+    got = graph.echo_cascade(spark.createDataFrame(rows, schema), 4, 2)
+    assert sorted(map(tuple, got.collect())) == sorted((*k, score[k]) for k, v in stays.items() if v)
+    assert 0 < sum(stays.values()) < sum(alarm.values())
+    odd = [(1, 0, 0, None, True), (1, 1, 0, 3, True), (1, 1, 1, None, True), (1, 1, 0, 3, True)]
+    assert sorted(map(str, graph.echo_cascade(spark.createDataFrame(odd, schema), 2, 2).collect())) == sorted(["Row(line=1, place=0, step=0, score=None)", "Row(line=1, place=1, step=0, score=3)", "Row(line=1, place=1, step=1, score=None)"])
+    assert graph.echo_cascade(spark.createDataFrame([], schema), 2, 2).count() == 0
+
+
+def test_partial_correlation_against_residuals(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    z = rng.integers(0, 50, 300)
+    x, y = z + rng.integers(0, 20, 300), 2 * z + rng.integers(0, 20, 300)
+    df = spark.createDataFrame([("a", int(p), int(q), int(s)) for p, q, s in zip(x, y, z)] + [("b", 1, 2, 3)] * 4 + [("a", None, 1, 1)], "g string, x long, y long, z long")
+    got = {r.g: r for r in graph.partial_correlation(df, ("g",)).collect()}
+    rest = lambda v: v - np.polyval(np.polyfit(z, v, 1), z)
+    assert got["a"].n == 300 and got["a"].r == pytest.approx(np.corrcoef(rest(x), rest(y))[0, 1], abs=1e-9)
+    assert got["b"].n == 4 and got["b"].r is None
