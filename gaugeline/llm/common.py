@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
@@ -76,3 +76,18 @@ def given_back(out: DataFrame, own: dict[str, str]) -> DataFrame:
 def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     """Marked for broadcast if it has at most ``rows`` rows, by count; else left to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def numbered(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """``rows`` with a column ``out``: their places, from 0, in ``order``; equals are told apart by where they are stored, so
+    ``rows`` should be a written table. Rows are dealt out by range and sorted in their part, and a part's rows get the count of
+    those of the parts before it: one row a part meets in a task. No key, however frequent, has to fit in a part."""
+    tied = rows.withColumn("__tie", F.monotonically_increasing_id())
+    by = [*order, F.col("__tie")]
+    # the id of a row in a sorted part is the part's number, and below 33 bits the row's
+    held = written(tied.repartitionByRange(*by).sortWithinPartitions(*by).drop("__tie").withColumn("__at", F.monotonically_increasing_id()))
+    parts = held.groupBy(F.shiftright("__at", 33).alias("__part")).agg(F.count("*").alias("__n"))
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    held = held.withColumn("__part", F.shiftright("__at", 33)).join(F.broadcast(parts), "__part")  # as many rows as parts
+    return held.withColumn(out, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__at", "__before")

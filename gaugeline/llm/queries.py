@@ -89,7 +89,32 @@ def op10_classifier(spark, sf_dir):
     return rules.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_syncmers, op3_mixing, op4_packing, op5_simhash, op6_lines, op7_secrets, op8_pii, op9_urlfilter, op10_classifier)}
+def op11_importance(spark, sf_dir):
+    """Importance resampling of all documents towards the benchmark's texts."""
+    from gaugeline.llm import importance
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, table(spark, sf_dir, "benchmark"), carry=False)
+
+
+def op12_language(spark, sf_dir):
+    """The language of all documents."""
+    from gaugeline.llm import language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op13_merkle(spark, sf_dir):
+    """Leaves, roots and proofs of all documents, some of them tampered with."""
+    from gaugeline.llm import merkle
+
+    changed, where = merkle.tampering()
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=changed, where=where)
+
+
+_ALL = (op1_quality, op2_syncmers, op3_mixing, op4_packing, op5_simhash, op6_lines, op7_secrets, op8_pii, op9_urlfilter, op10_classifier, op11_importance, op12_language, op13_merkle)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _URL = "coalesce(url, '')"
 _PARKED = f"coalesce(try_cast(regexp_extract(host, '(^|[.])parked-(0|[1-9][0-9]*)[.]example[.]net$', 2) AS BIGINT) < {PARKED}, false)"
