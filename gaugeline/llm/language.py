@@ -61,7 +61,7 @@ def subword_counts(text: str, buckets: int = BUCKETS, longest: int = LONGEST):
                 inner = inner[: len(some) - n + 1] | blank[n - 2 : len(some) - 1]
             else:
                 inner = inner[: len(some) - 1]
-            ok = ~(inner | (blank[: len(some) - n + 1] & blank[n - 1 :]))[:AT_ONCE]  # each start once
+            ok = ~(inner | (blank[:-1] & blank[1:]) if n == 2 else inner)[:AT_ONCE]  # each start once; two blanks are no word
             spread = (code[:AT_ONCE][ok] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
             found += np.bincount((spread ^ (spread >> np.uint32(15))) % np.uint32(buckets), minlength=buckets)
     return found

@@ -119,6 +119,18 @@ QUERIES = {f.__name__: f for f in _ALL}
 _URL = "coalesce(url, '')"
 _PARKED = f"coalesce(try_cast(regexp_extract(host, '(^|[.])parked-(0|[1-9][0-9]*)[.]example[.]net$', 2) AS BIGINT) < {PARKED}, false)"
 _LISTED = " OR ".join([_PARKED, *(f"host = '{h}' OR host LIKE '%.{h}'" for h in BLOCKED_HOSTS)])
+#: The CRC32 of each string w of a table hashed: what one byte adds doesn't depend on the others, so it is looked up by its distance from the end.
+_CRC = """bits(seed, k, s) AS (SELECT CAST(b AS UBIGINT), 0, CAST(b AS UBIGINT) FROM range(256) r(b) UNION ALL SELECT 256, 0, 4294967295
+  UNION ALL SELECT seed, k + 1, xor(s >> 1, (s & 1) * 3988292384) FROM bits WHERE k < 8 * (SELECT max(strlen(w)) FROM hashed)),
+ parts AS (SELECT seed, k // 8 AS d, s FROM bits WHERE k % 8 = 0),
+ bytes AS (SELECT w, strlen(w) AS n, i, CAST('0x' || substr(hex(w), CAST(2 * i + 1 AS BIGINT), 2) AS UBIGINT) AS b FROM (SELECT w, unnest(range(strlen(w))) AS i FROM hashed)),
+ crc AS (SELECT d.w, xor(xor(bit_xor(p.s), any_value(z.s)), 4294967295) AS c FROM bytes d JOIN parts p ON p.seed = d.b AND p.d = d.n - d.i JOIN parts z ON z.seed = 256 AND z.d = d.n GROUP BY d.w)"""
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FEATURES = f"unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w"
+_H = "(CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS UBIGINT) + CAST(0.5 AS DOUBLE)) / 4294967296"
+_FIELD = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+_LEAF = lambda n_chars: "sha256(" + " || ".join(map(_FIELD, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
 #: Hashes of the engine, trees, rounds and tokenizers can't be said in SQL: the other operators are tested
 #: against brute force, by exact round trips and on held-out labels.
 ORACLES: dict[str, str] = {
@@ -130,4 +142,31 @@ ORACLES: dict[str, str] = {
   WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
   WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule FROM u)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR {_LISTED} THEN 'block' ELSE 'allow' END AS verdict FROM f""",
+    "op11_importance": f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_FEATURES} FROM documents), g AS MATERIALIZED (SELECT {_FEATURES} FROM benchmark),
+ hashed AS MATERIALIZED (SELECT w FROM d UNION SELECT w FROM g), {_CRC},
+ k AS MATERIALIZED (SELECT w, CAST(c % 10000 AS BIGINT) AS b FROM crc),
+ s AS (SELECT b, count(*) AS n FROM d JOIN k USING (w) GROUP BY b), t AS (SELECT b, count(*) AS n FROM g JOIN k USING (w) GROUP BY b),
+ gains AS MATERIALIZED (SELECT r.b, CAST(floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM d) + 10000 AS DOUBLE) / (CAST(coalesce(s.n, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM g) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM range(10000) r(b) LEFT JOIN s ON s.b = r.b LEFT JOIN t ON t.b = r.b),
+ w AS (SELECT doc_id, count(*) AS n, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM d JOIN k USING (w) JOIN gains ON gains.b = k.b GROUP BY doc_id),
+ x AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln({_H}))) AS BIGINT) AS score FROM documents LEFT JOIN w USING (doc_id)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM x WHERE n_features >= 20) // 100 THEN place END AS rank FROM r""",
+    "op13_merkle": f"""WITH RECURSIVE hashed AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS w FROM documents), {_CRC},
+ leaves AS MATERIALIZED (SELECT doc_id, lang, {_LEAF("n_chars")} AS leaf, CASE WHEN c % 7 = 0 THEN {_LEAF("(n_chars + 1)")} ELSE {_LEAF("n_chars")} END AS told,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM documents JOIN crc ON w = CAST(doc_id AS VARCHAR)),
+ nodes AS (SELECT lang, 0 AS level, pos AS idx, leaf AS h, n FROM leaves
+  UNION ALL SELECT lang, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, level, idx // 2, n),
+ subroots AS MATERIALIZED (SELECT lang, h, level AS height, row_number() OVER (ORDER BY CAST(encode(lang) AS BLOB) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+ tops AS (SELECT 0 AS level, pos AS idx, h, n FROM subroots
+  UNION ALL SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, idx // 2, n),
+ levels AS MATERIALIZED (SELECT l.doc_id, t.level AS step, (l.pos >> t.level) & 1 AS bit, coalesce(s.h, '') AS sib FROM leaves l JOIN (SELECT DISTINCT lang, level FROM nodes WHERE n > 1) t ON t.lang IS NOT DISTINCT FROM l.lang
+   LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = t.level AND s.idx = xor(l.pos >> t.level, 1)
+  UNION ALL SELECT l.doc_id, r.height + t.level, (r.pos >> t.level) & 1, coalesce(s.h, '') FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN (SELECT DISTINCT level FROM tops WHERE n > 1) t ON true
+   LEFT JOIN tops s ON s.level = t.level AND s.idx = xor(r.pos >> t.level, 1)),
+ fold AS (SELECT doc_id, 0 AS step, told AS h FROM leaves
+  UNION ALL SELECT f.doc_id, f.step + 1, sha256(CASE WHEN bit = 1 THEN sib || h ELSE h || sib END) FROM fold f JOIN levels USING (doc_id, step)),
+ proofs AS (SELECT doc_id, string_agg(sib, '' ORDER BY step) AS sibs FROM levels GROUP BY doc_id)
+SELECT l.doc_id, l.leaf, r.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(coalesce(sibs, '')) AS proof_sha256, f.h AS folded_root, f.h = (SELECT h FROM tops WHERE n = 1) AS verified
+FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN (SELECT doc_id, arg_max(h, step) AS h FROM fold GROUP BY doc_id) f ON f.doc_id = l.doc_id LEFT JOIN proofs p ON p.doc_id = l.doc_id""",
 }
