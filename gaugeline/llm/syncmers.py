@@ -1,12 +1,11 @@
 """Document fingerprints by closed syncmers. DataFrame operations only.
 
-The units are a text's words, or its characters if it has few words or very long ones (so that short notes
-and texts without spaces have anchors too). Two texts of which one is taken by characters are compared by the
-characters of both. A k-mer of units is an anchor if the least hash among its inner s-mers stands
-at its first or last place. That depends on the k-mer alone, so an edit moves no anchor outside the
+The units of every text are its words, a word of over PIECE characters in pieces of so many (texts without spaces have units too), with K - 1
+blanks before and after them (so that the shortest text has anchors). A k-mer of units is an anchor if the least hash among its inner s-mers
+stands at its first or last place. That depends on the k-mer alone, so an edit moves no anchor outside the
 k-mers that it touches, and the same passage has the same anchors wherever it stands.
 
-A fingerprint is of bounded size: the SKETCH anchors of least hash, each with its first position. Two fingerprints are
+A fingerprint is all anchors of a text in order, each 28 bits of hash and 4 of the distance from the one before. Two fingerprints are
 matched by position: anchors in both are laid out in the order of the one text, and those count that keep the
 distance of a neighbour, or of the texts' beginnings, in the other; the same words in another order are not alike.
 """
@@ -16,15 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import text_of, words_of, written
+from gaugeline.llm.common import text_of, written
 
 K = 5
 S = 2
-#: A text of fewer words, or of more characters to a word, is taken by characters.
-LEAST_WORDS = 16
-MOST_CHARS_A_WORD = 64
-#: Anchors of a fingerprint at most. Texts with fewer are matched by all of them.
-SKETCH = 128
+PIECE = 8
 #: Documents with ids in one run of so many, a power of two, share a task when each looks for the next.
 RUN = 256
 
@@ -33,39 +28,32 @@ def _range(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def by_characters(text: Column) -> Column:
-    n = F.size(words_of(text))
-    return (n < LEAST_WORDS) | (F.length(text) > n * MOST_CHARS_A_WORD)
+def units_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"), F.lit(0))
 
 
-def units_of(text: Column, by_character: Column | None = None) -> Column:
-    """The words or characters of a text, as by_characters says if ``by_character`` isn't given."""
-    few = by_characters(text) if by_character is None else by_character
-    return F.when(few, F.array_remove(F.split(text, ""), "")).otherwise(words_of(text))
-
-
-def with_anchors(docs: DataFrame, text: Column, out: str, k: int = K, s: int = S, by_character: Column | None = None) -> DataFrame:
-    """``docs`` with a column ``out``: array of struct(position, hash) of the anchors of a text, in order.
-
-    position counts units from 0. A text of fewer than k units has one anchor at 0, the hash of all of
-    them; an empty one has none. Equal texts have equal anchors.
-    """
-    h, m = f"__{out}_h", f"__{out}_m"
+def with_anchors(docs: DataFrame, text: Column, out: str, k: int = K, s: int = S) -> DataFrame:
+    """``docs`` with a column ``out``: array<int> of the anchors of a text, in order. A text without units has none; any other has at least one in each
+    k - s neighbouring k-mers, and so a distance fits in 4 bits."""
+    h, m, i_ = f"__{out}_h", f"__{out}_m", f"__{out}_i"
     at = lambda column, i: F.get(F.col(column), i)
-    docs = docs.withColumn(h, F.transform(units_of(text, by_character), lambda w: F.xxhash64(w)))
-    mers = F.transform(_range(F.size(h) - (s - 1)), lambda i: F.xxhash64(*[at(h, i + j) for j in range(s)]))
-    docs = docs.withColumn(m, mers)
+    docs = docs.withColumn(h, F.transform(units_of(text), lambda w: F.xxhash64(w)))
+    blanks = F.array_repeat(F.lit(0).cast("long"), k - 1)
+    docs = docs.withColumn(h, F.when(F.size(h) > 0, F.concat(blanks, h, blanks)).otherwise(F.col(h)))
+    docs = docs.withColumn(m, F.transform(_range(F.size(h) - (s - 1)), lambda i: F.xxhash64(*[at(h, i + j) for j in range(s)])))
     width = k - s + 1
 
     def closed(i: Column) -> Column:
         least = F.least(*[at(m, i + j) for j in range(width)])
         return (at(m, i) == least) | (at(m, i + width - 1) == least)
 
-    kmer = lambda i: F.struct(i.alias("position"), F.xxhash64(*[at(h, i + j) for j in range(k)]).alias("hash"))
-    found = F.transform(F.filter(_range(F.size(h) - (k - 1)), closed), kmer)
-    whole = F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(h).alias("hash")))
-    none = F.slice(whole, 1, 0)
-    return docs.withColumn(out, F.when(F.size(h) == 0, none).when(F.size(h) < k, whole).otherwise(found)).drop(h, m)
+    docs = docs.withColumn(i_, F.filter(_range(F.size(h) - (k - 1)), closed))
+
+    def packed(i: Column, n: Column) -> Column:
+        kmer = F.shiftrightunsigned(F.xxhash64(*[at(h, i + j) for j in range(k)]), 36).cast("int")
+        return F.shiftleft(kmer, 4).bitwiseOR(i - F.coalesce(F.get(i_, n - 1), F.lit(-1)))
+
+    return docs.withColumn(out, F.transform(i_, packed)).drop(h, m, i_)
 
 
 _LOW = (1 << 31) - 1
@@ -75,42 +63,35 @@ def _hash(x: Column) -> Column:
     return F.shiftright(x, 32)
 
 
-def with_sketch(docs: DataFrame, anchors: str, out: str, most: int = SKETCH) -> DataFrame:
-    """``docs`` with a column ``out`` in the place of ``anchors``: the ``most`` anchors of least hash, in order, each one number: 31 bits of hash, 32 of its first
-    position."""
-    packed = F.array_sort(F.transform(anchors, lambda a: F.shiftleft(a["hash"].bitwiseAND(F.lit(_LOW)), 32) + a["position"]))
-    docs = docs.withColumn(f"__{out}", packed)
-    first = F.filter(f"__{out}", lambda x, i: (i == 0) | (_hash(x) != _hash(F.get(f"__{out}", i - 1))))
-    return docs.withColumn(out, F.slice(first, 1, most)).drop(f"__{out}", *{anchors} - {out})
-
-
-def with_likeness(docs: DataFrame, a: Column, b: Column, out: str, most: int = SKETCH) -> DataFrame:
-    """``docs`` with a column ``out``: of the anchors of the sketches ``a`` and ``b``, the share that both have at matching places; 1 for two empty
-    ones. Of full sketches only the hashes that both cover count, so the share is an estimate for all anchors."""
-    covered = lambda x: F.when(F.size(x) == most, _hash(F.get(x, F.lit(most - 1)))).otherwise(_LOW)
-    docs = docs.withColumns({"__a": a, "__b": b})
-    docs = docs.withColumn("__upto", F.least(covered(F.col("__a")), covered(F.col("__b"))))
-    within = lambda c: F.filter(c, lambda x: _hash(x) <= F.col("__upto"))
-    docs = docs.withColumns({"__a": within("__a"), "__b": within("__b")})
-    both = F.array_sort(F.concat("__a", F.transform("__b", lambda x: x.bitwiseOR(F.lit(1 << 31)))))
+def _by_hash(docs: DataFrame, anchors: Column, out: str) -> DataFrame:
+    """``docs`` with a column ``out``: of each hash among ``anchors`` the first place, sorted, as numbers with the hash above 32 bits."""
+    placed = F.sort_array(F.transform(anchors, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 4).cast("long"), 32) + i))
+    docs = docs.withColumn(f"_{out}", placed)
+    return docs.withColumn(out, F.filter(f"_{out}", lambda x, i: (i == 0) | (_hash(x) != _hash(F.get(f"_{out}", i - 1))))).drop(f"_{out}")
+
+
+def with_likeness(docs: DataFrame, a: Column, b: Column, out: str) -> DataFrame:
+    """``docs`` with a column ``out``: of the different anchors of ``a`` and ``b``, the share that both have at matching places; 1 for two empty
+    ones. An anchor's place is its number in the text; one that occurs again counts at its first place."""
+    docs = _by_hash(_by_hash(docs, a, "__a"), b, "__b")
+    both = F.sort_array(F.concat("__a", F.transform("__b", lambda x: x.bitwiseOR(F.lit(1 << 31)))))
     docs = docs.withColumn("__m", both)
     other = lambda i: F.get("__m", i + 1)
     shared = F.filter(F.transform("__m", lambda x, i: F.when(_hash(x) == _hash(other(i)), F.shiftleft(x.bitwiseAND(F.lit(_LOW)), 32) + other(i).bitwiseAND(F.lit(_LOW)))), lambda x: x.isNotNull())
-    docs = docs.withColumn("__m", F.array_sort(shared))
+    docs = docs.withColumn("__m", F.sort_array(shared))
     # how far the other's place is from its own
     moved = F.transform("__m", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.shiftright(x, 32))
     docs = docs.withColumn("__d", moved)
     at = lambda i: F.get("__d", i)
     kept = F.filter("__d", lambda d, i: (d == 0) | F.coalesce(d == at(i + 1), F.lit(False)) | (F.when(i > 0, d == at(i - 1)).otherwise(False)))
-    n = F.size(kept)
-    docs = docs.withColumn("__n", n)
+    docs = docs.withColumn("__n", F.size(kept))
     share = F.coalesce(F.try_divide(F.col("__n").cast("double"), F.size("__a") + F.size("__b") - F.col("__n")), F.lit(1.0))
-    return docs.withColumn(out, share).drop("__a", "__b", "__m", "__d", "__n", "__upto")
+    return docs.withColumn(out, share).drop("__a", "__b", "__m", "__d", "__n")
 
 
-def fingerprint(sketched: Column) -> Column:
-    """The sketch as a string: 8 hex digits of hash and 8 of position for each anchor."""
-    return F.array_join(F.transform(sketched, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+def fingerprint(anchors: Column) -> Column:
+    """The anchors as a string: for each 7 hex digits of hash and one of the distance from the one before."""
+    return F.array_join(F.transform(anchors, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
 
 
 def following(values: DataFrame) -> DataFrame:
@@ -153,33 +134,25 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many, or all, of the
     next document's. A null text counts as empty; an empty text's fingerprint is empty, and two empty
-    ones are alike. Likeness is by words, or by characters of both texts if either is taken so. A lone document follows itself. Repeated rows follow each other.
+    ones are alike. near_edited and near_next are the likeness of the fingerprints that are returned. A lone document follows itself. Repeated rows follow
+    each other.
     """
     rows = docs.select("doc_id", text_of(F.col("text").cast("string")).alias("text"))
-    rows = rows.withColumn("chars", by_characters(F.col("text")))
-    rows = with_sketch(with_anchors(rows, F.col("text"), "anchors", by_character=F.col("chars")), "anchors", "sketch").select("doc_id", "text", "sketch", "chars")
-    rows = with_next(rows, ["text", "sketch", "chars"])
+    rows = with_next(with_anchors(rows, F.col("text"), "anchors"), ["text", "anchors"])
     n = F.length("text")
     quarter = F.floor(n / F.lit(4)).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))
     rows = rows.withColumn("edited", edited).withColumn("n_chars", n.cast("long"))
-    rows = rows.withColumn("edited_chars", by_characters(F.col("edited")))
-    rows = with_sketch(with_anchors(rows, F.col("edited"), "edited_anchors", by_character=F.col("edited_chars")), "edited_anchors", "edited_sketch")
-    # the characters of a text of words whose other is taken by characters
-    needed = {"text": ~F.col("chars") & (F.col("next_chars") | F.col("edited_chars")), "next_text": F.col("chars") & ~F.col("next_chars"), "edited": F.col("chars") & ~F.col("edited_chars")}
-    for c, need in needed.items():
-        rows = with_sketch(with_anchors(rows, F.when(need, F.col(c)).otherwise(F.lit("")), "in_chars", by_character=F.lit(True)), "in_chars", f"{c}_in_chars")
-    for other, name in (("edited", "edited"), ("next", "next_text")):
-        own = F.when(~F.col("chars") & F.col(f"{other}_chars"), F.col("text_in_chars")).otherwise(F.col("sketch"))
-        its = F.when(F.col("chars") & ~F.col(f"{other}_chars"), F.col(f"{name}_in_chars")).otherwise(F.col(f"{other}_sketch"))
-        rows = with_likeness(rows, own, its, f"near_{other}")
+    rows = with_anchors(rows, F.col("edited"), "edited_anchors")
+    for other in ("edited", "next"):
+        rows = with_likeness(rows, F.col("anchors"), F.col(f"{other}_anchors"), f"near_{other}")
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("sketch")).alias("fingerprint"),
-        fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprint(F.col("anchors")).alias("fingerprint"),
+        fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
-        F.size("sketch").cast("long").alias("n_anchors"),
+        F.size("anchors").cast("long").alias("n_anchors"),
     )

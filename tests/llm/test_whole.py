@@ -71,13 +71,13 @@ def test_lines_of_repeated_rows_go(spark):
     assert got == [(1, "\n".join(docs[0][1]))] + [(2, docs[1][1][-1])] * 2 + [(3, "\n".join(alone))] * 2
 
 
-def test_syncmers_are_alike_over_the_change_of_units(spark):
+def test_syncmers_of_short_texts_and_long_words(spark):
     rnd = random.Random(4)
     w = sentence(rnd, 16).split()
     plain, long = sentence(rnd, 40), "".join(rnd.choice("abcdefgh") for _ in range(4000))
     texts = [" ".join(w), " ".join(w[:-1]), plain, f"{plain} {long}", f"{plain} {long} {plain} " + sentence(rnd, 90)]
     got = [r for r in sorted(syncmers.with_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())]
-    assert got[0].near_next > 0.7 and got[0].near_edited > 0.3 and got[1].near_edited > 0.3
+    assert got[0].near_next > 0.6 and got[0].near_edited > 0.3 and got[1].near_edited > 0.3
     assert 0 < got[2].near_next < 0.3 and got[3].near_next > 0.5
 
 
