@@ -4,11 +4,12 @@ A line that occurs once can't be part of a repeated passage, so only runs of rep
 are looked at. A rolling hash over each two neighbouring lines cuts a run into chunks: between two lines whose
 hash is less than that of the pairs before and after. Those are the same wherever the lines stand, two cuts
 are never neighbours, and so every chunk has two lines at least; an insertion moves no cut beyond the lines that
-it touches. Of a chunk that occurs again, the first (by doc_id and position) stays, and another is removed
-if its bytes have the first's SHA-256. Lines that stand beside each other by chance, as common ones (licences) do, stay: a
-chunk all of whose lines occur over CHANCE times as often as it does is none.
+it touches. A chunk also counts without its first line, its last, or both, if two are left: at the edge of a passage that line may be a
+neighbour. Of a chunk that occurs again, the first (by doc_id and position) stays, and another is removed
+if its bytes have the first's SHA-256, however common its lines are. On demand (``by_chance``) a chunk stays whose lines all occur so many times as
+often as it does, as common ones (licences) do that stand beside each other by chance.
 
-A chunk at the edge of a passage may hold other repeated lines. So that no long passage is lost by that, nor one
+A chunk at the edge of a passage may hold more lines of others. So that no long passage is lost by that, nor one
 that is a single line, runs are also looked through for cores: a core is a window of lines with over LONG_WORDS
 words that has fewer without its first or its last line. That depends on the window's lines alone, so
 any passage of over LONG_WORDS words has one, however often each of its lines occurs elsewhere. What lies between two cores
@@ -26,11 +27,12 @@ from gaugeline.llm.common import WORD, broadcast_up_to, given_back, set_apart, t
 
 #: A passage of more words than this goes whatever chunks it is cut into.
 LONG_WORDS = 50
-#: A chunk stands together by chance if its rarest line occurs so many times as often.
-CHANCE = 8
 #: Up to so many ids of repeated rows are broadcast, by count.
 MAX_BROADCAST_IDS = 300_000
 
+#: Chunks and cores are looked up apart.
+CHUNK, CORE = 0, 2
+
 ID = ["__id", "__text_hash"]
 
 
@@ -58,7 +60,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return out.withColumn("w", F.least("w", F.lit(LONG_WORDS + 1)))
 
 
-def chunks_and_cores(docs: DataFrame, key_bits: int = 64) -> DataFrame:
+def chunks_and_cores(docs: DataFrame, key_bits: int = 64, by_chance: int | None = None) -> DataFrame:
     """(__id, __text_hash, start, lines, key, cut_start, cut_lines, n, times_more) of the chunks and cores of runs of
     repeated lines: the first line, the number of lines, a hash of their hashes, the lines to cut if the window
     occurs before, and how often a line may occur (n, null if it doesn't matter) against the window: times_more as often."""
@@ -91,9 +93,9 @@ def chunks_and_cores(docs: DataFrame, key_bits: int = 64) -> DataFrame:
     starts = F.filter(F.transform("x", lambda _, i: i), first_line)
     placed = placed.withColumn("starts", F.when(F.col("size") > 1, starts).otherwise(F.slice(starts, 1, 0)))
 
-    def of(first: Column, last: Column, cut: Column, upto: Column, n: Column, times_more: int) -> Column:
+    def of(first: Column, last: Column, cut: Column, upto: Column, n: Column, times_more: int, kind: int = CORE) -> Column:
         start, count = at(first)["pos"], at(last)["pos"] - at(first)["pos"] + 1
-        key = F.shiftrightunsigned(F.xxhash64(F.lit(times_more), F.slice("hashes", start - F.col("origin") + 1, count)), 64 - key_bits)
+        key = F.shiftrightunsigned(F.xxhash64(F.lit(kind), F.slice("hashes", start - F.col("origin") + 1, count)), 64 - key_bits)
         return F.struct(start.alias("start"), count.alias("lines"), key.alias("key"), cut.alias("cut_start"), (upto - cut).alias("cut_lines"), n.alias("n"), F.lit(times_more).alias("times_more"))
 
     def cores(e: Column) -> Column:
@@ -110,19 +112,23 @@ def chunks_and_cores(docs: DataFrame, key_bits: int = 64) -> DataFrame:
         inner = F.when(forward & ~core & back & ~core_back, of(since, to, until, after, none, 2))
         return F.array(whole, edge, inner)
 
-    def chunk(i: Column, k: Column) -> Column:
-        last = F.coalesce(F.get("starts", k + 1), F.col("size")) - 1
-        rarest = F.array_min(F.transform(F.slice("x", i + 1, last - i + 1), lambda x: x["n"]))
-        return of(i, last, at(i)["pos"], at(last)["pos"] + 1, rarest, CHANCE)
+    def trimmed(i: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), F.col("size")) - 1
+
+        def window(first: Column, last: Column) -> Column:
+            rarest = F.array_min(F.transform(F.slice("x", first + 1, last - first + 1), lambda x: x["n"])) if by_chance else F.lit(None).cast("long")
+            return F.when(last > first, of(first, last, at(first)["pos"], at(last)["pos"] + 1, rarest, by_chance or 0, CHUNK))
+
+        return F.array(window(i, end), window(i + 1, end), window(i, end - 1), window(i + 1, end - 1))
 
-    found = F.concat(F.flatten(F.transform("ends", cores)), F.transform("starts", chunk))
+    found = F.concat(F.flatten(F.transform("ends", cores)), F.flatten(F.transform("starts", trimmed)))
     return placed.select(*ID, F.explode(found).alias("y")).filter("y is not null").select(*ID, "y.*")
 
 
-def repeats(docs: DataFrame, key_bits: int = 64) -> DataFrame:
+def repeats(docs: DataFrame, key_bits: int = 64, by_chance: int | None = None) -> DataFrame:
     """(__id, __text_hash, __cuts): for each document with lines to remove, array<struct(start, lines)>, in order
     and apart from each other. ``key_bits``: of the hash by which windows are looked up; what is cut has equal bytes whatever it is."""
-    found = written(chunks_and_cores(docs, key_bits))
+    found = written(chunks_and_cores(docs, key_bits, by_chance))
     # the firsts are tables of their own, so that a very common chunk's share of a join can be split
     first = written(found.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct(*ID, "start")).alias("first")).filter("times > 1"))
     found = found.join(first.hint("merge"), "key").withColumn("is_first", F.struct(*ID, "start") == F.col("first"))
@@ -146,16 +152,17 @@ def repeats(docs: DataFrame, key_bits: int = 64) -> DataFrame:
     return written(parts).groupBy(*ID).agg(F.array_sort(F.collect_list(F.struct("start", "lines"))).alias("__cuts"))
 
 
-def dedup_lines(docs: DataFrame, key_bits: int = 64) -> DataFrame:
+def dedup_lines(docs: DataFrame, key_bits: int = 64, by_chance: int | None = None) -> DataFrame:
     """All rows of ``docs`` with the repeated passages cut out of text, plus removed_lines, which replaces a column of
     that name.
 
+    With ``by_chance`` a chunk stays whose rarest line occurs over so many times as often as the chunk.
     A null text stays null and an empty one empty; both are left alone, as are single lines of LONG_WORDS words or
     fewer. A document all of whose lines are cut is left with an empty text. Equal rows are one document,
     and stay equal. Other columns are passed on, whatever their names. Within a document a second occurrence is cut too.
     """
     docs, own = set_apart(docs, ("doc_id", "text"), ("removed_lines",))
-    cuts = repeats(docs, key_bits)
+    cuts = repeats(docs, key_bits, by_chance)
     # shuffled at any size: a join that is broadcast for small inputs only says nothing about large ones
     out = _keyed(docs).join(cuts.hint("merge"), ID, "left")
     lines, cut = F.split("__text", "\n", -1), lambda i: F.get("__cuts", i)

@@ -30,7 +30,7 @@ def chained(*parts, seed=42):
     return seed
 
 
-def slow(docs):
+def slow(docs, by_chance=None):
     """The lines to cut of {id: lines}, by a literal reading of the module's docstring."""
     n = collections.Counter(x for t in docs.values() for x in t if x.split())
     windows = []  # (id, start, end, cut start, cut end, count of a line, times more)
@@ -44,8 +44,9 @@ def slow(docs):
             r = [signed(chained(chained(t[a].encode()), chained(t[b].encode()))) for a, b in zip(worded, worded[1:], strict=False)]
             cuts = [0] + [j for j in range(2, len(worded) - 1) if r[j - 1] < r[j - 2] and r[j - 1] < r[j]] + [len(worded)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                if b - a > 1:
-                    windows.append((k, worded[a], worded[b - 1] + 1, worded[a], worded[b - 1] + 1, min(n[t[worded[i]]] for i in range(a, b)), 8))
+                for a_, b_ in ((a, b), (a + 1, b), (a, b - 1), (a + 1, b - 1)):
+                    if b_ - a_ > 1:
+                        windows.append((k, worded[a_], worded[b_ - 1] + 1, worded[a_], worded[b_ - 1] + 1, min(n[t[worded[i]]] for i in range(a_, b_)) if by_chance else None, by_chance))
             words = [min(51, len(t[i].split())) for i in worded]
             for i in range(len(worded)):
                 to = next((j for j in range(i, len(worded)) if sum(words[i : j + 1]) > 50), None)
@@ -61,7 +62,7 @@ def slow(docs):
             at = end + 1
     of = collections.defaultdict(list)
     for w in windows:
-        of[w[-1], tuple(docs[w[0]][w[1] : w[2]])].append(w)
+        of[w[-1] == 2, tuple(docs[w[0]][w[1] : w[2]])].append(w)
     cut = collections.defaultdict(set)
     for same in of.values():
         first = min(w[:2] for w in same)
@@ -78,8 +79,8 @@ def slow(docs):
     return out
 
 
-def agree(got, docs):
-    cut = slow(docs)
+def agree(got, docs, **more):
+    cut = slow(docs, **more)
     for k, t in docs.items():
         kept = [x for i, x in enumerate(t) if i not in cut.get(k, ())]
         assert got[k] == (kept or [""], len(cut.get(k, ()))), k
@@ -92,8 +93,8 @@ def test_like_brute_force_on_real_texts(spark, sf):
     assert sum(n for _, n in got.values()) > 20
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_like_brute_force_on_random_lines(spark, seed):
+@pytest.mark.parametrize(("seed", "more"), [(1, {}), (2, {}), (3, {"by_chance": 8})])
+def test_like_brute_force_on_random_lines(spark, seed, more):
     rnd = random.Random(seed)
     pool = ["", "", " \t"] + [sentence(rnd, rnd.choice([1, 4, 9, 16, 30, 51, 70])) for _ in range(40)]
     passages = [[rnd.choice(pool) for _ in range(rnd.randint(2, 14))] for _ in range(8)]
@@ -103,7 +104,7 @@ def test_like_brute_force_on_random_lines(spark, seed):
         for _ in range(rnd.randint(0, 5)):
             t += rnd.choice(passages) if rnd.random() < 0.5 else [rnd.choice(pool) if rnd.random() < 0.3 else sentence(rnd, 3)]
         docs[k] = t or [""]
-    agree(deduped(spark, docs.items()), docs)
+    agree(deduped(spark, docs.items(), **more), docs, **more)
 
 
 def test_a_short_passage_of_lines_goes(spark):
@@ -127,8 +128,34 @@ def test_common_lines_side_by_side_stay(spark):
     rnd = random.Random(13)
     licence, header = "a licence line of few words", "a header of few words"
     docs = [(k, [header, licence, sentence(rnd, 9)] if k < 4 else [header, sentence(rnd, 9), licence]) for k in range(60)]
-    got = deduped(spark, docs)
+    got = deduped(spark, docs, by_chance=8)
     assert all(got[k] == (t, 0) for k, t in docs)
+    # without that wish a repeated chunk goes, and single lines stay
+    got = deduped(spark, docs)
+    assert all(got[k] == ((t[2:], 2) if 0 < k < 4 else (t, 0)) for k, t in docs)
+
+
+def test_recall_of_planted_passages(spark):
+    """Passages of two lines or more among other repeated lines: how many of their copies' lines go."""
+    rnd = random.Random(21)
+    common = [sentence(rnd, rnd.randint(3, 9)) for _ in range(6)]
+    passages = [[sentence(rnd, rnd.randint(4, 14)) for _ in range(rnd.randint(2, 9))] for _ in range(60)]
+    docs, planted = [], {}
+    for k in range(400):
+        parts = [[sentence(rnd, 7)] if rnd.random() < 0.7 else [rnd.choice(common)] for _ in range(8)]
+        held = rnd.sample(range(60), rnd.randint(0, 2))
+        for j in held:
+            parts.insert(rnd.randint(0, len(parts)), passages[j])
+        docs.append((k, [x for p in parts for x in p]))
+        planted[k] = held
+    got, seen, gone, n = deduped(spark, docs), set(), 0, 0
+    for k, _ in docs:
+        for j in planted[k]:
+            if j in seen:
+                n += len(passages[j])
+                gone += sum(x not in got[k][0] for x in passages[j])
+            seen.add(j)
+    assert n > 1000 and gone >= 0.9 * n, gone / n
 
 
 def test_passages_that_change_places(spark):

@@ -9,9 +9,9 @@ def sentence(rnd, n):
     return " ".join(f"v{rnd.randint(0, 10**9)}" for _ in range(n))
 
 
-def deduped(spark, docs):
+def deduped(spark, docs, **more):
     df = spark.createDataFrame([(k, "\n".join(t)) for k, t in docs], "doc_id long, text string")
-    return {r.doc_id: (r.text.split("\n"), r.removed_lines) for r in lines.dedup_lines(df).collect()}
+    return {r.doc_id: (r.text.split("\n"), r.removed_lines) for r in lines.dedup_lines(df, **more).collect()}
 
 
 def test_lines_of_uneven_counts_go(spark):
@@ -38,7 +38,7 @@ def test_lines_by_brute_force(spark):
     rnd = random.Random(9)
     pool = [sentence(rnd, n) for n in (0, 1, 3, 8, 12, 20, 20, 30, 45, 60)]
     docs = [(k, [rnd.choice(pool) if rnd.random() < 0.9 else sentence(rnd, 5) for _ in range(rnd.randint(1, 25))]) for k in range(60)]
-    got = deduped(spark, docs)
+    got = deduped(spark, docs, by_chance=8)
     seen = {}
     for k, t in docs:
         n = [len(x.split()) for x in t]
