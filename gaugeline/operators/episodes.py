@@ -49,18 +49,6 @@ def localise_error(ticks: DataFrame, faults: DataFrame, trigger: Column, by: str
     return o.groupBy(by).agg(F.percentile("err", F.lit(0.5)).alias("med"), F.percentile("err", F.lit(0.9)).alias("p90"), F.count("err").alias("n"))
 
 
-def localise_route(ticks: DataFrame, faults: DataFrame, trigger: Column, counter: Column, change: Column, structural: tuple[str, ...], back: int = 16, ahead: int = 8, lead: int = 8, key: str = "machine") -> DataFrame:
-    """(key, class, onset): near an entity's first trigger (``lead`` steps before its fault at the earliest), the first counter for a structural
-    fault, else the first change."""
-    t = ticks.join(faults.select(key, "class", "t0"), key)
-    first = F.min(F.when(trigger & (F.col("step") >= F.col("t0") - lead), F.col("step"))).over(Window.partitionBy(key))
-    t = t.withColumn("trig", first).filter("trig is not null")
-    near = (F.col("step") >= F.col("trig") - back) & (F.col("step") < F.col("trig") + ahead)
-    at = lambda c: F.min(F.when(near & c, F.col("step")))
-    g = t.groupBy(key, "class").agg(at(counter).alias("counter"), at(change).alias("change"))
-    return g.select(key, "class", F.when(F.col("class").isin(*structural), F.col("counter")).otherwise(F.col("change")).alias("onset"))
-
-
 def retention(df: DataFrame, by: str, after: Column, score: str = "score", y: str = "y", loss: float = 0.05) -> DataFrame:
     """(by, before, after_, verdict): the AUC of rows before and after a change; retained if it falls by no more than ``loss``."""
     a = me.auc(df.withColumn("__after", after.cast("int")), (by, "__after"), score, y)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gaugeline.plans import decision_queries, detect_queries, feature_queries, flow_queries, io_queries, model_queries, other_queries, report_queries, sequence_queries
+from gaugeline.plans import decision_queries, detect_queries, feature_queries, flow_queries, io_queries, localise_queries, model_queries, other_queries, report_queries, sequence_queries
 from gaugeline.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "decision_queries", "detect_queries", "feature_queries", "flagship", "flow_queries", "io_queries", "model_queries", "other_queries", "report_queries", "sequence_queries"]
+__all__ = ["ORACLES", "QUERIES", "decision_queries", "detect_queries", "feature_queries", "flagship", "flow_queries", "io_queries", "localise_queries", "model_queries", "other_queries", "report_queries", "sequence_queries"]
 
 
 def flagship(spark, sf_dir):

@@ -246,15 +246,6 @@ def snk_markdown(spark, sf):
     return episodes.markdown(h, ["fam", "n", "h"])
 
 
-@query(f"""WITH {TEL}, {FAULTS}, tr AS (SELECT f.machine, class, t0, min(step) FILTER (WHERE cents > 20000 AND step >= t0 - 8) AS trig FROM faults f JOIN tel ON tel.machine = f.machine GROUP BY 1, 2, 3),
- c AS (SELECT tr.machine, min(step) FILTER (WHERE state = 'DOWN' AND step >= trig - 16 AND step < trig + 8) AS counter, min(step) FILTER (WHERE abs(cents - 10000) > 5000 AND step >= trig - 16 AND step < trig + 8) AS change FROM tr JOIN tel ON tel.machine = tr.machine WHERE trig IS NOT NULL GROUP BY tr.machine)
-SELECT tr.machine, class, CASE WHEN class IN ('delay', 'loss', 'breakdown') THEN counter ELSE change END AS onset FROM tr JOIN c ON c.machine = tr.machine""")
-def rst_localise_route(spark, sf):
-    """The localiser by family: a counter for structural faults, else the first change near the trigger."""
-    changed = F.abs(F.col("cents") - 10000) > 5000
-    return episodes.localise_route(telemetry(spark, sf), faults(spark, sf), F.col("cents") > 20000, F.col("state") == "DOWN", changed, ("delay", "loss", "breakdown"))
-
-
 _LINES = ("[FW-001 | E-M04->M05 | DET-A2]", "no triple here", "[FW-017 | E-M11->M12 | DET-B9] and [FW-018 | E-M01->M02 | DET-C1]")
 
 

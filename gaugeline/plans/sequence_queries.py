@@ -99,29 +99,6 @@ def win_bernoulli_cusum(spark, sf):
     return t.select("machine", "step", "fails", F.round("cusum", 6).alias("cusum"), "alarm")
 
 
-@query(f"""WITH {TEL}, b AS (SELECT machine, quantile_cont(obs, 0.5) AS med FROM tel WHERE step < 16 GROUP BY machine),
- m AS (SELECT tel.machine, quantile_cont(abs(obs - med), 0.5) AS mad FROM tel JOIN b ON tel.machine = b.machine WHERE step < 16 GROUP BY tel.machine),
- z AS (SELECT tel.machine, step, (obs - med) / coalesce(nullif(1.4826 * mad, 0), 1) AS z FROM tel JOIN b ON tel.machine = b.machine JOIN m ON m.machine = tel.machine),
- c AS (SELECT *, sum(abs(z) - CAST(1.5 AS DOUBLE)) {ROWS} AS c FROM z),
- g AS (SELECT machine, step, c - least(CAST(0 AS DOUBLE), min(c) {ROWS}) AS g FROM c),
- a AS (SELECT machine, min(step) AS alarm FROM g WHERE g > 4 GROUP BY machine)
-SELECT a.machine, a.alarm, least(a.alarm, 1 + coalesce(max(g.step), -1)) AS onset FROM a LEFT JOIN g ON g.machine = a.machine AND g.g < 0.000000001 AND g.step <= a.alarm GROUP BY a.machine, a.alarm""")
-def win_page_onset(spark, sf):
-    """Onset by a two-sided Page test against the first 16 rows: after the last zero before the alarm."""
-    t = telemetry(spark, sf)
-    base = F.col("step") < 16
-    med = F.percentile(F.when(base, F.col("obs")), F.lit(0.5)).over(S.whole())
-    t = t.withColumn("med", med)
-    mad = F.percentile(F.when(base, F.abs(F.col("obs") - F.col("med"))), F.lit(0.5)).over(S.whole())
-    scale = 1.4826 * F.col("mad")
-    t = t.withColumn("mad", mad).withColumn("z", (F.col("obs") - F.col("med")) / F.when(scale == 0, 1.0).otherwise(scale))
-    t = sq.page_cusum(t, F.col("z"), 1.5, 4.0)
-    t = t.withColumn("alarm", F.min(F.when(F.col("over"), F.col("step"))).over(S.whole()))
-    zero = F.max(F.when((F.col("g") < 1e-9) & (F.col("step") <= F.col("alarm")), F.col("step")))
-    t = t.filter("alarm is not null").groupBy("machine", "alarm").agg(zero.alias("zero"))
-    return t.select("machine", "alarm", F.least("alarm", F.coalesce(F.col("zero"), F.lit(-1)) + 1).alias("onset"))
-
-
 @query(f"""WITH {TEL}, g AS (SELECT machine, CAST(sum(cents) AS DOUBLE) / count(*) / 100 AS mu, list(obs ORDER BY step) AS s FROM tel GROUP BY machine)
 SELECT machine, round(list_reduce(list_prepend(mu, s), lambda e, v: CAST(0.85 AS DOUBLE) * e + CAST(0.15 AS DOUBLE) * v), 6) AS ewma FROM g""")
 def win_ewma(spark, sf):
@@ -130,12 +107,6 @@ def win_ewma(spark, sf):
     return e.groupBy("machine").agg(F.round(F.max_by("ewma", "step"), 6).alias("ewma"))
 
 
-@query(f"""WITH {TEL} SELECT machine, min(step) FILTER (WHERE state = 'DOWN' AND step BETWEEN 20 AND 275) AS forward, min(step) FILTER (WHERE state = 'DOWN' AND step BETWEEN 16 AND 27) AS edge FROM tel GROUP BY machine""")
-def win_counter_onset(spark, sf):
-    first = lambda a, b: F.min(F.when((F.col("state") == "DOWN") & F.col("step").between(a, b), F.col("step")))
-    return telemetry(spark, sf).groupBy("machine").agg(first(20, 275).alias("forward"), first(16, 27).alias("edge"))
-
-
 @query(f"""WITH {TEL}, x AS (SELECT machine, step, coalesce(sum(CASE WHEN state IN ('DOWN', 'STARVED') THEN 1 ELSE 0 END) {OVER} ROWS 5 PRECEDING), 0) AS k, state FROM tel)
 SELECT machine, step, state IN ('DOWN', 'STARVED') AND k >= 3 AS confirmed FROM x""")
 def win_dwell_confirm(spark, sf):
