@@ -45,31 +45,6 @@ def band_energy(df: DataFrame, lo: float = 0.1, hi: float = 0.5, key: str = "mac
     return df.select(key, order, value).groupBy(key).applyInPandas(of, f"{key} long, ratio double")
 
 
-def discord(df: DataFrame, m: int = 8, key: str = "machine", order: str = "step", value: str = "obs") -> DataFrame:
-    """(key, at, distance): the subsequence of length m whose nearest z-normalised neighbour, apart by m / 2 or
-    more, is farthest. The distances of a series are taken row by row."""
-
-    def of(pdf):
-        import numpy as np
-        import pandas as pd
-
-        x = pdf.sort_values(order)[value].to_numpy("f8")
-        if len(x) < 2 * m:
-            return pd.DataFrame({key: [pdf[key].iloc[0]], "at": [-1], "distance": [0.0]})
-        w = np.lib.stride_tricks.sliding_window_view(x, m)
-        sd = w.std(1, keepdims=True)
-        z = (w - w.mean(1, keepdims=True)) / np.where(sd > 1e-12, sd, 1)
-        best = np.empty(len(z))
-        for i in range(len(z)):
-            d = ((z - z[i]) ** 2).sum(1)
-            d[max(0, i - m // 2) : i + m // 2 + 1] = np.inf
-            best[i] = d.min()
-        k = int(best.argmax())
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "at": [k], "distance": [float(best[k] ** 0.5)]})
-
-    return df.select(key, order, value).groupBy(key).applyInPandas(of, f"{key} long, at long, distance double")
-
-
 def run_lengths(spark: SparkSession, thresholds: tuple[float, ...], runs: int, p: float, p0: float, p1: float, most: int = 2000, seed: int = 11) -> DataFrame:
     """(h, mean_run): the average number of trials to the first CUSUM alarm, by seeded simulation; each run is
     a row of its own seed, so the split into tasks doesn't matter."""

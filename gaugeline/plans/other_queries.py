@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeline.operators import learning, series_udf
+from gaugeline.operators import learning, profile, series_udf
 from gaugeline.plans.base import query
 from gaugeline.sources.adapters import FAULTS, SCORES, TEL, faults, read, scores, telemetry
 from gaugeline.streaming import replay
@@ -66,9 +66,28 @@ def win_band_energy(spark, sf):
     return series_udf.band_energy(telemetry(spark, sf)).withColumn("ratio", F.round("ratio", 6))
 
 
-@query()
+_M = 8
+
+
+@query(f"""WITH {TEL}, w AS (SELECT machine, step AS s, list(obs) OVER (PARTITION BY machine ORDER BY step ROWS BETWEEN CURRENT ROW AND {_M - 1} FOLLOWING) AS x FROM tel),
+ v AS (SELECT machine, s, x, list_avg(x) AS mean, list_stddev_pop(x) AS sd FROM w WHERE len(x) = {_M}),
+ z AS (SELECT machine, s, list_transform(x, lambda y: (y - mean) / CASE WHEN sd > 1e-12 THEN sd ELSE 1 END) AS z FROM v),
+ d AS (SELECT a.machine, a.s, min(list_distance(a.z, b.z)) AS d FROM z a JOIN z b ON b.machine = a.machine AND abs(a.s - b.s) > {_M // 2} GROUP BY a.machine, a.s)
+SELECT machine, arg_max(s, struct_pack(d := d, b := -s)) AS at_step, round(max(d), 6) AS distance FROM d GROUP BY machine""")
 def win_discord(spark, sf):
-    return series_udf.discord(telemetry(spark, sf)).withColumn("distance", F.round("distance", 6))
+    """The subsequence of each series that is least like any other, from the matrix profile."""
+    found = profile.discord(profile.matrix_profile(telemetry(spark, sf), F.col("obs"), _M))
+    return found.select("machine", F.col("at").alias("at_step"), F.round("distance", 6).alias("distance"))
+
+
+@query(f"""WITH {TEL}, w AS (SELECT machine, step AS s, list(cents) OVER (PARTITION BY machine ORDER BY step ROWS BETWEEN CURRENT ROW AND {_M - 1} FOLLOWING) AS x FROM tel),
+ v AS (SELECT machine, s, x, list_avg(x) AS mean, list_stddev_pop(x) AS sd FROM w WHERE len(x) = {_M}),
+ z AS (SELECT machine, s, list_transform(x, lambda y: (y - mean) / CASE WHEN sd > 1e-12 THEN sd ELSE 1 END) AS z FROM v)
+SELECT a.machine, a.s AS at_step, round(min(list_distance(a.z, b.z)), 6) AS distance FROM z a JOIN z b ON b.machine = a.machine AND abs(a.s - b.s) > {_M // 2} GROUP BY a.machine, a.s""")
+def win_matrix_profile(spark, sf):
+    """The distance of every subsequence to its nearest neighbour, in tiles of 32 starts."""
+    found = profile.matrix_profile(telemetry(spark, sf), F.col("cents"), _M, block=32)
+    return found.select("machine", F.col("at").alias("at_step"), F.round("distance", 6).alias("distance"))
 
 
 @query()
