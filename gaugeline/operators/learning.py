@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,13 +49,23 @@ def out_of_fold(df: DataFrame, features: list[str], y: str, group: str, k: int =
     return out
 
 
-def pca_error(df: DataFrame, vector: Column, k: int = 8) -> DataFrame:
-    """Adds error: the squared distance of a vector from its projection on the first k components about 0."""
-    df = df.withColumn("__v", array_to_vector(vector.cast("array<double>")))
-    model = PCA(k=k, inputCol="__v", outputCol="__p").fit(df)
-    df = model.transform(df).withColumns({"__a": vector_to_array("__v"), "__b": vector_to_array("__p")})
+def pca_error(df: DataFrame, vector: Column, share: float = 0.9, clean: Column | None = None) -> DataFrame:
+    """Adds error: the squared distance of a vector from its projection on the first components about the mean, as many as together explain more than ``share``
+    of the variance. Mean and components are those of the ``clean`` rows, or of all. Null vectors have no error; without a row to fit on none has."""
+    df = df.withColumn("__v", F.when(vector.isNotNull(), array_to_vector(vector.cast("array<double>"))))
+    fit = df.filter(F.col("__v").isNotNull() & (F.lit(True) if clean is None else F.coalesce(clean, F.lit(False))))
+    first = fit.select(F.size(vector_to_array("__v")).alias("n")).first()
+    if first is None:
+        return df.withColumn("error", F.lit(None).cast("double")).drop("__v")
+    centred = StandardScaler(inputCol="__v", outputCol="__c", withMean=True, withStd=False).fit(fit)
+    model = PCA(k=first.n, inputCol="__c", outputCol="__p").fit(centred.transform(fit))
+    explained = np.cumsum(model.explainedVariance.toArray())
+    k = min(first.n, int(np.searchsorted(explained, share, "right")) + 1)
+    known = model.transform(centred.transform(df.filter(F.col("__v").isNotNull())))
     square = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
-    return df.withColumn("error", square("__a") - square("__b")).drop("__v", "__p", "__a", "__b")
+    known = known.withColumn("error", F.greatest(F.lit(0.0), square(vector_to_array("__c")) - square(F.slice(vector_to_array("__p"), 1, k))))
+    none = df.filter(F.col("__v").isNull()).withColumn("error", F.lit(None).cast("double"))
+    return known.drop("__c", "__p").unionByName(none).drop("__v")
 
 
 def mixture_threshold(df: DataFrame, score: str, fpr: float, seed: int = 5) -> float:

@@ -21,8 +21,6 @@ from gaugeline.operators.ranked import as_number, numbered
 from gaugeline.sources.storage import read_text, write_text, written
 
 ARTIFACT_VERSION = 1
-#: Reference points of the neighbour experts, first by a hash of their values; every row is scored against them.
-MAX_REFERENCE = 4_000
 # The parameters swept.
 GRID = {"maxIter": (20, 50), "maxDepth": (3, 5), "stepSize": (0.05, 0.1), "minInstancesPerNode": (20, 100)}
 
@@ -155,50 +153,6 @@ def out_of_fold_classes(df: DataFrame, features: list[str], label: str, group: s
     return out
 
 
-def _reference(df: DataFrame, features: list[str], clean: Column):
-    import numpy as np
-
-    rows = df.filter(clean).select(*[F.col(f).cast("double").alias(f) for f in features]).orderBy(F.xxhash64(*features), *features).limit(MAX_REFERENCE).collect()
-    return np.array([list(r) for r in rows], "f8").reshape(-1, len(features))
-
-
-def neighbour_scores(df: DataFrame, features: list[str], clean: Column, k: int = 5, k_density: int = 20) -> DataFrame:
-    """``df`` with knn, the distance to the k-th nearest clean reference point, and lof, how much thinner the row's surroundings are than those
-    of its k_density nearest ones. Both are fitted on at most MAX_REFERENCE clean rows, sent to every task; rows are scored in Arrow batches."""
-    import numpy as np
-
-    points = _reference(df, features, clean)
-    near, dense = min(k, max(1, len(points) - 1)), min(k_density, max(1, len(points) - 1))
-
-    def distances(x):
-        d = (x * x).sum(1)[:, None] + (points * points).sum(1)[None, :] - 2 * x @ points.T
-        return np.sqrt(np.maximum(d, 0))
-
-    if len(points) > 1:
-        own = distances(points)
-        np.fill_diagonal(own, np.inf)
-        order = np.argsort(own, 1, kind="stable")[:, :dense]
-        reach_of = np.take_along_axis(own, order, 1)[:, -1]
-        density = dense / np.maximum(np.maximum(np.take_along_axis(own, order, 1), reach_of[order]).sum(1), 1e-12)
-
-    def scored(batches):
-        for batch in batches:
-            x = batch[features].to_numpy("f8")
-            if len(points) > 1:
-                d = distances(x)
-                nearest = np.argsort(d, 1, kind="stable")[:, : max(near, dense)]
-                held = np.take_along_axis(d, nearest, 1)
-                reach = np.maximum(held[:, :dense], reach_of[nearest[:, :dense]])
-                own_density = dense / np.maximum(reach.sum(1), 1e-12)
-                batch["knn"], batch["lof"] = held[:, near - 1], density[nearest[:, :dense]].mean(1) / own_density
-            else:
-                batch["knn"] = batch["lof"] = None
-            yield batch
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", knn double, lof double"
-    return df.mapInPandas(scored, schema)
-
-
 def swept(df: DataFrame, features: list[str], y: str, group: str, grid: dict[str, tuple] = GRID, seed: int = 0) -> DataFrame:
     """(place, f1, <parameters>): the out-of-fold F1 at .5 of every combination of ``grid``, the best first. The loop is over combinations."""
     rows = written(df.withColumn("__f", F.pmod(F.xxhash64(group), F.lit(2))))

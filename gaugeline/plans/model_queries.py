@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeline.operators import features as fe
-from gaugeline.operators import learning, models
+from gaugeline.operators import learning, models, neighbours
 from gaugeline.plans.base import query
 from gaugeline.sources import storage
-from gaugeline.sources.adapters import SCORES, faults, scores, telemetry
+from gaugeline.sources.adapters import FAULTS, SCORES, TEL, faults, scores, telemetry
 
 FEATURES = ["mean", "std", "lo", "hi", "slope"]
 
@@ -37,10 +37,23 @@ def ml_classes(spark, sf):
     return models.out_of_fold_classes(windows(spark, sf), FEATURES, "family", "machine", trees=5).select("machine", "start", "family", "fold", "predicted")
 
 
-@query()
+_W = "OVER (PARTITION BY machine ORDER BY step ROWS 15 PRECEDING)"
+WINDOWS = f"""{TEL}, {FAULTS}, f AS (SELECT machine, step - 15 AS start, CAST(sum(cents) {_W} AS DOUBLE) / 16 / 100 AS mean,
+  sqrt(CAST(16 * sum(cents * cents) {_W} - sum(cents) {_W} * sum(cents) {_W} AS DOUBLE)) / 16 / 100 AS std, min(cents) {_W} AS lo, max(cents) {_W} AS hi, cents - first_value(cents) {_W} AS slope FROM tel),
+ wins AS (SELECT f.*, CASE WHEN start < t1 AND t0 < start + 16 THEN 1 ELSE 0 END AS y FROM f LEFT JOIN faults ON faults.machine = f.machine WHERE start >= 0 AND start % 8 = 0)"""
+_GAP = "sqrt(" + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in FEATURES) + ")"
+
+
+@query(f"""WITH {WINDOWS}, pairs AS MATERIALIZED (SELECT a.machine, a.start, b.machine AS m, b.start AS s, {_GAP} AS d, a.y FROM wins a JOIN wins b ON b.y = 0),
+ own AS (SELECT *, row_number() OVER (PARTITION BY m0, s0 ORDER BY d, m, s) AS k FROM (SELECT machine AS m0, start AS s0, m, s, d FROM pairs WHERE y = 0 AND (machine <> m OR start <> s))),
+ reach AS (SELECT m0, s0, max(d) AS reach FROM own WHERE k <= 20 GROUP BY 1, 2),
+ density AS (SELECT o.m0, o.s0, 20 / greatest(sum(greatest(d, reach)), 1e-12) AS density FROM own o JOIN reach r ON r.m0 = o.m AND r.s0 = o.s WHERE k <= 20 GROUP BY 1, 2),
+ near AS (SELECT *, row_number() OVER (PARTITION BY machine, start ORDER BY d, m, s) AS k FROM pairs)
+SELECT machine, start, round(max(d) FILTER (WHERE k <= 5), 6) AS knn, round(avg(density) / (20 / greatest(sum(greatest(d, reach)), 1e-12)), 6) AS lof
+FROM near n JOIN reach r ON r.m0 = n.m AND r.s0 = n.s JOIN density x ON x.m0 = n.m AND x.s0 = n.s WHERE k <= 20 GROUP BY machine, start""")
 def ml_neighbours(spark, sf):
-    """Distance to the fifth clean neighbour, and local outlier factor of twenty."""
-    got = models.neighbour_scores(windows(spark, sf), FEATURES, F.col("y") == 0)
+    """Distance to the fifth clean neighbour, and local outlier factor of twenty, among all clean windows."""
+    got = neighbours.scores(windows(spark, sf), FEATURES, F.col("y") == 0)
     return got.select("machine", "start", F.round("knn", 6).alias("knn"), F.round("lof", 6).alias("lof"))
 
 

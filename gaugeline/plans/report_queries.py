@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeline.functions.dims import EDGES, MACHINES, edges, machines, sql_values
-from gaugeline.operators import episodes, flow, labels, validate
+from gaugeline.operators import causal, episodes, flow, labels, validate
 from gaugeline.operators import metrics as me
 from gaugeline.operators import sequence as sq
 from gaugeline.plans.base import query
@@ -226,6 +226,23 @@ def grf_lagged_correlation(spark, sf):
     return p.groupBy("cause", "effect", "lag").agg(F.round(r, 6).alias("r"))
 
 
+_KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+@query()
+def grf_causal_links(spark, sf):
+    """Which channel drives which, one or two steps later, given all else that does: correlation and p-value of each lag."""
+    links = causal.lagged_links(grid(spark, sf), "channel", "step", F.col("n"), list(_KINDS))
+    return links.withColumns({"r": F.round("r", 6), "p": F.round("p", 6), "link": F.col("p") <= 0.01})
+
+
+@query()
+def grf_stable_links(spark, sf):
+    """Links that are found in four or more of five groups of entities, each with its own counts by step, whatever their lag."""
+    g = telemetry(spark, sf).groupBy((F.col("machine") % 5).alias("seed"), "state", "step").agg(F.sum("cents").alias("cents"))
+    return causal.stable_edges(causal.lagged_links(g, "state", "step", F.col("cents"), ["RUN", "DOWN", "BLOCKED", "STARVED"], by=("seed",)), "seed", 4, 0.2)
+
+
 @query(f"""WITH {TEL}, f AS (SELECT machine, step, sum(CASE WHEN state = 'DOWN' THEN 1 ELSE 0 END) {OVER}) AS k, row_number() {OVER}) AS n FROM tel WHERE machine % 4 = 0),
  c AS (SELECT machine, step, k * ln(CAST(5 AS DOUBLE)) + (n - k) * ln(CAST(0.5 AS DOUBLE) / 0.9) AS c FROM f), s AS (SELECT machine, c - least(CAST(0 AS DOUBLE), min(c) {OVER})) AS s FROM c), a AS (SELECT machine, bool_or(s >= 3) AS hit FROM s GROUP BY machine)
 SELECT count(*) AS n, count(*) FILTER (WHERE hit) AS hits FROM a""")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeline.operators import contracts, detect, fusion, gates, learning, metrics, models, ranked
+from gaugeline.operators import contracts, detect, fusion, gates, learning, metrics, models, neighbours, ranked
 from gaugeline.operators import sequence as sq
 from gaugeline.sources import storage
 
@@ -215,7 +215,7 @@ def test_classes_and_probes(spark, blobs):
 
 
 def test_neighbours_by_brute_force(spark, blobs):
-    got = {(r.machine, r.start): r for r in models.neighbour_scores(blobs, ["a", "b"], F.col("y") == 0).collect()}
+    got = {(r.machine, r.start): r for r in neighbours.scores(blobs, ["a", "b"], F.col("y") == 0).collect()}
     rows = blobs.collect()
     ref = np.array([(r.a, r.b) for r in rows if r.y == 0])
     gap = lambda x: np.sqrt(((ref - x) ** 2).sum(1))
@@ -228,7 +228,7 @@ def test_neighbours_by_brute_force(spark, blobs):
         assert got[r.machine, r.start].knn == pytest.approx(d[k[4]], abs=1e-6)
         own = 20 / max(1e-12, sum(max(d[j], near[j][-1]) for j in k[:20]))
         assert got[r.machine, r.start].lof == pytest.approx(density[k[:20]].mean() / own, rel=1e-4)
-    assert models.neighbour_scores(blobs.filter("false"), ["a", "b"], F.col("y") == 0).count() == 0
+    assert neighbours.scores(blobs.filter("false"), ["a", "b"], F.col("y") == 0).count() == 0
 
 
 def test_artifacts_fail_closed(spark, tmp_path):
