@@ -46,7 +46,7 @@ def quantile_arm(clean: DataFrame, score: str, fpr: float = 0.01) -> DataFrame:
 def three_arms(clean: DataFrame, score: str, fpr: float = 0.01) -> DataFrame:
     """One row (tau): the vote of the quantile, the mixture and the tail arm on clean scores. The tail's level counts from the 95 %
     quantile on; where its fit doesn't hold, the quantile stands for it."""
-    from gaugeline.operators.learning import mixture_threshold
+    from gaugeline.operators.mixture import mixture_threshold
 
     q, u = clean.agg(F.percentile(score, F.array(F.lit(1 - fpr), F.lit(0.95))).alias("q")).first().q or (0.0, 0.0)
     tail = clean.select((F.round((F.col(score) - u) * 1e6)).cast("long").alias("e")).filter("e > 0")
@@ -58,7 +58,7 @@ def three_arms(clean: DataFrame, score: str, fpr: float = 0.01) -> DataFrame:
             xi = max(-0.5, xi)
             ratio = 1e-3 / 0.03
             pot = (m * (1 - xi) / xi * (ratio**-xi - 1) if abs(xi) > 1e-6 else m * 3.4012) / 1e6
-    mixture = mixture_threshold(clean.select(F.col(score).alias("s")), "s", fpr)
+    mixture, _ = mixture_threshold(clean, score, fpr)
     return clean.sparkSession.range(1).select(cal.stability_vote(F.lit(float(q)), F.lit(float(mixture)), F.lit(float(pot))).alias("tau"))
 
 

@@ -1,13 +1,11 @@
-"""Learning on feature tables with Spark ML: grouped folds, out-of-fold scores, experts, a mixture threshold."""
+"""Learning on feature tables with Spark ML: grouped folds, out-of-fold scores, experts."""
 
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -68,22 +66,6 @@ def pca_error(df: DataFrame, vector: Column, share: float = 0.9, clean: Column |
     return known.drop("__c", "__p").unionByName(none).drop("__v")
 
 
-def mixture_threshold(df: DataFrame, score: str, fpr: float, seed: int = 5) -> float:
-    """The upper (1 - fpr) quantile of the highest component of a mixture of up to 3 normals, by least BIC."""
-    x = df.select(array_to_vector(F.array(score)).alias("features")).cache()
-    n, mean, var = df.agg(F.count(score), F.avg(score), F.var_pop(score)).first()
-    var = max(var or 0.0, 1e-12)
-    best = (2 * math.log(max(n, 2)) + n * (math.log(2 * math.pi * var) + 1), mean or 0.0, var)  # one normal
-    for k in (2, 3) if n > 3 else ():
-        model = GaussianMixture(k=k, seed=seed, maxIter=30).fit(x)
-        bic = (3 * k - 1) * math.log(n) - 2 * model.summary.logLikelihood
-        if bic < best[0]:
-            top = max(model.gaussians, key=lambda g: g.mean[0])
-            best = (bic, float(top.mean[0]), max(float(top.cov.toArray()[0][0]), 1e-12))
-    x.unpersist()
-    return best[1] + NormalDist().inv_cdf(1 - fpr) * math.sqrt(best[2])
-
-
 #: The Poisson distribution of mean 1: the chance of no more than 0, 1, ... draws.
 _POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(10)]
 

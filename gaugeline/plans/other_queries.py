@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeline.operators import learning, profile, series_udf
+from gaugeline.operators import learning, mixture, profile, series_udf
 from gaugeline.plans.base import query
 from gaugeline.sources.adapters import FAULTS, SCORES, TEL, faults, read, scores, telemetry
 from gaugeline.streaming import replay
@@ -47,8 +47,9 @@ def ml_pca_error(spark, sf):
 
 @query()
 def cal_mixture(spark, sf):
-    tau = learning.mixture_threshold(scores(spark, sf).filter("y = 0"), "score", 0.01)
-    return spark.range(1).select(F.lit(tau).alias("tau"))
+    """The threshold of all clean scores, and of how many components it is."""
+    tau, k = mixture.mixture_threshold(scores(spark, sf).filter("y = 0"), "score", 0.01)
+    return spark.range(1).select(F.lit(tau).alias("tau"), F.lit(k).alias("k"))
 
 
 @query()

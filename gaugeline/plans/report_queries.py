@@ -175,12 +175,6 @@ def win_trend_residual(spark, sf):
     return features.detrended(t, F.col("step") < F.col("t0")).groupBy("machine").agg(F.round(F.max(F.abs("residual")), 4).alias("worst"))
 
 
-@query(f"WITH {TEL}, g AS (SELECT machine, list(CAST(cents % 7 - 3 AS DOUBLE) ORDER BY step) AS s FROM tel GROUP BY machine) SELECT machine, round(list_reduce(list_prepend(CAST(0 AS DOUBLE), s), lambda a, e: CAST(0.6 AS DOUBLE) * a + e), 6) AS last FROM g")
-def win_ar1(spark, sf):
-    g = telemetry(spark, sf).groupBy("machine").agg(F.array_sort(F.collect_list(F.struct("step", (F.col("cents") % 7 - 3).cast("double").alias("e")))).alias("s"))
-    return g.select("machine", F.round(F.aggregate("s", F.lit(0.0), lambda a, x: 0.6 * a + x["e"]), 6).alias("last"))
-
-
 @query(f"WITH {TEL}, {FAULTS}, w AS (SELECT machine, step // 8 AS k, max(cents) > 30000 AS dec FROM tel GROUP BY 1, 2) SELECT f.machine, min(k) FILTER (WHERE dec AND k * 8 >= t0 - 7) - min(t0) // 8 AS windows FROM faults f JOIN w ON w.machine = f.machine GROUP BY f.machine HAVING min(k) FILTER (WHERE dec AND k * 8 >= t0 - 7) IS NOT NULL")
 def win_stream_delay(spark, sf):
     return episodes.stream_delay(telemetry(spark, sf), faults(spark, sf), F.max("cents") > 30000)

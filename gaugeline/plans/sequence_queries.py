@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gaugeline.operators import scan
 from gaugeline.operators import sequence as sq
 from gaugeline.plans.base import query
 from gaugeline.sources.adapters import GRID, TEL, grid, telemetry
@@ -58,23 +59,50 @@ def win_running(spark, sf):
     return telemetry(spark, sf).select("machine", "step", F.max("cents").over(w).alias("max_cents"), F.sum((F.col("state") == "DOWN").cast("long")).over(w).alias("downs"))
 
 
-@query(f"""WITH {TEL}, a AS (SELECT machine, step, sum(CASE WHEN state = 'RUN' THEN 1 ELSE 0 END) {ROWS} AS runs FROM tel)
-SELECT machine, step, CAST(least(runs, 20) + 5 * greatest(0, runs - 20) AS DOUBLE) / 240 AS wear FROM a""")
+def _recursive(state: str, first: str, columns: str) -> str:
+    """A true recurrence, row by row, for the SQL of operators that have blocks or closed forms."""
+    return f"""WITH RECURSIVE {TEL}, t AS MATERIALIZED (SELECT *, row_number() {OVER}) AS n FROM tel),
+ r AS (SELECT machine, step, n, {first} AS x FROM t WHERE n = 1 UNION ALL SELECT t.machine, t.step, t.n, {state} AS x FROM r JOIN t ON t.machine = r.machine AND t.n = r.n + 1)
+SELECT {columns} FROM r"""
+
+
+_LOAD, _RESET = "CASE WHEN t.state = 'RUN' THEN 1 ELSE 0 END", "t.cents > 15000"
+_W0 = f"CASE WHEN {_RESET} THEN CAST(0 AS DOUBLE) ELSE r.x END"
+_B0 = f"({_LOAD}) / CAST(240 AS DOUBLE)"
+
+
+@query(_recursive(f"{_W0} + ({_LOAD}) * CASE WHEN {_W0} > 0.0334 THEN 5 ELSE 1 END / CAST(240 AS DOUBLE)", _B0, "machine, step, round(x, 9) AS wear"))
 def win_wear(spark, sf):
-    """Wear in closed form: a slow rate up to the knee, five times as much beyond."""
-    runs = F.sum((F.col("state") == "RUN").cast("long")).over(S.upto())
-    t = telemetry(spark, sf).withColumn("runs", runs)
-    return t.select("machine", "step", ((F.least("runs", F.lit(20)) + 5 * F.greatest(F.lit(0), F.col("runs") - 20)).cast("double") / 240).alias("wear"))
+    """Wear with a knee and resets at maintenance, in closed form."""
+    t = scan.wear(telemetry(spark, sf), (F.col("state") == "RUN").cast("int"), F.col("cents") > 15000, 1 / 240, 0.0334, 5.0)
+    return t.select("machine", "step", F.round("wear", 9).alias("wear"))
 
 
-@query(f"""WITH {TEL}, g AS (SELECT machine, list(CASE WHEN state = 'RUN' THEN 1.0 ELSE 0.0 END ORDER BY step) AS s FROM tel GROUP BY machine)
-SELECT machine, round(list_reduce(list_prepend(CAST(0 AS DOUBLE), CAST(s AS DOUBLE[])), lambda w, l: least(CAST(0.5 AS DOUBLE), w + l / 240 * exp(2 * greatest(CAST(0 AS DOUBLE), w - CAST(0.1 AS DOUBLE))))), 6) AS bias FROM g""")
+@query(_recursive(f"least(CAST(0.5 AS DOUBLE), {_W0} + ({_LOAD}) / CAST(24 AS DOUBLE) * exp(2 * greatest(CAST(0 AS DOUBLE), {_W0} - CAST(0.1 AS DOUBLE))))", f"({_LOAD}) / CAST(24 AS DOUBLE)", "machine, step, round(x, 6) AS bias"))
 def win_wear_exponential(spark, sf):
-    """A recurrence without a closed form: each series is folded as an array."""
-    load = F.when(F.col("state") == "RUN", 1.0).otherwise(0.0)
-    g = telemetry(spark, sf).groupBy("machine").agg(F.array_sort(F.collect_list(F.struct("step", load.alias("l")))).alias("s"))
-    grow = lambda w, x: F.least(F.lit(0.5), w + x["l"] / 240 * F.exp(2 * F.greatest(F.lit(0.0), w - 0.1)))
-    return g.select("machine", F.round(F.aggregate("s", F.lit(0.0), grow), 6).alias("bias"))
+    """A capped exponential with resets: a recurrence without a closed form, carried over sorted batches."""
+    t = scan.exponential_wear(telemetry(spark, sf), (F.col("state") == "RUN").cast("int"), F.col("cents") > 15000, rate=1 / 24)
+    return t.withColumn("bias", F.round("bias", 6))
+
+
+_ONES = "(t.cents % 7 - 3)"
+
+
+@query(_recursive(f"CASE WHEN {_RESET} THEN 0 ELSE CAST(0.6 AS DOUBLE) END * r.x + {_ONES}", f"CAST({_ONES} AS DOUBLE)", "machine, step, round(x, 6) AS x"))
+def win_ar1(spark, sf):
+    """An autoregression with restarts: affine maps, composed over blocks of four rows and blocks of blocks."""
+    t = telemetry(spark, sf)
+    keep = F.when(F.col("cents") > 15000, 0.0).otherwise(0.6)
+    return scan.affine_scan(t, keep, F.col("cents") % 7 - 3, out="x", block=4).withColumn("x", F.round("x", 6))
+
+
+@query(f"""WITH {TEL}, q AS (SELECT machine, step AS first, step + w AS "end" FROM tel, (VALUES (1), (5), (16), (40), (67)) AS v(w) WHERE step % 4 = 0)
+SELECT q.machine, q.first, q."end", min(cents) AS lo, max(cents) AS hi FROM q JOIN tel t ON t.machine = q.machine AND t.step >= q.first AND t.step < q."end" GROUP BY 1, 2, 3 HAVING count(*) = q."end" - q.first""")
+def win_range_extremes(spark, sf):
+    """Least and greatest values of ranges of any width, by two look-ups each in a sparse table."""
+    t = telemetry(spark, sf)
+    ranges = t.filter("step % 4 = 0").select("machine", F.col("step").alias("first"), F.explode(F.array(*map(F.lit, (1, 5, 16, 40, 67)))).alias("w"))
+    return scan.range_extremes(scan.sparse_table(t, F.col("cents"), 67), ranges.withColumn("end", F.col("first") + F.col("w")))
 
 
 _VAR = f"CAST(16 * sum(cents * cents) {OVER} ROWS 15 PRECEDING) - (sum(cents) {OVER} ROWS 15 PRECEDING)) * (sum(cents) {OVER} ROWS 15 PRECEDING)) AS DOUBLE) / 2560000"
