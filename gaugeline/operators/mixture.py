@@ -47,15 +47,19 @@ def gamma_share(a: float, x: float) -> float:
 
 def gamma_quantile(a: float, p: float) -> float:
     """x with gamma_share(a, x) = p, for 0 < p < 1: Newton's steps inside an interval that holds the root, halved where a step leaves it."""
+    # the function is at most x ** a / gamma(a + 1)
+    least = (math.log(p) + math.lgamma(a + 1)) / a
+    if least < -650:  # as good as none
+        return 0.0
+    lo = math.exp(least)
     z = NormalDist().inv_cdf(p)
-    x = max(a * (1 - 1 / (9 * a) + z / (3 * math.sqrt(a))) ** 3, 1e-300)
-    lo, hi = 0.0, max(1.0, a, x)
+    x = a * (1 - 1 / (9 * a) + z / (3 * math.sqrt(a))) ** 3
+    hi = max(1.0, 2 * a, x, 2 * lo)
     while gamma_share(a, hi) < p:
         lo, hi = hi, 2 * hi
-    x = x if lo < x < hi else (lo + hi) / 2
+    # below 1 the function is concave, and Newton's steps from the left stay there
+    x = lo if a < 1 and lo > 0 else x if lo < x < hi else (lo + hi) / 2
     for _ in range(400):
-        if x < 1e-290:  # as good as none
-            return 0.0
         off = gamma_share(a, x) - p
         lo, hi = (lo, x) if off > 0 else (x, hi)
         slope = math.exp((a - 1) * math.log(x) - x - math.lgamma(a))
