@@ -1,5 +1,4 @@
-"""What no built-in expresses, as Arrow-batched functions of one series at a time: transforms, discords,
-Monte-Carlo runs, and the plant generator. A task holds one entity's series, never a table."""
+"""Monte-Carlo runs and a plant generator: a row of its own seed is a run or an episode."""
 
 from __future__ import annotations
 
@@ -10,41 +9,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
-def envelope(df: DataFrame, key: str = "machine", order: str = "step", value: str = "obs") -> DataFrame:
-    """(key, order, envelope): the magnitude of the analytic signal of the series less its mean."""
-
-    def of(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(order)
-        x = pdf[value].to_numpy("f8")
-        n = len(x)
-        gain = np.zeros(n)
-        gain[0] = 1
-        gain[1 : (n + 1) // 2] = 2
-        if n % 2 == 0:
-            gain[n // 2] = 1
-        return pdf[[key, order]].assign(envelope=np.abs(np.fft.ifft(np.fft.fft(x - x.mean()) * gain)))
-
-    return df.select(key, order, value).groupBy(key).applyInPandas(of, f"{key} long, {order} long, envelope double")
-
-
-def band_energy(df: DataFrame, lo: float = 0.1, hi: float = 0.5, key: str = "machine", order: str = "step", value: str = "obs") -> DataFrame:
-    """(key, ratio): the share of a series' power, less its mean, at frequencies in [lo, hi]; 0 for a constant."""
-
-    def of(pdf):
-        import numpy as np
-        import pandas as pd
-
-        x = pdf.sort_values(order)[value].to_numpy("f8")
-        power = np.abs(np.fft.rfft(x - x.mean())) ** 2
-        f = np.fft.rfftfreq(len(x))
-        total = power.sum()
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "ratio": [power[(f >= lo) & (f <= hi)].sum() / total if total > 1e-12 else 0.0]})
-
-    return df.select(key, order, value).groupBy(key).applyInPandas(of, f"{key} long, ratio double")
-
-
 def run_lengths(spark: SparkSession, thresholds: tuple[float, ...], runs: int, p: float, p0: float, p1: float, most: int = 2000, seed: int = 11) -> DataFrame:
     """(h, mean_run): the average number of trials to the first CUSUM alarm, by seeded simulation; each run is
     a row of its own seed, so the split into tasks doesn't matter."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeline.operators import learning, mixture, profile, series_udf
+from gaugeline.operators import envelope, features, learning, mixture, profile, series_udf
 from gaugeline.plans.base import query
 from gaugeline.sources.adapters import FAULTS, SCORES, TEL, faults, read, scores, telemetry
 from gaugeline.streaming import replay
@@ -57,14 +57,48 @@ def agg_bootstrap(spark, sf):
     return learning.bootstrap_interval(telemetry(spark, sf), "machine", F.col("state") == "DOWN")
 
 
-@query()
+_T = "(0.5 + 0.5 * cos(pi() * k / 17)) * 2 / (pi() * k)"
+
+
+@query(f"""WITH {TEL}, m AS (SELECT machine, avg(obs) AS m FROM tel GROUP BY machine), x AS (SELECT tel.machine, step, obs - m AS v FROM tel JOIN m ON m.machine = tel.machine),
+ k AS (SELECT k, {_T} AS h FROM (SELECT unnest(range(-15, 16, 2)) AS k)),
+ q AS (SELECT a.machine, a.step, sum(b.v * h) AS q FROM x a, k JOIN x b ON b.machine = a.machine AND b.step = a.step - k GROUP BY 1, 2)
+SELECT x.machine, x.step, round(sqrt(v * v + coalesce(q, 0) * coalesce(q, 0)), 6) AS envelope FROM x LEFT JOIN q ON q.machine = x.machine AND q.step = x.step""")
 def win_envelope(spark, sf):
-    return series_udf.envelope(telemetry(spark, sf)).withColumn("envelope", F.round("envelope", 6))
+    """The envelope of each series by a filter over 16 rows on both sides, in blocks of 32."""
+    return envelope.envelope(telemetry(spark, sf), F.col("obs"), half=16, block=32).withColumn("envelope", F.round("envelope", 6))
 
 
-@query()
+_STATS = f"""e AS (SELECT a.machine, a.start, a.i, a.x, sum(b.x * CASE WHEN (a.i - b.i) % 2 = 0 THEN 0 ELSE cos(pi() * (a.i - b.i) / 8) / sin(pi() * (a.i - b.i) / 8) / 4 END) AS y FROM win a JOIN win b ON b.machine = a.machine AND b.start = a.start GROUP BY 1, 2, 3, 4),
+ e2 AS (SELECT machine, start, i, sqrt(x * x + y * y) AS e FROM e), m AS (SELECT machine, start, max(e) AS hi, min(e) AS lo, avg(e) AS mean, stddev_pop(e) AS sd FROM e2 GROUP BY 1, 2),
+ p AS (SELECT e2.machine, e2.start, k, pow(sum((e - mean) * (e - mean) * cos(2 * pi() * k * i / 8)), 2) + pow(sum((e - mean) * (e - mean) * sin(2 * pi() * k * i / 8)), 2) AS p FROM e2 JOIN m ON m.machine = e2.machine AND m.start = e2.start, (SELECT unnest(range(5)) AS k) GROUP BY 1, 2, 3),
+ stats AS (SELECT m.machine, m.start, hi AS envelope_max, lo AS envelope_min, mean AS envelope_mean, sd AS envelope_std, sum(p) FILTER (WHERE k > 0) / sum(p) AS envelope_band_energy FROM m JOIN p ON p.machine = m.machine AND p.start = m.start GROUP BY 1, 2, 3, 4, 5, 6)"""
+_WIN = "win AS (SELECT a.machine, a.step AS start, b.step - a.step AS i, b.obs AS x FROM tel a JOIN tel b ON b.machine = a.machine AND b.step BETWEEN a.step AND a.step + 7 JOIN (SELECT machine, max(step) AS last FROM tel GROUP BY machine) n ON n.machine = a.machine AND a.step + 7 <= last"
+_ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in envelope.STATISTICS)
+
+
+@query(f"WITH {TEL}, {_WIN} WHERE a.step % 4 = 0), {_STATS} SELECT machine, start, {_ROUNDED} FROM stats")
+def win_envelope_stats(spark, sf):
+    """Statistics of the envelope of each window of eight rows, every four."""
+    got = envelope.envelope_statistics(telemetry(spark, sf), F.col("obs"), 8, 4)
+    return got.drop("w").withColumns({c: F.round(c, 6) for c in envelope.STATISTICS})
+
+
+@query(f"""WITH {TEL}, {_WIN}), {_STATS}, r AS (SELECT machine, start, CAST(sum(CAST(round(x * 100) AS BIGINT)) AS DOUBLE) / 8 / 100 AS mean, sqrt(CAST(sum(CAST(round(x * 100) AS BIGINT) * CAST(round(x * 100) AS BIGINT)) AS DOUBLE) / 8) / 100 AS rms, min(x) AS lo, max(x) AS hi FROM win GROUP BY 1, 2)
+SELECT r.machine, r.start, round(mean, 6) AS mean, round(rms, 6) AS rms, lo, hi, {_ROUNDED} FROM r JOIN stats ON stats.machine = r.machine AND stats.start = r.start""")
+def win_rolling(spark, sf):
+    """Every window of eight rows: sums and extremes from the bank of ranges, and its envelope."""
+    t = telemetry(spark, sf)
+    got = envelope.rolling(t, features.cover_bank(t, (8,)), F.col("obs"), 8, 0.01).drop("w")
+    return got.withColumns({c: F.round(c, 6) for c in ("mean", "rms", *envelope.STATISTICS)} | {c: F.round(c, 2) for c in ("lo", "hi")})
+
+
+@query(f"""WITH {TEL}, g AS (SELECT machine, step // 16 AS g, step % 16 AS i, obs FROM tel), n AS (SELECT machine, g, avg(obs) AS m FROM g GROUP BY 1, 2 HAVING count(*) = 16),
+ p AS (SELECT g.machine, g.g, k, pow(sum((obs - m) * cos(2 * pi() * k * i / 16)), 2) + pow(sum((obs - m) * sin(2 * pi() * k * i / 16)), 2) AS p FROM g JOIN n ON n.machine = g.machine AND n.g = g.g, (SELECT unnest(range(9)) AS k) GROUP BY 1, 2, 3)
+SELECT machine, round(sum(p) FILTER (WHERE k >= 2) / sum(p), 6) AS ratio FROM p GROUP BY machine""")
 def win_band_energy(spark, sf):
-    return series_udf.band_energy(telemetry(spark, sf)).withColumn("ratio", F.round("ratio", 6))
+    """The share of power between 0.1 and 0.5 cycles a row, over segments of 16 rows."""
+    return envelope.band_power(telemetry(spark, sf), F.col("obs"), 0.1, 0.5, 16).withColumn("ratio", F.round("ratio", 6))
 
 
 _M = 8

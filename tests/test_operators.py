@@ -228,13 +228,6 @@ def test_plant_conserves_parts(spark):
     assert p.filter("tput = 1 and state <> 'RUN'").count() == 0
 
 
-def test_envelope_of_a_cosine(spark):
-    x = [math.cos(2 * math.pi * k / 8) for k in range(64)]
-    assert column(series_udf.envelope(series(spark, obs=x)), "envelope") == pytest.approx([1.0] * 64)
-    assert series_udf.band_energy(series(spark, obs=x)).first().ratio == pytest.approx(1.0)
-    assert series_udf.band_energy(series(spark, obs=[2.0] * 16)).first().ratio == 0.0
-
-
 def test_echo_cascade_by_hand_and_by_brute_force(spark):
     rng = random.Random(4)
     rows = [(ln, m, t, rng.randint(0, 9), rng.random() < 0.3) for ln in range(3) for m in range(4) for t in range(40) if rng.random() < 0.9]
