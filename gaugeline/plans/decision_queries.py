@@ -11,7 +11,7 @@ from gaugeline.operators import sequence as sq
 from gaugeline.operators.ranked import numbered
 from gaugeline.plans.base import query
 from gaugeline.plans.sequence_queries import ROWS, _islands
-from gaugeline.sources.adapters import FAULTS, SCORES, TEL, faults, read, scores, telemetry
+from gaugeline.sources.adapters import FAULTS, FLEET, SCORES, TEL, faults, fleet, read, scores, telemetry
 
 S = sq.TELEMETRY
 OVER = "OVER (PARTITION BY machine ORDER BY step"
@@ -221,11 +221,12 @@ def win_drift(spark, sf):
 _TAILS = ("A9", "B9", "C7", "PKG1", "PKG2")
 
 
-@query(f"SELECT machine, CASE WHEN machine IN {_TAILS} THEN 'AGV' WHEN class IN ('feed', 'form') THEN 'never-diverts' ELSE 'SBUF-eligible' END AS path FROM {_ROSTER} UNION ALL SELECT 'X1', 'unknown'")
+@query(f"WITH {FLEET}, m AS (SELECT DISTINCT user_id AS machine FROM events) SELECT m.machine, CASE WHEN name IN {_TAILS} THEN 'AGV' WHEN class IS NULL THEN 'unknown' WHEN class IN ('feed', 'form') THEN 'never-diverts' ELSE 'SBUF-eligible' END AS path FROM m LEFT JOIN fleet f ON f.machine = m.machine AND m.machine % 27 < 26")
 def prj_tail_path(spark, sf):
     """Where a machine's output goes; a machine that isn't in the roster is unknown."""
-    asked = machines(spark).select("machine").unionByName(spark.createDataFrame([("X1",)], "machine string"))
-    return detect.tail_path(asked, machines(spark))
+    f = fleet(spark, sf).withColumn("name", F.when(F.col("machine") % 27 < 26, F.col("name")).otherwise(F.concat(F.lit("X"), F.col("machine").cast("string"))))
+    paths = detect.tail_path(f.select(F.col("name").alias("machine")).distinct(), machines(spark)).withColumnRenamed("machine", "name")
+    return f.join(paths, "name").select("machine", "path")
 
 
 @query(f"WITH {TEL}, k AS (SELECT machine, machine % 3 AS line, count(*) FILTER (WHERE state = 'STARVED') AS kit, count(*) FILTER (WHERE state = 'BLOCKED') AS waiting FROM tel GROUP BY 1) SELECT line, machine, row_number() OVER (PARTITION BY line ORDER BY kit + CASE WHEN machine % 5 = 0 THEN -10 ELSE 0 END, -waiting, machine) AS place FROM k")

@@ -11,7 +11,7 @@ from gaugeline.operators import graph, labels
 from gaugeline.operators import metrics as me
 from gaugeline.operators import sequence as sq
 from gaugeline.plans.base import query
-from gaugeline.sources.adapters import FAULTS, GRID, SCORES, TEL, faults, grid, scores, telemetry
+from gaugeline.sources.adapters import FAULTS, FLEET, GRID, SCORES, TEL, faults, fleet_edges, fleet_edges_sql, grid, scores, telemetry
 
 S = sq.TELEMETRY
 C = sq.Series(keys=("channel",))
@@ -131,21 +131,27 @@ _E = sql_values(EDGES, "src, dst")
 _UND = f"e AS (SELECT src, dst FROM {_E} UNION SELECT dst, src FROM {_E})"
 
 
-@query(f"WITH RECURSIVE {_UND}, w AS (SELECT DISTINCT src, src AS dst, 0 AS hop FROM e UNION SELECT w.src, e.dst, hop + 1 FROM w JOIN e ON e.src = w.dst WHERE hop < 3) SELECT src, dst, min(hop) AS hop FROM w GROUP BY src, dst")
+_FLEET_UND = f"{FLEET}, {fleet_edges_sql()}, e AS (SELECT src, dst FROM fleet_edges UNION SELECT dst, src FROM fleet_edges)"
+
+
+@query(f"WITH RECURSIVE {_FLEET_UND}, w AS (SELECT DISTINCT src, src AS dst, 0 AS hop FROM e UNION SELECT w.src, e.dst, hop + 1 FROM w JOIN e ON e.src = w.dst WHERE hop < 3) SELECT src, dst, min(hop) AS hop FROM w GROUP BY src, dst")
 def grf_hops(spark, sf):
-    return graph.hops(edges(spark))
+    """How far machines of a plant are from each other, up to three edges."""
+    return graph.hops(fleet_edges(spark, sf))
 
 
-@query(f"WITH RECURSIVE e AS (SELECT dst AS src, src AS dst FROM {sql_values(PHYSICAL_EDGES, 'src, dst')}), w AS (SELECT src, dst, 1 AS hop FROM e UNION SELECT w.src, e.dst, hop + 1 FROM w JOIN e ON e.src = w.dst WHERE hop < 3) SELECT src AS machine, string_agg(dst, '>' ORDER BY hop, dst) AS chain FROM (SELECT src, dst, min(hop) AS hop FROM w WHERE src <> dst GROUP BY 1, 2) GROUP BY src")
+@query(f"WITH RECURSIVE {FLEET}, {fleet_edges_sql(True)}, e AS (SELECT dst AS src, src AS dst FROM fleet_edges), w AS (SELECT src, dst, 1 AS hop FROM e UNION SELECT w.src, e.dst, hop + 1 FROM w JOIN e ON e.src = w.dst WHERE hop < 3) SELECT src AS machine, string_agg(CAST(dst AS VARCHAR), '>' ORDER BY hop, dst) AS chain FROM (SELECT src, dst, min(hop) AS hop FROM w GROUP BY 1, 2) GROUP BY src")
 def grf_upstream_chain(spark, sf):
-    e = edges(spark, physical=True).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    """What feeds each machine, the nearest first."""
+    e = fleet_edges(spark, sf, physical=True).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     h = graph.hops(e, 3, directed=True).filter("hop > 0").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("hop", "dst"))).alias("c"))
-    return h.select(F.col("src").alias("machine"), F.array_join(F.transform("c", lambda x: x["dst"]), ">").alias("chain"))
+    return h.select(F.col("src").alias("machine"), F.array_join(F.transform("c", lambda x: x["dst"].cast("string")), ">").alias("chain"))
 
 
-@query(f"WITH RECURSIVE {_UND}, w AS (SELECT DISTINCT src, src AS dst, 0 AS hop FROM e UNION SELECT w.src, e.dst, hop + 1 FROM w JOIN e ON e.src = w.dst WHERE hop < 2) SELECT src AS machine, count(DISTINCT dst) AS affected FROM w GROUP BY src")
+@query(f"WITH RECURSIVE {_FLEET_UND}, w AS (SELECT DISTINCT src, src AS dst, 0 AS hop FROM e UNION SELECT w.src, e.dst, hop + 1 FROM w JOIN e ON e.src = w.dst WHERE hop < 2) SELECT src AS machine, count(DISTINCT dst) AS affected FROM w GROUP BY src")
 def grf_affected(spark, sf):
-    return graph.hops(edges(spark), 2).groupBy(F.col("src").alias("machine")).agg(F.count("*").alias("affected"))
+    """How many machines are within two edges of each."""
+    return graph.hops(fleet_edges(spark, sf), 2).groupBy(F.col("src").alias("machine")).agg(F.count("*").alias("affected"))
 
 
 _MSQL = sql_values([(k, *m) for k, m in enumerate(MACHINES)], "idx, machine, class, base, sigma, cycle, mttf, mttr")

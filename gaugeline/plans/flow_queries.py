@@ -8,7 +8,7 @@ from gaugeline.functions.dims import AMPS, BUFFERS, CLASSES, FAMILIES, LOADS, MA
 from gaugeline.operators import contracts, episodes, flow, validate
 from gaugeline.operators import sequence as sq
 from gaugeline.plans.base import query
-from gaugeline.sources.adapters import FAULTS, GRID, PARTS, SCORES, TEL, faults, grid, parts, read, scores, telemetry
+from gaugeline.sources.adapters import FAULTS, FLEET, GRID, PARTS, SCORES, TEL, faults, fleet, grid, parts, read, scores, telemetry
 from gaugeline.streaming import frames
 
 S = sq.TELEMETRY
@@ -123,16 +123,24 @@ def prj_event_family(spark, sf):
     return read(spark, sf, "events").groupBy(family_of(F.col("event_type")).alias("family")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT machine, {_PART_SQL} AS part, replace({_PART_SQL}, 'rework', 'cell') AS causal FROM {_M}")
+_NAMED = _PART_SQL.replace("machine LIKE", "name LIKE")
+
+
+@query(f"WITH {FLEET} SELECT machine, name, {_NAMED} AS part, replace({_NAMED}, 'rework', 'cell') AS causal FROM fleet")
 def prj_partition(spark, sf):
-    p = partition_of(F.col("machine"))
-    return machines(spark).select("machine", p.alias("part"), F.when(p == "rework", "cell").otherwise(p).alias("causal"))
+    """The partition of each machine of the fleet, and the one that it counts to in causes."""
+    p = partition_of(F.col("name"))
+    return fleet(spark, sf).select("machine", "name", p.alias("part"), F.when(p == "rework", "cell").otherwise(p).alias("causal"))
+
 
+_FLEET_LOAD = _LOAD.replace("m.machine LIKE", "name LIKE")
 
-@query(f"""SELECT m.machine, {_AMPS} AS amps, {_LOAD} AS load, round({_AMPS} * 0.15 + {_LOAD} * ({_AMPS} - {_AMPS} * 0.15), 6) AS run_amps FROM {_M.replace(' AS t(', ' AS m(')}""")
+
+@query(f"WITH {FLEET} SELECT machine, {_AMPS} AS amps, {_FLEET_LOAD} AS load, round({_AMPS} * 0.15 + {_FLEET_LOAD} * ({_AMPS} - {_AMPS} * 0.15), 6) AS run_amps FROM fleet")
 def prj_load(spark, sf):
-    amps, load = flow.rated(F.col("machine"), F.col("class"), AMPS, LOADS)
-    m = machines(spark).withColumns({"amps": amps, "load": load})
+    """Rated current, load factor and running current of each machine of the fleet."""
+    amps, load = flow.rated(F.col("name"), F.col("class"), AMPS, LOADS)
+    m = fleet(spark, sf).withColumns({"amps": amps, "load": load})
     return m.select("machine", "amps", "load", F.round(flow.current(F.lit(True), 0.15, F.col("amps"), F.col("load")), 6).alias("run_amps"))
 
 
@@ -175,10 +183,15 @@ def val_gap(spark, sf):
     return validate.gaps_below(faults(spark, sf), F.col("machine") % 5, 5)
 
 
-@query(f"WITH x AS (SELECT machine FROM {_M}), b AS (SELECT buffer, cap FROM {_B}) SELECT 'machines' AS what, count(*) AS n, count(*) - count(DISTINCT machine) AS repeats, CAST(0 AS BIGINT) AS bad FROM x UNION ALL SELECT 'buffers', count(*), count(*) - count(DISTINCT buffer), count(*) FILTER (WHERE cap <= 0) FROM b")
+@query(f"""WITH {FLEET}, b AS (SELECT plant || ':' || buffer AS buffer, cap FROM (SELECT DISTINCT plant FROM fleet), {_B})
+SELECT 'machines' AS what, count(*) AS n, count(*) - count(DISTINCT machine) AS repeats, count(*) FILTER (WHERE mttf <= mttr) AS bad FROM fleet UNION ALL SELECT 'buffers', count(*), count(*) - count(DISTINCT buffer), count(*) FILTER (WHERE cap <= 0) FROM b""")
 def val_roster(spark, sf):
-    m = validate.roster(machines(spark), "machines", "machine", F.lit(False))
-    return m.unionByName(validate.roster(buffers(spark), "buffers", "buffer", F.col("cap") <= 0))
+    """The rosters of the fleet's machines and of its plants' buffers."""
+    f = fleet(spark, sf)
+    m = validate.roster(f, "machines", "machine", F.col("mttf") <= F.col("mttr"))
+    caps = F.explode(F.array(*[F.struct(F.lit(b).alias("buffer"), F.lit(c).alias("cap")) for b, c in BUFFERS]))
+    b = f.select("plant").distinct().select("plant", caps.alias("b")).select(F.concat_ws(":", F.col("plant").cast("string"), "b.buffer").alias("buffer"), "b.cap")
+    return m.unionByName(validate.roster(b, "buffers", "buffer", F.col("cap") <= 0))
 
 
 @query(f"WITH {FAULTS}, f AS (SELECT DISTINCT machine % 16 AS part, class FROM faults) SELECT p.part, c.class FROM (SELECT range AS part FROM range(16)) p CROSS JOIN {sql_values([(c,) for c in CLASSES], 'class').replace(' AS t(', ' AS c(')} WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.part = p.part AND f.class = c.class)")

@@ -82,14 +82,6 @@ def ml_oversample(spark, sf):
     return models.oversampled(s, "y", 3).groupBy("fam").agg(F.count("*").alias("n")).join(models.oversampled(s, "y").groupBy("fam").agg(F.count("*").alias("plain")), "fam")
 
 
-@query()
-def ml_pool(spark, sf):
-    """The experts there are, and why one isn't."""
-    return spark.createDataFrame(sorted(models.detector_pool().items()), "expert string, state string")
-
-
-
-
 @query()
 def ml_oof_logistic(spark, sf):
     """Out-of-fold window scores by balanced logistic regression."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeline.operators import envelope, features, learning, mixture, profile, series_udf
+from gaugeline.operators import envelope, features, learning, mixture, profile
 from gaugeline.plans.base import query
 from gaugeline.sources.adapters import FAULTS, SCORES, TEL, faults, read, scores, telemetry
 from gaugeline.streaming import replay
@@ -125,16 +125,6 @@ def win_matrix_profile(spark, sf):
     return found.select("machine", F.col("at").alias("at_step"), F.round("distance", 6).alias("distance"))
 
 
-@query()
-def rst_run_length(spark, sf):
-    return series_udf.run_lengths(spark, (2.0, 3.0, 4.0), 200, 0.05, 0.02, 0.2)
-
-
-@query()
-def gen_plant(spark, sf):
-    return series_udf.plant(spark, 4)
-
-
 @query(f"""WITH {TEL}, {FAULTS}, n AS (SELECT machine, machine - 1 AS nb FROM faults UNION ALL SELECT machine, machine + 1 FROM faults)
 SELECT n.machine, n.nb AS neighbour, tel.step FROM n JOIN faults f ON f.machine = n.machine JOIN tel ON tel.machine = n.nb AND tel.step = f.t0 WHERE tel.state <> 'RUN'""")
 def jn_neighbours(spark, sf):

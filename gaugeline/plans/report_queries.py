@@ -11,11 +11,10 @@ from gaugeline.operators import sequence as sq
 from gaugeline.plans.base import query
 from gaugeline.plans.detect_queries import FIT, SCORED, good
 from gaugeline.plans.flow_queries import partition_of
-from gaugeline.sources.adapters import CAL_END, FAULTS, GRID, SCORES, TEL, faults, grid, read, scores, telemetry
+from gaugeline.sources.adapters import CAL_END, FAULTS, FLEET, GRID, SCORES, TEL, faults, fleet_edges, fleet_edges_sql, grid, read, scores, telemetry
 
 S = sq.TELEMETRY
 OVER = "OVER (PARTITION BY machine ORDER BY step"
-_EDGE = sql_values(EDGES, "src, dst")
 _MACH = sql_values([(k, *m) for k, m in enumerate(MACHINES)], "idx, machine, class, base, sigma, cycle, mttf, mttr")
 
 EPISODE = f"""{TEL}, {FAULTS}, {FIT}, {SCORED}, d AS (SELECT machine, step, alarm AND sum(CAST(alarm OR state = 'DOWN' AS INT)) {OVER} ROWS 5 PRECEDING) >= 2 OR state = 'DOWN' AND sum(CAST(alarm OR state = 'DOWN' AS INT)) {OVER} ROWS 5 PRECEDING) >= 2 AS dec FROM al),
@@ -158,10 +157,12 @@ def win_root_or_median(spark, sf):
     return episodes.root_or_median(sq.run_length(telemetry(spark, sf), F.col("state")), faults(spark, sf), "dwell")
 
 
-@query("SELECT b, CAST(greatest(1, round_even(b * 0.5, 0)) AS BIGINT) AS short, CAST(b AS BIGINT) AS base, CAST(2 * b AS BIGINT) AS long FROM (SELECT CAST(range AS BIGINT) AS b FROM range(1, 33))")
+@query("SELECT user_id AS machine, CAST(greatest(1, round_even(b * 0.5, 0)) AS BIGINT) AS short, b AS base, 2 * b AS long FROM (SELECT user_id, count(DISTINCT event_type) AS b FROM events GROUP BY user_id UNION ALL SELECT user_id, count(*) FROM events GROUP BY user_id)")
 def win_scales(spark, sf):
-    b = spark.range(1, 33).select(F.col("id").alias("b"))
-    return b.select("b", F.greatest(F.lit(1.0), F.bround(F.col("b") * 0.5)).cast("long").alias("short"), F.col("b").alias("base"), (2 * F.col("b")).alias("long"))
+    """Half, whole and double of two base widths of each entity: how many kinds of events it has, and how many events."""
+    g = read(spark, sf, "events").groupBy(F.col("user_id").alias("machine")).agg(F.countDistinct("event_type").alias("kinds"), F.count("*").alias("n"))
+    b = g.select("machine", F.explode(F.array("kinds", "n")).alias("b"))
+    return b.select("machine", F.greatest(F.lit(1.0), F.bround(F.col("b") * 0.5)).cast("long").alias("short"), F.col("b").alias("base"), (2 * F.col("b")).alias("long"))
 
 
 @query(f"""WITH {TEL}, {FAULTS}, p AS (SELECT tel.machine, step, cents FROM tel JOIN faults f ON f.machine = tel.machine WHERE step < t0), c AS (SELECT machine, count(*) AS n, sum(step) AS x, sum(cents) AS y, sum(step * step) AS xx, sum(step * cents) AS xy FROM p GROUP BY machine),
@@ -196,15 +197,17 @@ def set_unlisted(spark, sf):
     return validate.unlisted(faults(spark, sf), "class", ("spike", "drift"))
 
 
-_CLASS = "CASE WHEN src LIKE 'RWK%' OR dst LIKE 'RWK%' THEN 'rework' WHEN dst LIKE 'ASM%' OR dst LIKE 'INSP%' THEN 'assembly' WHEN dst LIKE 'PKG%' THEN 'tail-stage' ELSE 'line-gap' END"
+_CLASS = "CASE WHEN src_name LIKE 'RWK%' OR dst_name LIKE 'RWK%' THEN 'rework' WHEN dst_name LIKE 'ASM%' OR dst_name LIKE 'INSP%' THEN 'assembly' WHEN dst_name LIKE 'PKG%' THEN 'tail-stage' ELSE 'line-gap' END"
 
 
-@query(f"WITH e AS (SELECT src, dst, {_CLASS} AS kind FROM {_EDGE}) SELECT src AS machine, dst AS neighbour, kind FROM e UNION ALL SELECT dst, src, kind FROM e")
+@query(f"WITH {FLEET}, {fleet_edges_sql()}, e AS (SELECT src, dst, {_CLASS} AS kind FROM fleet_edges) SELECT src AS machine, dst AS neighbour, kind FROM e UNION ALL SELECT dst, src, kind FROM e")
 def grf_neighbours(spark, sf):
-    s, d = F.col("src"), F.col("dst")
+    """The machines on either side of each, and what kind of edge it is."""
+    s, d = F.col("src_name"), F.col("dst_name")
     kind = F.when(s.startswith("RWK") | d.startswith("RWK"), "rework").when(d.startswith("ASM") | d.startswith("INSP"), "assembly").when(d.startswith("PKG"), "tail-stage").otherwise("line-gap")
-    e = edges(spark).withColumn("kind", kind)
-    return e.select(s.alias("machine"), d.alias("neighbour"), "kind").unionByName(e.select(d.alias("machine"), s.alias("neighbour"), "kind"))
+    e = fleet_edges(spark, sf).withColumn("kind", kind)
+    both = F.array(F.struct(F.col("src").alias("machine"), F.col("dst").alias("neighbour")), F.struct(F.col("dst").alias("machine"), F.col("src").alias("neighbour")))
+    return e.select("kind", F.inline(both)).select("machine", "neighbour", "kind")
 
 
 @query(f"""WITH {GRID}, p AS (SELECT a.channel AS cause, b.channel AS effect, l.lag AS lag, a.n AS x, b.n AS y FROM grid a CROSS JOIN (VALUES (1), (2)) AS l(lag) JOIN grid b ON b.step = a.step + l.lag AND a.channel <> b.channel)
@@ -257,11 +260,17 @@ def snk_markdown(spark, sf):
     return episodes.markdown(h, ["fam", "n", "h"])
 
 
-_LINES = ("[FW-001 | E-M04->M05 | DET-A2]", "no triple here", "[FW-017 | E-M11->M12 | DET-B9] and [FW-018 | E-M01->M02 | DET-C1]")
+_TRIPLE = r"\[FW-([0-9]{3}) \| E-(M[0-9]{2})->(M[0-9]{2}) \| DET-[A-Z0-9]+\]"
 
 
-@query(f"SELECT line, regexp_extract(text, '\\[FW-([0-9]{{3}}) \\| E-(M[0-9]{{2}})->(M[0-9]{{2}})', 1) AS fw, len(regexp_extract_all(text, '\\[FW-[0-9]{{3}} \\| E-M[0-9]{{2}}->M[0-9]{{2}} \\| DET-[A-Z0-9]+\\]')) AS n FROM {sql_values(list(enumerate(_LINES)), 'line, text')}")
+@query(f"""WITH {FAULTS}, x AS (SELECT machine, t0, '[FW-' || lpad(CAST(machine % 1000 AS VARCHAR), 3, '0') || ' | E-M' || lpad(CAST(machine % 26 AS VARCHAR), 2, '0') || '->M' || lpad(CAST((machine + 1) % 26 AS VARCHAR), 2, '0') || ' | DET-A' || t0 || ']' AS t FROM faults),
+ l AS (SELECT machine, CASE machine % 3 WHEN 0 THEN 'no triple here' WHEN 1 THEN t ELSE t || ' and ' || t END AS text FROM x)
+SELECT machine, regexp_extract(text, '{_TRIPLE}', 1) AS fw, regexp_extract(text, '{_TRIPLE}', 3) AS goal, len(regexp_extract_all(text, '{_TRIPLE}')) AS n FROM l""")
 def fn_triples(spark, sf):
-    t = spark.createDataFrame(list(enumerate(_LINES)), "line int, text string")
-    n = F.size(F.regexp_extract_all("text", F.lit(r"\[FW-[0-9]{3} \| E-M[0-9]{2}->M[0-9]{2} \| DET-[A-Z0-9]+\]"), F.lit(0)))
-    return t.select("line", F.regexp_extract("text", r"\[FW-([0-9]{3}) \| E-(M[0-9]{2})->(M[0-9]{2})", 1).alias("fw"), n.cast("long").alias("n"))
+    """Evidence triples in the lines that are written about faults."""
+    two = lambda x: F.lpad((x % 26).cast("string"), 2, "0")
+    one = F.concat(F.lit("[FW-"), F.lpad((F.col("machine") % 1000).cast("string"), 3, "0"), F.lit(" | E-M"), two(F.col("machine")), F.lit("->M"), two(F.col("machine") + 1), F.lit(" | DET-A"), F.col("t0").cast("string"), F.lit("]"))
+    text = F.when(F.col("machine") % 3 == 0, "no triple here").when(F.col("machine") % 3 == 1, one).otherwise(F.concat(one, F.lit(" and "), one))
+    found = lambda k: F.regexp_extract("text", _TRIPLE, k)
+    t = faults(spark, sf).select("machine", text.alias("text"))
+    return t.select("machine", found(1).alias("fw"), found(3).alias("goal"), F.size(F.regexp_extract_all("text", F.lit(_TRIPLE), F.lit(0))).cast("long").alias("n"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeline.functions.dims import CLASSES
+from gaugeline.functions.dims import CLASSES, EDGES, MACHINES, PHYSICAL_EDGES, edges, machines, sql_values
 
 #: Scaled-down constants: steps of warm-up, and the end of calibration.
 WARMUP, CAL_END = 5, 40
@@ -100,3 +100,28 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORES = """scores AS (SELECT d.doc_id AS id, d.doc_id % 10 AS ep, d.lang AS fam,
  CAST((d.n_chars * 7 + d.doc_id * 13) % 97 + CASE WHEN l.quality = 1 THEN 30 ELSE 0 END AS DOUBLE) / 128 AS score,
  CAST(l.quality AS BIGINT) AS y FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(machine, plant, name, class, base, sigma, cycle, mttf, mttr): the entities of events as machines of plants, a whole roster to each."""
+    m = read(spark, sf_dir, "events").select(F.col("user_id").alias("machine")).distinct()
+    m = m.withColumns({"plant": F.floor(F.col("machine") / F.lit(len(MACHINES))).cast("long"), "idx": (F.col("machine") % len(MACHINES)).cast("int")})
+    return m.join(F.broadcast(machines(spark).withColumnRenamed("machine", "name")), "idx").drop("idx")  # one roster
+
+
+_ROSTER = sql_values([(k, *m) for k, m in enumerate(MACHINES)], "idx, name, class, base, sigma, cycle, mttf, mttr")
+FLEET = f"""fleet AS (SELECT u.machine, u.machine // {len(MACHINES)} AS plant, r.name, r.class, r.base, r.sigma, r.cycle, r.mttf, r.mttr
+ FROM (SELECT DISTINCT user_id AS machine FROM events) u JOIN {_ROSTER.replace(' AS t(', ' AS r(')} ON u.machine % {len(MACHINES)} = r.idx)"""
+
+
+def fleet_edges(spark: SparkSession, sf_dir: str, physical: bool = False) -> DataFrame:
+    """(src, dst, src_name, dst_name): the flow edges of every plant between machines that it has."""
+    f = fleet(spark, sf_dir).select("machine", "plant", "name")
+    e = F.broadcast(edges(spark, physical).select(F.col("src").alias("src_name"), F.col("dst").alias("dst_name")))  # one plant's
+    e = f.select(F.col("machine").alias("src"), "plant", F.col("name").alias("src_name")).join(e, "src_name")
+    return e.join(f.select(F.col("machine").alias("dst"), "plant", F.col("name").alias("dst_name")), ["plant", "dst_name"]).select("src", "dst", "src_name", "dst_name")
+
+
+def fleet_edges_sql(physical: bool = False) -> str:
+    pairs = sql_values(PHYSICAL_EDGES if physical else EDGES, "src, dst").replace(" AS t(", " AS p(")
+    return f"fleet_edges AS (SELECT a.machine AS src, b.machine AS dst, a.name AS src_name, b.name AS dst_name FROM fleet a JOIN {pairs} ON p.src = a.name JOIN fleet b ON b.name = p.dst AND b.plant = a.plant)"
