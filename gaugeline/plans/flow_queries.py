@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeline.functions.dims import AMPS, BUFFERS, CLASSES, FAMILIES, LOADS, MACHINES, buffers, machines, sql_values
-from gaugeline.operators import contracts, episodes, flow, validate
+from gaugeline.operators import contracts, episodes, flow, labels, validate
 from gaugeline.operators import sequence as sq
 from gaugeline.plans.base import query
 from gaugeline.sources.adapters import FAULTS, FLEET, GRID, PARTS, SCORES, TEL, faults, fleet, grid, parts, read, scores, telemetry
-from gaugeline.streaming import frames
+from gaugeline.sources import frames_source, storage
+from gaugeline.streaming import frames, narration
 
 S = sq.TELEMETRY
 C = sq.Series(keys=("channel",))
@@ -269,12 +270,43 @@ def str_sse_frames(spark, sf):
     return frames.server_events(g, "tick", F.col("n").cast("string")).select("step", "frame")
 
 
-@query(f"WITH {GRID}, p AS (SELECT step, CASE WHEN sum(CASE WHEN channel = 'error' THEN n ELSE 0 END) > 15 THEN 5 WHEN sum(n) > 60 THEN 3 WHEN count(*) FILTER (WHERE state = 'STARVED') > 2 THEN 2 ELSE 1 END AS priority FROM grid GROUP BY step) SELECT step, priority, max(priority) OVER (ORDER BY step ROWS 1 PRECEDING) AS shown FROM p")
+_PRIO = "CASE WHEN f.machine IS NOT NULL THEN 5 WHEN state = 'DOWN' THEN 4 WHEN state = 'BLOCKED' THEN 3 WHEN state = 'STARVED' THEN 2 ELSE 1 END"
+
+
+@query(f"""WITH RECURSIVE {TEL}, {FAULTS}, p AS MATERIALIZED (SELECT tel.machine, step, {_PRIO} AS priority FROM tel LEFT JOIN faults f ON f.machine = tel.machine AND step >= t0 AND step < t1),
+ r AS (SELECT machine, step, priority, priority AS shown, step AS since FROM p WHERE step = 0
+  UNION ALL SELECT p.machine, p.step, p.priority, CASE WHEN p.priority > shown OR p.step - since >= 3 THEN p.priority ELSE shown END, CASE WHEN p.priority > shown OR p.step - since >= 3 THEN p.step ELSE since END
+   FROM r JOIN p ON p.machine = r.machine AND p.step = r.step + 1)
+SELECT machine, step, priority, shown FROM r""")
 def str_narration(spark, sf):
-    """What is said at each step, and what is shown, which stays for two steps unless something graver comes."""
-    err = F.sum(F.when(F.col("channel") == "error", F.col("n")).otherwise(0))
-    rules = [(err > 15, 5), (F.sum("n") > 60, 3), (F.count_if(F.col("state") == "STARVED") > 2, 2)]
-    return frames.held_over(frames.narrated(grid(spark, sf), rules), 2)
+    """What is said of each entity's replay at each step, and what is shown, which stays for three steps unless something graver comes."""
+    t = labels.active(telemetry(spark, sf), faults(spark, sf))
+    down, blocked, starved = (F.bool_or(F.col("state") == s) for s in ("DOWN", "BLOCKED", "STARVED"))
+    p = frames.priorities(t, [(F.max("y") == 1, 5), (down, 4), (blocked, 3), (starved, 2)], ("machine",))
+    return narration.narrated(p, F.col("priority"), 3)
+
+
+@query(f"""WITH {TEL}, f AS (SELECT machine, step, '{{"step":' || step || ',"cents":' || cents || '}}' AS tick FROM tel WHERE machine % 3 <> 0 OR step <> 20 UNION ALL SELECT machine, step, '{{"step":' || step || ',"cents":' || cents || '}}' FROM tel WHERE step >= 10 AND step < 15),
+ g AS (SELECT machine, count(DISTINCT step) AS rows, max(step) AS last, CAST(sum(strlen(tick)) AS BIGINT) AS bytes FROM f GROUP BY machine)
+SELECT machine, rows, last, CASE WHEN machine % 3 = 0 AND last > 20 THEN 20 ELSE rows END AS resume, bytes, rows = 60 AS complete, bytes <= 1700 AS budget_ok FROM g""")
+def str_completeness(spark, sf):
+    """Frames of each replay, some lost and some sent again: whether all are there, where to resume, and their bytes against a budget."""
+    t = telemetry(spark, sf)
+    sent = t.filter("machine % 3 <> 0 or step <> 20").unionByName(t.filter("step >= 10 and step < 15"))
+    return frames.completeness(sent.select("machine", "step", F.to_json(F.struct("step", "cents")).alias("tick")), 60, 1700)
+
+
+@query(f"WITH {GRID} SELECT step, CAST(sum(n) AS BIGINT) AS n FROM grid GROUP BY step")
+def src_frames(spark, sf):
+    """The events of a replay written as a stream sends them, and read by the data source in ranges of 300 bytes."""
+    path = storage.shared_folder(spark)
+    g = grid(spark, sf).groupBy("step").agg(F.sum("n").alias("n"))
+    data = F.to_json(F.struct("step", "n"))
+    # a line's end is the second of a frame's
+    frames.server_events(g, "tick", data).select(F.expr("substr(frame, 1, length(frame) - 1)")).write.text(path)
+    frames_source.register(spark)
+    got = spark.read.format("frames").option("path", path).option("range", 300).load().filter("event = 'tick'")
+    return got.select(F.from_json("data", "step long, n long").alias("x")).select("x.*")
 
 
 @query(f"WITH {GRID} SELECT step // 10 AS batch, CAST(sum(n) AS BIGINT) AS n, CAST(greatest(0, sum(n) - 500) AS BIGINT) AS dropped FROM grid GROUP BY 1")

@@ -35,6 +35,14 @@ def str_windows(spark, sf):
     return got.select("event_type", "n", "cents", F.floor(F.unix_timestamp("start") / 864000).cast("long").alias("slot"))
 
 
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 43200000000 AS "end", count(*) AS n FROM s GROUP BY user_id, s""")
+def str_sessions(spark, sf):
+    """Each user's sessions over the stream."""
+    got = replay.drained(replay.sessions(replay.events_stream(spark, sf)), "complete")
+    return got.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
+
+
 @query(f"WITH {SCORES}, g AS (SELECT ep, max(y) AS y FROM scores GROUP BY ep) SELECT ep, CAST((row_number() OVER (PARTITION BY y ORDER BY ep) - 1) % 3 AS BIGINT) AS fold FROM g")
 def ml_grouped_folds(spark, sf):
     return learning.grouped_folds(scores(spark, sf), "ep", "y").select("ep", F.col("fold").cast("long").alias("fold"))

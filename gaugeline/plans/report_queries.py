@@ -235,9 +235,9 @@ def grf_causal_links(spark, sf):
 
 @query()
 def grf_stable_links(spark, sf):
-    """Links that are found in four or more of five groups of entities, each with its own counts by step, whatever their lag."""
-    g = telemetry(spark, sf).groupBy((F.col("machine") % 5).alias("seed"), "state", "step").agg(F.sum("cents").alias("cents"))
-    return causal.stable_edges(causal.lagged_links(g, "state", "step", F.col("cents"), ["RUN", "DOWN", "BLOCKED", "STARVED"], by=("seed",)), "seed", 4, 0.2)
+    """Links that are found in four or more of five stretches of time, whatever their lag."""
+    g = grid(spark, sf).withColumn("seed", F.floor(F.col("step") / F.lit(36)) % 5)
+    return causal.stable_edges(causal.lagged_links(g, "channel", "step", F.col("n"), list(_KINDS), by=("seed",)), "seed", 4, 0.2)
 
 
 @query(f"""WITH {TEL}, f AS (SELECT machine, step, sum(CASE WHEN state = 'DOWN' THEN 1 ELSE 0 END) {OVER}) AS k, row_number() {OVER}) AS n FROM tel WHERE machine % 4 = 0),

@@ -81,8 +81,11 @@ class _Frames:
     def pieces(self, start: dict[str, int], end: dict[str, int]) -> list[Piece]:
         return [Piece(n, at, min(at + self.range, e)) for n, e in sorted(end.items()) for at in range(start.get(n, 0), e, self.range)]
 
-    def read(self, partition: Piece) -> Iterator[tuple]:
-        """The frames that begin in the range: from the first END at or behind its start, but for the file's beginning, to the END of the last."""
+    def read(self, partition: Piece | None) -> Iterator[tuple]:
+        """The frames that begin in the range: from the first END at or behind its start, but for the file's beginning, to the END of the last. Without a whole frame anywhere Spark
+        passes no range."""
+        if partition is None:
+            return
         system, folder = _opened(self.path)
         with system.open_input_file(f"{folder.rstrip('/')}/{partition.name}") as held:
             at = partition.start

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,21 +17,23 @@ def server_events(rows: DataFrame, event: str, data: Column) -> DataFrame:
     return rows.withColumn("frame", F.concat(F.lit(f"event: {event}\ndata: "), data, F.lit("\n\n")))
 
 
-def narrated(cells: DataFrame, rules: list[tuple[Column, int]], step: str = "step") -> DataFrame:
-    """(step, priority): the first rule that holds over a step's cells, else 1."""
+def priorities(cells: DataFrame, rules: list[tuple[Column, int]], keys: tuple[str, ...] = (), step: str = "step") -> DataFrame:
+    """(keys, step, priority): the first rule that holds over a step's cells, else 1."""
     out = F.lit(1)
     for holds, priority in reversed(rules):
         out = F.when(holds, priority).otherwise(out)
-    return cells.groupBy(step).agg(out.alias("priority"))
-
-
-def held_over(priorities: DataFrame, dwell: int, step: str = "step") -> DataFrame:
-    """``priorities`` with shown: the highest priority of the last ``dwell`` steps, so that a line stays that long unless a graver one comes. The
-    steps of one replay are one series."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.lit(0)).orderBy(step).rowsBetween(1 - dwell, 0)
-    return priorities.withColumn("shown", F.max("priority").over(w))
+    return cells.groupBy(*keys, step).agg(out.alias("priority"))
+
+
+def completeness(frames: DataFrame, total: int, budget: int, keys: tuple[str, ...] = ("machine",), step: str = "step", data: str = "tick") -> DataFrame:
+    """(keys, rows, last, resume, bytes, complete, budget_ok) of the frames received of each replay, in any order and however often: how many different steps, the last one, the first one that is missing
+    (where to resume; ``total`` if none is), and all bytes received against a budget."""
+    # steps are numbered from 0, so the first that isn't its own number among them is behind a gap
+    by_step = frames.groupBy(*keys, step).agg(F.sum(F.octet_length(data)).alias("__bytes"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(step)) - 1
+    by_step = by_step.withColumn("__gap", F.when(F.col(step) != place, place))
+    g = by_step.groupBy(*keys).agg(F.count("*").alias("rows"), F.max(step).alias("last"), F.coalesce(F.min("__gap"), F.count("*")).cast("long").alias("resume"), F.sum("__bytes").alias("bytes"))
+    return g.withColumns({"complete": F.col("rows") == total, "budget_ok": F.col("bytes") <= budget})
 
 
 def dropped(cells: DataFrame, batch: Column, budget: int, n: str = "n") -> DataFrame:

@@ -76,4 +76,10 @@ def windowed(stream: DataFrame, size: str = "10 days", late: str = "1 day") -> D
     return w.agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents")).select(F.col("window.start").alias("start"), "event_type", "n", "cents")
 
 
+def sessions(stream: DataFrame, key: str = "user_id", gap: str = "12 hours", late: str = "1 day") -> DataFrame:
+    """(key, start, end, n): runs of a key's events with less than ``gap`` between neighbours; a session ends ``gap`` after its last event. An extension: the telemetry itself has none."""
+    w = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key)
+    return w.agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

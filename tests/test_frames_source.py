@@ -47,3 +47,8 @@ def test_stream_resumes_and_waits_for_whole_frames(spark, tmp_path):
         assert drained() == [s for s, e in zip(starts, starts[1:]) if e <= at]
     (tmp_path / "in" / "a.sse").write_bytes(whole)
     assert drained() == drained() == starts[:-1]
+
+
+def test_an_empty_folder(spark, tmp_path):
+    frames_source.register(spark)
+    assert spark.read.format("frames").option("path", str(tmp_path)).load().count() == 0
