@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.operators import calibrate as cal
-from gaugeline.operators import detect, labels
+from gaugeline.operators import detect, labels, ranked
 from gaugeline.operators import metrics as me
 from gaugeline.operators import sequence as sq
 
@@ -58,7 +58,7 @@ def retention(df: DataFrame, by: str, after: Column, score: str = "score", y: st
 
 def root_or_median(ticks: DataFrame, faults: DataFrame, counter: str, key: str = "machine") -> DataFrame:
     """(key, step, counter): an entity's own counter while its fault is active, else the median of all at that step, cut to a whole number."""
-    m = ticks.groupBy("step").agg(F.floor(F.percentile(counter, F.lit(0.5))).cast("long").alias("__med"))
+    m = ranked.exact_quantiles(ticks, [counter], [0.5], ("step",)).select("step", F.floor(F.get(counter, F.lit(0))).cast("long").alias("__med"))
     d = labels.active(ticks.select(key, "step", counter), faults, (key,)).join(m, "step")
     return d.select(key, "step", F.when(F.col("y") == 1, F.col(counter)).otherwise(F.col("__med")).alias(counter))
 
@@ -98,8 +98,8 @@ def threshold_sweep(df: DataFrame, thresholds: list[float], score: str = "score"
 
 def by_family_threshold(df: DataFrame, own: Column, share: float, family: str, score: str = "score") -> DataFrame:
     """``df`` with dec: at or over the ``share`` quantile of its family where ``own`` holds, else of all rows (one row)."""
-    f = df.filter(own).groupBy(family).agg(F.percentile(score, F.lit(share)).alias("__t"))
-    g = df.agg(F.percentile(score, F.lit(share)).alias("__g"))
+    f = ranked.exact_quantiles(df.filter(own), [score], [share], (family,)).select(family, F.get(score, F.lit(0)).alias("__t"))
+    g = ranked.exact_quantiles(df, [score], [share]).select(F.get(score, F.lit(0)).alias("__g"))
     return df.join(f, family, "left").join(F.broadcast(g), F.lit(True)).withColumn("dec", F.col(score) >= F.coalesce("__t", "__g")).drop("__t", "__g")
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from gaugeline.operators import calibrate as cal
 from gaugeline.operators import metrics as me
+from gaugeline.operators import ranked
 from gaugeline.operators.sequence import TELEMETRY, Series
+from gaugeline.sources.storage import written
 
 # The counter that confirms a structural family, and its least value.
 CONFIRMING = {"delay": ("cycle_lag", 5), "loss": ("stale_run", 1), "breakdown": ("down_run", 1)}
@@ -40,7 +42,7 @@ def at_least(votes: list[Column], k: int) -> Column:
 
 def quantile_arm(clean: DataFrame, score: str, fpr: float = 0.01) -> DataFrame:
     """One row (tau): the upper quantile of clean scores."""
-    return clean.agg(F.percentile(score, F.lit(1 - fpr)).alias("tau"))
+    return ranked.exact_quantiles(clean, [score], [1 - fpr]).select(F.get(score, F.lit(0)).alias("tau"))
 
 
 def three_arms(clean: DataFrame, score: str, fpr: float = 0.01) -> DataFrame:
@@ -48,7 +50,7 @@ def three_arms(clean: DataFrame, score: str, fpr: float = 0.01) -> DataFrame:
     quantile on; where its fit doesn't hold, the quantile stands for it."""
     from gaugeline.operators.mixture import mixture_threshold
 
-    q, u = clean.agg(F.percentile(score, F.array(F.lit(1 - fpr), F.lit(0.95))).alias("q")).first().q or (0.0, 0.0)
+    q, u = ranked.exact_quantiles(clean, [score], [1 - fpr, 0.95]).first()[0] or (0.0, 0.0)
     tail = clean.select((F.round((F.col(score) - u) * 1e6)).cast("long").alias("e")).filter("e > 0")
     n, m, v, top = tail.agg(F.count("*"), F.avg("e"), F.var_samp("e"), F.max("e")).first()
     pot = q
@@ -77,15 +79,20 @@ def soft(df: DataFrame, experts: list[str], y: str = "y", episode: str = "ep", f
         x = F.col(c).cast("double")
         finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
         rows = rows.withColumn(f"__s_{c}", F.when(finite, (x - F.get(f"__q_{c}", F.lit(1))) / iqr(F.col(f"__q_{c}"))).otherwise(0.0)).drop(f"__q_{c}")
+    # each part below reads the rows several times, so they are tables of their own
+    rows = written(rows)
     quiet = rows.filter(clean)
     whole = F.lit(True)
+    mids = ranked.exact_quantiles(quiet, [f"__s_{c}" for c in experts], [0.25, 0.5, 0.75])
+    mids = mids.select(*[x for c in experts for x in (F.get(f"__s_{c}", F.lit(1)).alias(f"__m_{c}"), (F.get(f"__s_{c}", F.lit(2)) - F.get(f"__s_{c}", F.lit(0))).alias(f"__i_{c}"))])
+    rows = rows.join(F.broadcast(mids), whole)  # one row
     for c in experts:
         tau = arm(quiet, f"__s_{c}").select(F.col("tau").alias(f"__t_{c}"))
-        mid = quiet.agg(three(F.col(f"__s_{c}")).alias("q")).select(F.get("q", F.lit(1)).alias(f"__m_{c}"), (F.get("q", F.lit(2)) - F.get("q", F.lit(0))).alias(f"__i_{c}"))
-        rows = rows.join(F.broadcast(tau), whole).join(F.broadcast(mid), whole)  # one row each
+        rows = rows.join(F.broadcast(tau), whole)  # one row
         rows = rows.withColumn(f"__d_{c}", F.col(f"__s_{c}") > F.col(f"__t_{c}"))
         width = F.when(F.col(f"__i_{c}") == 0, 1.0).otherwise(F.col(f"__i_{c}"))
         rows = rows.withColumn(f"__z_{c}", (F.col(f"__s_{c}") - F.col(f"__m_{c}")) / (width + 1e-9)).drop(f"__t_{c}", f"__m_{c}", f"__i_{c}")
+    rows = written(rows)
     hit = F.col(y) == 1
     sums = [F.count_if(hit).alias("p"), F.count_if(~hit).alias("n")]
     for c in experts:
@@ -97,7 +104,7 @@ def soft(df: DataFrame, experts: list[str], y: str = "y", episode: str = "ep", f
     weights = [F.greatest(F.lit(0.0), shrunk(informed("", c), informed("all_", c), F.col("p") + F.col("n"))).alias(f"__w_{c}") for c in experts]
     rows = rows.join(fams.select(family, *weights), family)
     rows = rows.withColumn("fused_score", sum(F.col(f"__w_{c}") * F.col(f"__z_{c}") for c in experts))
-    rows = rows.select(*df.columns, "fused_score")
+    rows = written(rows.select(*df.columns, "fused_score"))
     rows = rows.join(cal.recall_floor(rows, floor, (family,), "fused_score", y), family)
     rows = rows.withColumn("__dec", F.col("fused_score") >= F.col("thr"))
     c = me.counts(F.col("__dec"), hit)

@@ -17,7 +17,7 @@ from gaugeline.operators import calibrate as cal
 from gaugeline.operators import learning
 from gaugeline.operators import metrics as me
 from gaugeline.operators.contracts import ContractError
-from gaugeline.operators.ranked import as_number, numbered
+from gaugeline.operators.ranked import as_number, exact_quantiles, numbered
 from gaugeline.sources.storage import read_text, write_text, written
 
 ARTIFACT_VERSION = 1
@@ -31,8 +31,7 @@ def assembled(df: DataFrame, features: list[str], out: str = "__x") -> DataFrame
 
 def clean_norm(df: DataFrame, features: list[str], y: str) -> dict[str, tuple[float, float]]:
     """The median and interquartile range (1e-9 at least) of each feature on clean rows."""
-    three = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
-    row = df.filter(F.col(y) == 0).agg(*[F.percentile(f, three).alias(f) for f in features]).first()
+    row = exact_quantiles(df.filter(F.col(y) == 0), features, [0.25, 0.5, 0.75]).first()
     return {f: (row[f][1], max(row[f][2] - row[f][0], 1e-9)) if row[f] else (0.0, 1.0) for f in features}
 
 

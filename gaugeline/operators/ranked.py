@@ -9,16 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Stretches of an order, for each key.
+#: Stretches of an order, for each key. An order of all rows has as many as Spark has shuffle partitions, if those are more.
 PARTS = 64
 
 
-def with_running_sums(df: DataFrame, order: str, sums: dict[str, str], keys: tuple[str, ...] = (), descending: bool = False, parts: int = PARTS) -> DataFrame:
+def _parts(df: DataFrame, keys: tuple[str, ...]) -> int:
+    held = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return PARTS if keys or not held.isdigit() else max(PARTS, int(held))
+
+
+def with_running_sums(df: DataFrame, order: str, sums: dict[str, str], keys: tuple[str, ...] = (), descending: bool = False, parts: int | None = None) -> DataFrame:
     """``df`` with a column for each of ``sums`` {name: summed column}: the sum up to and with the row, and <name>_all: that of all
     rows of the key. ``order`` is a number and differs between the rows of a key."""
     by = list(keys) or ["__all"]
+    parts = parts or _parts(df, keys)
     df = df if keys else df.withColumn("__all", F.lit(0))
-    cuts = df.groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit((k + 1) / parts) for k in range(parts - 1)]), F.lit(1000)).alias("__cuts"))
+    cuts = df.groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit((k + 1) / parts) for k in range(parts - 1)]), F.lit(max(1000, 10 * parts))).alias("__cuts"))
     df = df.join(cuts if keys else F.broadcast(cuts), by)  # without keys it is one row
     part = F.size(F.filter("__cuts", lambda x: x < F.col(order)))
     df = df.withColumn("__part", parts - part if descending else part).drop("__cuts")
@@ -61,3 +67,15 @@ def as_number(df: DataFrame, column: str) -> Column:
     """The column if it is a number, else a hash of it: an order for ``with_running_sums``."""
     kind = dict(df.dtypes)[column]
     return F.col(column) if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal") else F.xxhash64(column)
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row (keys, <column>: array<double> of its ``shares`` quantiles), for each key or for all rows; null where a key has no value of a column, and one row of nulls for no
+    rows at all without keys. The values of all columns are counted side by side, and no task sees all of any."""
+    by = (*keys, "__c")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns]))
+    long = df.select(*keys, each.alias("__x")).select(*keys, F.col("__x.c").alias("__c"), F.col("__x.v").alias("__v")).filter("__v is not null")
+    q = quantiles(long.groupBy(*by, "__v").agg(F.count("*").alias("__n")), "__v", "__n", shares, by)
+    of = lambda c: F.array(*[F.max(F.when((F.col("__c") == c) & (F.col("nth") == k), F.col("q"))) for k in range(len(shares))])
+    found = q.groupBy(*keys).agg(*[of(c).alias(c) for c in columns], *[F.count_if(F.col("__c") == c).alias(f"__n_{c}") for c in columns])
+    return found.select(*keys, *[F.when(F.col(f"__n_{c}") > 0, F.col(c)).alias(c) for c in columns])
