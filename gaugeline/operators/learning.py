@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.operators.ranked import as_number, numbered
+from gaugeline.operators.ranked import as_number, exact_quantiles, numbered
 from gaugeline.sources.storage import written
 
 
@@ -47,6 +47,84 @@ def out_of_fold(df: DataFrame, features: list[str], y: str, group: str, k: int =
     return out
 
 
+def fold_norm(train: DataFrame, features: list[str], entity: str) -> DataFrame:
+    """(entity, <feature>: array of median and interquartile range) of the training rows of each entity, and of all of them with a null entity. A range of 0 counts as 1."""
+    own = exact_quantiles(train.filter(F.col(entity).isNotNull()), features, [0.25, 0.5, 0.75], (entity,))
+    both = own.unionByName(exact_quantiles(train, features, [0.25, 0.5, 0.75]).withColumn(entity, F.lit(None).cast(dict(train.dtypes)[entity])))
+    wide = lambda f: F.get(f, F.lit(2)) - F.get(f, F.lit(0))
+    return both.select(entity, *[F.when(F.col(f).isNotNull(), F.array(F.get(f, F.lit(1)), F.when(wide(f) == 0, 1.0).otherwise(wide(f)))).alias(f) for f in features])
+
+
+def fold_normed(df: DataFrame, norm: DataFrame, features: list[str], entity: str) -> DataFrame:
+    """``df`` with the features less the median of their entity, in its interquartile ranges; those of an entity that ``norm`` doesn't know by those of all."""
+    own = norm.filter(F.col(entity).isNotNull()).select(F.col(entity), *[F.col(f).alias(f"__o_{f}") for f in features])
+    whole = norm.filter(F.col(entity).isNull()).select(*[F.col(f).alias(f"__a_{f}") for f in features])  # one row
+    out = df.join(own, entity, "left").join(F.broadcast(whole), F.lit(True))
+    of = lambda f, k: F.coalesce(F.get(f"__o_{f}", F.lit(k)), F.get(f"__a_{f}", F.lit(k)))
+    return out.withColumns({f: (F.col(f).cast("double") - of(f, 0)) / of(f, 1) for f in features}).select(*df.columns)
+
+
+def logistic_expert(focal: bool = True):
+    """Balanced logistic regression; with ``focal`` fitted a second time, rows weighted up the less the first fit gave their class."""
+
+    def score(train: DataFrame, test: DataFrame, features: list[str], y: str, name: str) -> DataFrame:
+        assemble = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep")
+        x = written(assemble.transform(balanced(train, y)).select("__x", F.col(y).alias("__y"), "weight"))
+        fit = lambda rows: LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="weight", maxIter=50, regParam=0.01).fit(rows)
+        model = fit(x)
+        if focal:
+            p = vector_to_array("probability")
+            right = F.when(F.col("__y") == 1, p[1]).otherwise(p[0])
+            model = fit(model.transform(x).select("__x", "__y", (F.col("weight") * ((1 - right) * (1 - right) + 0.5)).alias("weight")))
+        return model.transform(assemble.transform(test)).withColumn(name, vector_to_array("probability")[1]).select(*test.columns, name)
+
+    return score
+
+
+def _beside(train: DataFrame, test: DataFrame, features: list[str], y: str) -> DataFrame:
+    """(features, __clean, __row): clean training rows, and test rows with all that they have."""
+    clean = train.filter(F.col(y) == 0).select(*features, F.lit(True).alias("__clean"))
+    return clean.unionByName(test.select(*features, F.lit(False).alias("__clean"), F.struct(*test.columns).alias("__row")), allowMissingColumns=True)
+
+
+def distance_expert(kind: str, k: int = 5, k_density: int = 20):
+    """The distance to the ``k``-th clean training row (knn), or how thin its surroundings are (lof)."""
+    from gaugeline.operators import neighbours
+
+    def score(train: DataFrame, test: DataFrame, features: list[str], y: str, name: str) -> DataFrame:
+        got = neighbours.scores(_beside(train, test, features, y), features, F.col("__clean"), k, k_density).filter(~F.col("__clean"))
+        return got.select("__row.*", F.col(kind).alias(name))
+
+    return score
+
+
+def component_expert(share: float = 0.9):
+    """The distance from the components that explain ``share`` of the variance of clean training rows."""
+
+    def score(train: DataFrame, test: DataFrame, features: list[str], y: str, name: str) -> DataFrame:
+        got = pca_error(_beside(train, test, features, y), F.array(*[F.col(f).cast("double") for f in features]), share, F.col("__clean")).filter(~F.col("__clean"))
+        return got.select("__row.*", F.col("error").alias(name))
+
+    return score
+
+
+def out_of_fold_experts(df: DataFrame, features: list[str], experts: dict, y: str, group: str, entity: str, k: int = 3) -> DataFrame:
+    """``df`` with fold and a score of each of ``experts`` {name: function (train, test, features, y, name) that adds a column to test}: by what was fitted on the other folds alone. Groups aren't
+    split between folds, and features are normalised by the training rows of each fold, for each ``entity``. The features themselves stay as they are. The loop is over folds."""
+    rows = written(df.join(grouped_folds(df, group, y, k), group))
+    kept = [f"__f_{f}" for f in features]
+    rows = rows.withColumns({h: F.col(f) for h, f in zip(kept, features, strict=True)})
+    out = None
+    for fold in range(k):
+        train, test = rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold)
+        norm = written(fold_norm(train, features, entity))
+        train, test = written(fold_normed(train, norm, features, entity)), written(fold_normed(test, norm, features, entity))
+        for name, expert in experts.items():
+            test = written(expert(train, test, features, y, name))
+        out = test if out is None else out.unionByName(test)
+    return out.withColumns({f: F.col(h) for h, f in zip(kept, features, strict=True)}).drop(*kept)
+
+
 def pca_error(df: DataFrame, vector: Column, share: float = 0.9, clean: Column | None = None) -> DataFrame:
     """Adds error: the squared distance of a vector from its projection on the first components about the mean, as many as together explain more than ``share``
     of the variance. Mean and components are those of the ``clean`` rows, or of all. Null vectors have no error; without a row to fit on none has."""

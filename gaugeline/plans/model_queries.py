@@ -82,6 +82,15 @@ def ml_oversample(spark, sf):
     return models.oversampled(s, "y", 3).groupBy("fam").agg(F.count("*").alias("n")).join(models.oversampled(s, "y").groupBy("fam").agg(F.count("*").alias("plain")), "fam")
 
 
+@query()
+def ml_oof_experts(spark, sf):
+    """Out-of-fold scores of all experts, normalised by line within the training folds."""
+    w = windows(spark, sf).drop("family").withColumn("line", F.col("machine") % 4)
+    experts = {"logistic": learning.logistic_expert(), "knn": learning.distance_expert("knn"), "lof": learning.distance_expert("lof"), "pca": learning.component_expert()}
+    got = learning.out_of_fold_experts(w, FEATURES, experts, "y", "machine", "line")
+    return got.select("machine", "start", "fold", "y", *[F.round(c, 4).alias(c) for c in experts])
+
+
 @query()
 def ml_oof_logistic(spark, sf):
     """Out-of-fold window scores by balanced logistic regression."""
