@@ -22,6 +22,43 @@ def scored_episodes(ticks: DataFrame, faults: DataFrame, good: Column, since: in
     return d.groupBy(key).agg(c["tp"].alias("tp"), c["fp"].alias("fp"), c["fn"].alias("fn"), F.min(F.when(F.col("dec") & F.col("y"), F.col("step"))).alias("first_hit"))
 
 
+ARMS = ("quantile", "structural", "ml", "cusum")
+
+
+def full_scores(arms: DataFrame, faults: DataFrame, since: int, noisy: Column, late: int = 5, k: int = 3, before: int = 5, episode: str = "ep", key: str = "machine") -> DataFrame:
+    """(episode, class, origin, tp, fp, fn, hit, top, latency, and a hit of each of ARMS) of every episode of ``arms`` (episode, key, step, score, and a boolean for each of ARMS), with at most one of
+    ``faults`` (episode, origin, class, t0, t1) each.
+
+    An episode's decision at a step is that of the first three arms, of any entity, that has k alarms among itself and the ``before`` steps before it, or the cusum arm, which has a memory of its own. It is
+    held against the fault's steps from ``since`` on. A hit may be up to ``late`` steps after the fault: of quantile and structural at its origin, of the others anywhere. top is the entity
+    with the highest score during the fault, or the runner-up of a noisy one (``noisy``, of the entity); latency its first positive score from t0 on, 999 without one."""
+    of = [F.bool_or(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in ARMS]
+    steps = arms.groupBy(episode, "step").agg(*of)
+    steps = sq.confirmed(steps, F.col("quantile") | F.col("structural"), F.col("ml"), k, before, sq.Series(keys=(episode,)), out="__c")
+    f = faults.select(episode, "origin", "class", "t0", "t1")
+    near = (F.col("step") >= F.col("t0")) & (F.col("step") < F.col("t1") + late)
+    dec, y = F.col("__c") | F.col("cusum"), (F.col("step") >= F.col("t0")) & (F.col("step") < F.col("t1"))
+    steps = steps.join(f, episode, "left").withColumns({"__d": dec, "__y": F.coalesce(y, F.lit(False)), "__s": F.col("step") >= since, "__near": F.coalesce(near, F.lit(False))})
+    c = me.counts(F.col("__d") & F.col("__s"), F.col("__y") & F.col("__s"))
+    any_ = lambda x, name: F.coalesce(F.bool_or(x & F.col("__near")), F.lit(False)).alias(name)
+    whole = steps.groupBy(episode, "class", "origin").agg(c["tp"].alias("tp"), c["fp"].alias("fp"), F.count_if(~F.col("__d") & F.col("__y") & F.col("__s")).alias("fn"), any_(F.col("__d"), "hit"), any_(F.col("ml"), "ml"), any_(F.col("cusum"), "cusum"))
+    here = arms.join(f, episode).filter(near)
+    own = here.filter(F.col(key) == F.col("origin")).groupBy(episode).agg(*[F.bool_or(F.coalesce(F.col(a), F.lit(False))).alias(a) for a in ("quantile", "structural")])
+    each = here.groupBy(episode, key).agg(F.max(F.when(y, F.col("score"))).alias("peak"), F.min(F.when(F.col("score") > 0, F.col("step") - F.col("t0"))).alias("__first"))
+    top = detect.blamed(each.filter("peak is not null").select(episode, key, "peak"), (episode,), key, noisy).select(episode, F.col(key).alias("top"))
+    top = top.join(each.select(episode, F.col(key).alias("top"), "__first"), [episode, "top"])
+    out = whole.join(own, episode, "left").join(top, episode, "left")
+    false = lambda x: F.coalesce(F.col(x), F.lit(False)).alias(x)
+    return out.select(episode, "class", "origin", "tp", "fp", "fn", "hit", "top", F.when(F.col("class").isNotNull(), F.coalesce("__first", F.lit(999))).alias("latency"), *map(false, ARMS))
+
+
+def full_battery(scores: DataFrame, late: int = 5, by: str = "class") -> DataFrame:
+    """(by, n, hits, ac1, tp, fp, fn, and how many hits each of ARMS has) of ``full_scores``; ac1: the right entity named in no more than ``late`` steps. Episodes without a fault are those of a null class, whose fp are
+    the clean false alarms."""
+    named = (F.col("top") == F.col("origin")) & (F.col("latency") <= late)
+    return scores.groupBy(by).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.count_if(named).alias("ac1"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], *[F.count_if(a).alias(a) for a in ARMS])
+
+
 def battery(episodes: DataFrame, faults: DataFrame, by: str = "class", key: str = "machine") -> DataFrame:
     """(by, n, hits, tp, fp, fn, latency) of scored episodes by their fault's class; latency is the mean over hits."""
     e = episodes.join(faults.select(key, by, "t0"), key, "left").groupBy(by)

@@ -264,6 +264,14 @@ def str_ticks(spark, sf):
     return frames.ticks(grid(spark, sf))
 
 
+@query(f"""WITH {TEL}, c AS (SELECT machine // 26 AS plant, machine % 26 AS idx, step, state, tput FROM tel)
+SELECT plant, step, '{{"step":' || step || ',"states":["' || string_agg(state, '","' ORDER BY idx) || '"],"throughput":[' || string_agg(CAST(tput AS VARCHAR), ',' ORDER BY idx) || ']}}' AS tick FROM c GROUP BY plant, step""")
+def str_plant_ticks(spark, sf):
+    """The ticks of each plant of the fleet, its machines in the order of the roster."""
+    c = telemetry(spark, sf).withColumns({"plant": F.floor(F.col("machine") / F.lit(26)), "idx": F.col("machine") % 26})
+    return frames.ordered_ticks(c, {"states": "state", "throughput": "tput"}, ("plant",), "idx")
+
+
 @query(f"WITH {GRID} SELECT step, 'event: tick' || chr(10) || 'data: ' || CAST(sum(n) AS BIGINT) || chr(10) || chr(10) AS frame FROM grid WHERE step >= 90 GROUP BY step")
 def str_sse_frames(spark, sf):
     g = grid(spark, sf).filter("step >= 90").groupBy("step").agg(F.sum("n").alias("n"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeline.functions.dims import EDGES, MACHINES, edges, machines, sql_values
-from gaugeline.operators import causal, episodes, flow, labels, validate
+from gaugeline.operators import calibrate as cal
+from gaugeline.operators import causal, detect, episodes, flow, labels, validate
 from gaugeline.operators import metrics as me
 from gaugeline.operators import sequence as sq
 from gaugeline.plans.base import query
@@ -26,6 +27,54 @@ def episode_scores(spark, sf):
     return episodes.scored_episodes(telemetry(spark, sf), faults(spark, sf), good(), CAL_END)
 
 
+_ROWS = "ROWS UNBOUNDED PRECEDING)"
+FULL = f"""{TEL}, {FAULTS}, {FIT}, {SCORED}, ga AS (SELECT *, sum(tput) {OVER} {_ROWS} AS gt, CASE WHEN state = 'DOWN' AND lag(state) {OVER}) = 'DOWN' THEN 0 ELSE 1 END AS nw, CASE WHEN lag(cents // 10000) {OVER}) = cents // 10000 THEN 0 ELSE 1 END AS sw FROM al),
+ gb AS (SELECT *, sum(nw) {OVER} {_ROWS} AS di, sum(sw) {OVER} {_ROWS} AS si FROM ga),
+ gc AS (SELECT *, row_number() OVER (PARTITION BY machine, gt ORDER BY step) - CASE WHEN gt = 0 THEN 0 ELSE 1 END AS lag_, CASE WHEN state = 'DOWN' THEN row_number() OVER (PARTITION BY machine, di ORDER BY step) ELSE 0 END AS dn, row_number() OVER (PARTITION BY machine, si ORDER BY step) - 1 AS st FROM gb),
+ cu AS (SELECT *, sum(CASE WHEN state = 'DOWN' AND cents > 10000 THEN CAST(ln(CAST(0.25 AS DOUBLE) * 402) AS DOUBLE) ELSE CAST(ln(CAST(0.75 AS DOUBLE) / (1 - CAST(1 AS DOUBLE) / 402)) AS DOUBLE) END) {OVER} {_ROWS} AS c FROM gc),
+ arms AS (SELECT machine // 5 AS ep, machine, step, score, alarm AS quantile, (lag_ >= 10 AND state = 'RUN') OR st >= 6 OR (lag_ >= 5 AND st >= 1) OR dn >= 3 AS structural, cents > 30000 AS ml, c - least(0, min(c) {OVER} {_ROWS}) >= 3 AS cusum FROM cu),
+ ff AS (SELECT machine // 5 AS ep, min(machine) AS origin, arg_min(class, machine) AS class, arg_min(t0, machine) AS t0, arg_min(t1, machine) AS t1 FROM faults WHERE machine // 5 % 4 <> 0 GROUP BY 1),
+ es AS (SELECT ep, step, bool_or(quantile) AS quantile, bool_or(structural) AS structural, bool_or(ml) AS ml, bool_or(cusum) AS cusum FROM arms GROUP BY 1, 2),
+ ed AS (SELECT *, (quantile OR structural OR ml) AND sum(CAST(quantile OR structural OR ml AS INT)) OVER (PARTITION BY ep ORDER BY step ROWS 5 PRECEDING) >= 3 OR cusum AS d FROM es),
+ ej AS (SELECT ed.*, class, origin, coalesce(step >= t0 AND step < t1, false) AS y, coalesce(step >= t0 AND step < t1 + 5, false) AS near FROM ed LEFT JOIN ff ON ff.ep = ed.ep),
+ ew AS (SELECT ep, class, origin, count(*) FILTER (WHERE d AND y AND step >= {CAL_END}) AS tp, count(*) FILTER (WHERE d AND NOT y AND step >= {CAL_END}) AS fp, count(*) FILTER (WHERE NOT d AND y AND step >= {CAL_END}) AS fn, bool_or(d AND near) AS hit, bool_or(ml AND near) AS ml, bool_or(cusum AND near) AS cusum FROM ej GROUP BY 1, 2, 3),
+ eh AS (SELECT a.*, origin, t0, t1 FROM arms a JOIN ff ON ff.ep = a.ep AND step >= t0 AND step < t1 + 5),
+ eo AS (SELECT ep, bool_or(quantile) AS quantile, bool_or(structural) AS structural FROM eh WHERE machine = origin GROUP BY 1),
+ ep AS (SELECT ep, machine, max(score) FILTER (WHERE step < t1) AS peak, min(step - t0) FILTER (WHERE score > 0) AS first FROM eh GROUP BY 1, 2),
+ er AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY peak DESC, machine) AS rk FROM ep WHERE peak IS NOT NULL),
+ et AS (SELECT a.ep, CASE WHEN a.machine % 3 = 0 AND b.peak > 0 AND a.peak < 2 * b.peak THEN b.machine ELSE a.machine END AS top FROM (SELECT * FROM er WHERE rk = 1) a LEFT JOIN (SELECT * FROM er WHERE rk = 2) b ON b.ep = a.ep),
+ full_ AS (SELECT ew.ep, class, origin, tp, fp, fn, hit, et.top, CASE WHEN class IS NOT NULL THEN coalesce(ep.first, 999) END AS latency, coalesce(quantile, false) AS quantile, coalesce(structural, false) AS structural, ml, cusum
+  FROM ew LEFT JOIN eo ON eo.ep = ew.ep LEFT JOIN et ON et.ep = ew.ep LEFT JOIN ep ON ep.ep = et.ep AND ep.machine = et.top)"""
+
+
+def _full(spark, sf):
+    t = telemetry(spark, sf)
+    d = detect.exceedance(t, cal.tukey_fit(t, good(), ("machine",)), F.col("state") == "DOWN", ("machine",)).withColumn("v", F.expr("cents div 10000"))
+    d = sq.since(sq.run_while(sq.repeats(d, "v"), F.col("state") == "DOWN"), F.col("tput") > 0)
+    gates = detect.structural_gates(F.col("tputlag"), F.col("stale"), F.col("downrun"), F.col("state") == "RUN")
+    gate = F.lit(False)
+    for g in gates.values():
+        gate = gate | g
+    d = d.withColumns({"quantile": F.col("alarm"), "structural": gate, "ml": F.col("cents") > 30000}).drop("alarm")
+    d = sq.bernoulli_cusum(d, (F.col("state") == "DOWN") & (F.col("cents") > 10000), 1 / 402, 0.25, 3.0).withColumn("cusum", F.col("alarm"))
+    arms = d.select(F.floor(F.col("machine") / F.lit(5)).alias("ep"), "machine", "step", "score", *episodes.ARMS)
+    f = faults(spark, sf).withColumn("ep", F.floor(F.col("machine") / F.lit(5))).filter("ep % 4 <> 0")
+    f = f.groupBy("ep").agg(F.min(F.struct(F.col("machine").alias("origin"), "class", "t0", "t1")).alias("x")).select("ep", "x.*")
+    return episodes.full_scores(arms, f, CAL_END, F.col("machine") % 3 == 0)
+
+
+@query(f"WITH {FULL} SELECT * FROM full_")
+def det_full_scores(spark, sf):
+    """Episodes of five entities with one fault at most: the decision of all arms, the entity to blame, and what each arm saw."""
+    return _full(spark, sf)
+
+
+@query(f"WITH {FULL} SELECT class, count(*) AS n, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE top = origin AND latency <= 5) AS ac1, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, count(*) FILTER (WHERE quantile) AS quantile, count(*) FILTER (WHERE structural) AS structural, count(*) FILTER (WHERE ml) AS ml, count(*) FILTER (WHERE cusum) AS cusum FROM full_ GROUP BY class")
+def det_full_battery(spark, sf):
+    """The same by class: hits, the right entity named in time, errors, and hits of each arm; clean episodes have no class."""
+    return episodes.full_battery(_full(spark, sf))
+
+
 @query(f"WITH {EPISODE} SELECT machine, tp, fp, fn, first_hit, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM e")
 def det_episode_score(spark, sf):
     return episode_scores(spark, sf).withColumn("f1", F.round(me.f1(F.col("tp"), F.col("fp"), F.col("fn")), 6))
