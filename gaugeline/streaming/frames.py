@@ -15,7 +15,8 @@ def ticks(cells: DataFrame, value: str = "n", channel: str = "channel", step: st
 def ordered_ticks(cells: DataFrame, values: dict[str, str], keys: tuple[str, ...], order: str, step: str = "step") -> DataFrame:
     """(keys, step, tick): one JSON object a step of each key, with an array of each of ``values`` {name: column} in the order of the machines' index ``order``, whatever order they come in."""
     g = cells.groupBy(*keys, step).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), *[F.col(c).alias(n) for n, c in values.items()]))).alias("x"))
-    return g.select(*keys, step, F.to_json(F.struct(step, *[F.transform("x", lambda r, n=n: r[n]).alias(n) for n in values])).alias("tick"))
+    of = lambda n: F.transform("x", lambda r: r[n]).alias(n)
+    return g.select(*keys, step, F.to_json(F.struct(step, *map(of, values))).alias("tick"))
 
 
 def server_events(rows: DataFrame, event: str, data: Column) -> DataFrame:
