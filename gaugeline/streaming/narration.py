@@ -24,7 +24,8 @@ def narrated(df: DataFrame, priority: Column, dwell: int, s: Series = TELEMETRY)
     """(keys, order, priority, shown): of each replay (keys) the priority of the line that is on show: it is replaced by a graver one at once, by any when it has been there for ``dwell``
     steps. Series are dealt out and sorted by Spark, and a task carries two numbers over its batches. A null priority is 0."""
     kinds = dict(df.dtypes)
-    columns, named = [*s.keys, s.order], list(s.keys)
+    # the tasks get plain values, not this library
+    columns, named, order = [*s.keys, s.order], list(s.keys), s.order
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in s.keys], f"`{s.order}` bigint, priority int, shown int"])
 
     def fold(batches: Iterator) -> Iterator:
@@ -32,7 +33,7 @@ def narrated(df: DataFrame, priority: Column, dwell: int, s: Series = TELEMETRY)
         for batch in batches:
             keys = list(zip(*[batch[c] for c in named], strict=True))
             out = []
-            for k, at, p in zip(keys, batch[s.order].tolist(), batch["priority"].tolist(), strict=True):
+            for k, at, p in zip(keys, batch[order].tolist(), batch["priority"].tolist(), strict=True):
                 held = _shown(held if k == entity else None, at, p, dwell)
                 entity = k
                 out.append(held[0])
