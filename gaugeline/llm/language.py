@@ -206,13 +206,14 @@ def train(docs: DataFrame, most: int = MOST_A_LANGUAGE) -> LanguageModel:
 
 def predicted(text: Column, model: LanguageModel, spark) -> Column:
     """struct(lang_pred, score, rejected)"""
-    sent = spark.sparkContext.broadcast(model)
+    # plain values: executors needn't have this library
+    sent = spark.sparkContext.broadcast((model.languages, model.embedding, model.weight, model.bias, model.temperature, model.least))
 
     def of(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        m = sent.value
+        m = LanguageModel(*sent.value)
         for texts in batches:
             langs, scores, out = [], [], []
             for t in texts:
