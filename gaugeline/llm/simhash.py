@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm import minhash
+from gaugeline.llm import covering
 from gaugeline.llm.common import broadcast_up_to, given_back, set_apart, written
 from gaugeline.llm.components import components
 
@@ -128,17 +128,17 @@ def hex_of(fp: Column) -> Column:
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those whose text is like an earlier one's, by id: linked transitively by
-    shingles of five words (minhash.similar). Of equal texts the one with the smallest id stays, of equal rows one;
+    shingles of five words (covering.similar). Of equal texts the one with the smallest id stays, of equal rows one;
     rows with one id and different texts are different. Only ids and hashes are shuffled: those to drop are
     broadcast if there are few, and rows that occur twice are handled apart."""
     docs, own = set_apart(docs, ("doc_id", "text"))
-    rows, edges = minhash.similar(docs)
+    rows, edges = covering.similar(docs)
     key = ["__id", "__h"]
     copies = components(edges).filter("node <> root").select(F.col("node.h").alias("__h")).distinct()
     # a table of its own, so that a very large group's share of the join can be split
     least = written(rows.groupBy("__h").agg(F.min("__id").alias("least"), F.count("*").alias("n")).filter("n > 1"))
     dropped = rows.join(least, "__h").filter("__id > least").select(*key).unionByName(rows.join(copies, "__h").select(*key)).distinct()
-    docs = minhash.keyed(docs)
+    docs = covering.keyed(docs)
     kept = docs.join(broadcast_up_to(written(dropped), MAX_BROADCAST_IDS), key, "left_anti")
     twice = rows.groupBy(*key).count().filter("count > 1").select(*key)
     if not twice.isEmpty():
