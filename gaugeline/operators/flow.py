@@ -113,8 +113,9 @@ def utilisation(df: DataFrame, by: str, member: str) -> DataFrame:
 
 
 def noise_floor(df: DataFrame, by: tuple[str, ...], cents: str = "cents") -> DataFrame:
-    """(by, noise): the population deviation of each channel, from integer cents."""
-    n, x, xx = F.count("*"), F.sum(cents), F.sum(F.col(cents) * F.col(cents))
+    """(by, noise): the population deviation of each channel, from integer cents. Sums are of 38 digits: n times the squares of some million rows is beyond a long."""
+    v = F.col(cents).cast("decimal(20,0)")
+    n, x, xx = F.count("*").cast("decimal(20,0)"), F.sum(v), F.sum(v * v)
     return df.groupBy(*by).agg((F.sqrt((n * xx - x * x).cast("double")) / n / 100).alias("noise"))
 
 
