@@ -98,6 +98,17 @@ def distance_expert(kind: str, k: int = 5, k_density: int = 20):
     return score
 
 
+def distance_experts(k: int = 5, k_density: int = 20):
+    """Both of them from one search, for two names: first knn, then lof."""
+    from gaugeline.operators import neighbours
+
+    def score(train: DataFrame, test: DataFrame, features: list[str], y: str, names: tuple[str, str]) -> DataFrame:
+        got = neighbours.scores(_beside(train, test, features, y), features, F.col("__clean"), k, k_density).filter(~F.col("__clean"))
+        return got.select("__row.*", F.col("knn").alias(names[0]), F.col("lof").alias(names[1]))
+
+    return score
+
+
 def component_expert(share: float = 0.9):
     """The distance from the components that explain ``share`` of the variance of clean training rows."""
 
@@ -109,7 +120,7 @@ def component_expert(share: float = 0.9):
 
 
 def out_of_fold_experts(df: DataFrame, features: list[str], experts: dict, y: str, group: str, entity: str, k: int = 3) -> DataFrame:
-    """``df`` with fold and a score of each of ``experts`` {name: function (train, test, features, y, name) that adds a column to test}: by what was fitted on the other folds alone. Groups aren't
+    """``df`` with fold and a score of each of ``experts`` {name: function (train, test, features, y, name) that adds a column to test}, or several for a tuple of names: by what was fitted on the other folds alone. Groups aren't
     split between folds, and features are normalised by the training rows of each fold, for each ``entity``. The features themselves stay as they are. The loop is over folds."""
     rows = written(df.join(grouped_folds(df, group, y, k), group))
     kept = [f"__f_{f}" for f in features]

@@ -86,9 +86,9 @@ def ml_oversample(spark, sf):
 def ml_oof_experts(spark, sf):
     """Out-of-fold scores of all experts, normalised by line within the training folds."""
     w = windows(spark, sf).drop("family").withColumn("line", F.col("machine") % 4)
-    experts = {"logistic": learning.logistic_expert(), "knn": learning.distance_expert("knn"), "lof": learning.distance_expert("lof"), "pca": learning.component_expert()}
+    experts = {"logistic": learning.logistic_expert(), ("knn", "lof"): learning.distance_experts(), "pca": learning.component_expert()}
     got = learning.out_of_fold_experts(w, FEATURES, experts, "y", "machine", "line")
-    return got.select("machine", "start", "fold", "y", *[F.round(c, 4).alias(c) for c in experts])
+    return got.select("machine", "start", "fold", "y", *[F.round(c, 4).alias(c) for c in ("logistic", "knn", "lof", "pca")])
 
 
 @query()

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeline.operators import learning, neighbours
+from gaugeline.plans import model_queries
 from gaugeline.sources.storage import written
 
 
@@ -74,3 +75,21 @@ def test_centred_components(spark):
     want = ((away - away @ vt[:k].T @ vt[:k]) ** 2).sum(1)
     assert k <= 2 and all(got[i] == pytest.approx(want[i], abs=1e-7) for i in range(200)) and got[200] is None
     assert want[199] > 20 * want[:199].max()
+
+
+def test_few_cells_are_asked(spark, monkeypatch):
+    """The rows of the tables that the search writes: each vector, its answer in its own cell, and one for each other cell that it asks."""
+    rng = np.random.default_rng(5)
+    df = written(spark.createDataFrame([(i, list(map(float, v)), 1) for i, v in enumerate(rng.normal(0, 1, (4000, 5)))], "id long, v array<double>, n long"))
+    rows = []
+    monkeypatch.setattr(neighbours, "written", lambda d: (rows.append((w := written(d)).count()), w)[1])
+    assert neighbours.nearest(df, 21, 5, 1024).count() == 21 * 4000
+    assert sum(rows) < 10 * 4000
+
+
+def test_one_search_for_both_scores(spark, sf, monkeypatch):
+    """knn and lof of a fold come from the same neighbours."""
+    folds, found = [], learning.out_of_fold_experts
+    monkeypatch.setattr(neighbours, "scores", lambda df, *_: (folds.append(1), df.withColumns({"knn": F.lit(1.0), "lof": F.lit(2.0)}))[1])
+    monkeypatch.setattr(learning, "out_of_fold_experts", lambda w, features, experts, *a: found(w, features, {n: e for n, e in experts.items() if n not in ("logistic", "pca")}, *a).withColumns({n: F.lit(0.0) for n in ("logistic", "pca")}))
+    assert {(r.knn, r.lof) for r in model_queries.ml_oof_experts(spark, sf).collect()} == {(1.0, 2.0)} and len(folds) == 3
