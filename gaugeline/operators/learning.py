@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -47,19 +50,19 @@ def out_of_fold(df: DataFrame, features: list[str], y: str, group: str, k: int =
     return out
 
 
-def fold_norm(train: DataFrame, features: list[str], entity: str) -> DataFrame:
-    """(entity, <feature>: array of median and interquartile range) of the training rows of each entity, and of all of them with a null entity. A range of 0 counts as 1."""
-    own = exact_quantiles(train.filter(F.col(entity).isNotNull()), features, [0.25, 0.5, 0.75], (entity,))
-    both = own.unionByName(exact_quantiles(train, features, [0.25, 0.5, 0.75]).withColumn(entity, F.lit(None).cast(dict(train.dtypes)[entity])))
+def fold_norm(train: DataFrame, features: list[str], entity: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, entity, <feature>: array of median and interquartile range) of the training rows of each entity, and of all of them with a null entity, for each ``by``. A range of 0 counts as 1."""
+    own = exact_quantiles(train.filter(F.col(entity).isNotNull()), features, [0.25, 0.5, 0.75], (*by, entity))
+    both = own.unionByName(exact_quantiles(train, features, [0.25, 0.5, 0.75], by).withColumn(entity, F.lit(None).cast(dict(train.dtypes)[entity])))
     wide = lambda f: F.get(f, F.lit(2)) - F.get(f, F.lit(0))
-    return both.select(entity, *[F.when(F.col(f).isNotNull(), F.array(F.get(f, F.lit(1)), F.when(wide(f) == 0, 1.0).otherwise(wide(f)))).alias(f) for f in features])
+    return both.select(*by, entity, *[F.when(F.col(f).isNotNull(), F.array(F.get(f, F.lit(1)), F.when(wide(f) == 0, 1.0).otherwise(wide(f)))).alias(f) for f in features])
 
 
 def fold_normed(df: DataFrame, norm: DataFrame, features: list[str], entity: str) -> DataFrame:
     """``df`` with the features less the median of their entity, in its interquartile ranges; those of an entity that ``norm`` doesn't know by those of all."""
     own = norm.filter(F.col(entity).isNotNull()).select(F.col(entity), *[F.col(f).alias(f"__o_{f}") for f in features])
     whole = norm.filter(F.col(entity).isNull()).select(*[F.col(f).alias(f"__a_{f}") for f in features])  # one row
-    out = df.join(own, entity, "left").join(F.broadcast(whole), F.lit(True))
+    out = df.join(own, entity, "left").join(F.broadcast(whole), F.lit(True), "left")
     of = lambda f, k: F.coalesce(F.get(f"__o_{f}", F.lit(k)), F.get(f"__a_{f}", F.lit(k)))
     return out.withColumns({f: (F.col(f).cast("double") - of(f, 0)) / of(f, 1) for f in features}).select(*df.columns)
 
@@ -121,18 +124,24 @@ def component_expert(share: float = 0.9):
 
 def out_of_fold_experts(df: DataFrame, features: list[str], experts: dict, y: str, group: str, entity: str, k: int = 3) -> DataFrame:
     """``df`` with fold and a score of each of ``experts`` {name: function (train, test, features, y, name) that adds a column to test}, or several for a tuple of names: by what was fitted on the other folds alone. Groups aren't
-    split between folds, and features are normalised by the training rows of each fold, for each ``entity``. The features themselves stay as they are. The loop is over folds."""
+    split between folds, and features are normalised by the training rows of each fold, for each ``entity``. The features themselves stay as they are. Folds are fitted side by side."""
+    df = written(df)
     rows = written(df.join(grouped_folds(df, group, y, k), group))
     kept = [f"__f_{f}" for f in features]
     rows = rows.withColumns({h: F.col(f) for h, f in zip(kept, features, strict=True)})
-    out = None
-    for fold in range(k):
-        train, test = rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold)
-        norm = written(fold_norm(train, features, entity))
-        train, test = written(fold_normed(train, norm, features, entity)), written(fold_normed(test, norm, features, entity))
+    trained = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda fold: fold != F.col("fold")))
+    norms = written(fold_norm(rows.select("*", trained.alias("__k")), features, entity, ("__k",)))
+
+    def scored(fold: int) -> DataFrame:
+        norm = norms.filter(F.col("__k") == fold).drop("__k")
+        train, test = (written(fold_normed(rows.filter(of), norm, features, entity)) for of in (F.col("fold") != fold, F.col("fold") == fold))
         for name, expert in experts.items():
             test = written(expert(train, test, features, y, name))
-        out = test if out is None else out.unionByName(test)
+        return test
+
+    with ThreadPoolExecutor(k) as pool:
+        parts = [pool.submit(inheritable_thread_target(df.sparkSession)(scored), fold) for fold in range(k)]
+        out = reduce(DataFrame.unionByName, [p.result() for p in parts])
     return out.withColumns({f: F.col(h) for h, f in zip(kept, features, strict=True)}).drop(*kept)
 
 

@@ -248,7 +248,7 @@ def scores(df: DataFrame, features: list[str], clean: Column, k: int = 5, k_dens
     others = F.col("n") - (F.col("id") == F.col("other")).cast("long")
     found = found.withColumn("m", others).withColumns({"before": ahead("n"), "before_m": ahead("m")})
     take = lambda n, b, most: F.greatest(F.lit(0), F.least(F.col(n), most - F.col(b)))
-    found = written(found.withColumns({"w": take("n", "before", dense), "w_m": take("m", "before_m", dense), "w_k": take("n", "before", near)}))
+    found = written(found.select("id", "other", "d", take("n", "before", dense).alias("w"), take("m", "before_m", dense).alias("w_m"), take("n", "before", near).alias("w_k")))
     reach = written(found.filter("w_m > 0").groupBy("id").agg(F.max("d").alias("reach")).select(F.col("id").alias("other"), "reach"))
     found = found.join(reach, "other")
     far = F.greatest("d", "reach")

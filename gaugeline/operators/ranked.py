@@ -18,6 +18,14 @@ def _parts(df: DataFrame, keys: tuple[str, ...]) -> int:
     return PARTS if keys or not held.isdigit() else max(PARTS, int(held))
 
 
+def _below(df: DataFrame, cuts: str, order: str, most: int, out: str) -> DataFrame:
+    """``df`` with ``out``: how many of ``cuts``, a sorted array of ``most`` at most, are less than ``order``. A binary search, each step a column."""
+    df = df.withColumn(out, F.lit(0))
+    for step in (1 << b for b in reversed(range(most.bit_length()))):
+        df = df.withColumn(out, F.col(out) + F.when(F.get(cuts, F.col(out) + (step - 1)) < F.col(order), step).otherwise(0))
+    return df
+
+
 def with_running_sums(df: DataFrame, order: str, sums: dict[str, str], keys: tuple[str, ...] = (), descending: bool = False, parts: int | None = None) -> DataFrame:
     """``df`` with a column for each of ``sums`` {name: summed column}: the sum up to and with the row, and <name>_all: that of all
     rows of the key. ``order`` is a number and differs between the rows of a key."""
@@ -26,8 +34,8 @@ def with_running_sums(df: DataFrame, order: str, sums: dict[str, str], keys: tup
     df = df if keys else df.withColumn("__all", F.lit(0))
     cuts = df.groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit((k + 1) / parts) for k in range(parts - 1)]), F.lit(max(1000, 10 * parts))).alias("__cuts"))
     df = df.join(cuts if keys else F.broadcast(cuts), by)  # without keys it is one row
-    part = F.size(F.filter("__cuts", lambda x: x < F.col(order)))
-    df = df.withColumn("__part", parts - part if descending else part).drop("__cuts")
+    df = _below(df, "__cuts", order, parts - 1, "__part")
+    df = df.withColumn("__part", parts - F.col("__part") if descending else F.col("__part")).drop("__cuts")
     within = Window.partitionBy(*by, "__part").orderBy(F.col(order).desc() if descending else F.col(order)).rowsBetween(Window.unboundedPreceding, 0)
     totals = df.groupBy(*by, "__part").agg(*[F.sum(c).alias(f"__t_{name}") for name, c in sums.items()])
     whole = Window.partitionBy(*by)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeline.operators import learning
+from gaugeline.operators import learning, ranked
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +59,22 @@ def test_experts_tell_faults(spark, rows):
 
     assert auc(got.lr) > 0.9 and auc(got.plain) > 0.9 and auc(got.knn) > 0.8 and not np.allclose(got.lr, got.plain)
     assert got[["lof", "pca"]].notna().all().all()
+
+
+def test_norms_of_all_folds_at_once(spark, rows):
+    """They are those of each fold's rows alone; a fold without a row of its own loses none of the rows it is to norm."""
+    folds = rows.withColumn("k", F.explode(F.array(*map(F.lit, (0, 1, 2))))).filter("machine % 3 <> k or line = 0")
+    plain = lambda norm: sorted(map(str, norm.collect()))
+    whole = learning.fold_norm(folds, ["a", "b"], "line", ("k",))
+    for k in (0, 1, 2):
+        own = folds.filter(F.col("k") == k).drop("k")
+        assert plain(whole.filter(F.col("k") == k).drop("k")) == plain(learning.fold_norm(own, ["a", "b"], "line"))
+    none = learning.fold_normed(rows, whole.filter("k = 7").drop("k"), ["a", "b"], "line")
+    assert none.count() == 540 and none.filter("a is not null").isEmpty()
+
+
+def test_stretches_by_binary_search(spark):
+    for cuts in ([], [3.0], [1.0, 1.0, 2.0, 5.0, 5.0], [float(i // 2) for i in range(63)]):
+        df = spark.createDataFrame([(cuts, x / 2) for x in range(-2, 70)], "cuts array<double>, x double")
+        got = ranked._below(df, "cuts", "x", max(1, len(cuts)), "n").collect()
+        assert [r.n for r in got] == [sum(c < r.x for c in cuts) for r in got]
