@@ -122,9 +122,9 @@ def component_expert(share: float = 0.9):
     return score
 
 
-def out_of_fold_experts(df: DataFrame, features: list[str], experts: dict, y: str, group: str, entity: str, k: int = 3) -> DataFrame:
+def out_of_fold_experts(df: DataFrame, features: list[str], experts: dict, y: str, group: str, entity: str, k: int = 3, at_once: int = 2) -> DataFrame:
     """``df`` with fold and a score of each of ``experts`` {name: function (train, test, features, y, name) that adds a column to test}, or several for a tuple of names: by what was fitted on the other folds alone. Groups aren't
-    split between folds, and features are normalised by the training rows of each fold, for each ``entity``. The features themselves stay as they are. Folds are fitted side by side."""
+    split between folds, and features are normalised by the training rows of each fold, for each ``entity``. The features themselves stay as they are. ``at_once`` folds are fitted side by side."""
     df = written(df)
     rows = written(df.join(grouped_folds(df, group, y, k), group))
     kept = [f"__f_{f}" for f in features]
@@ -139,7 +139,7 @@ def out_of_fold_experts(df: DataFrame, features: list[str], experts: dict, y: st
             test = written(expert(train, test, features, y, name))
         return test
 
-    with ThreadPoolExecutor(k) as pool:
+    with ThreadPoolExecutor(at_once) as pool:
         parts = [pool.submit(inheritable_thread_target(df.sparkSession)(scored), fold) for fold in range(k)]
         out = reduce(DataFrame.unionByName, [p.result() for p in parts])
     return out.withColumns({f: F.col(h) for h, f in zip(kept, features, strict=True)}).drop(*kept)
